@@ -67,14 +67,14 @@ class Encoder:
                 out.append(self.whole(t))
                 continue
             table = self.table
-            if new := list(set(words) - table.keys()):
+            if new := list(set(words).difference(table)):
                 if len(new) > self.table_size // 2:  # a giant text of its own
                     out.append(self.whole(t))
                     continue
                 known = len(table)
                 self.learn(new)
                 if len(self.table) < known + len(new):  # the table was emptied
-                    self.learn(list(set(words) - self.table.keys()) or words[:1])
+                    self.learn(list(set(words).difference(self.table)) or words[:1])
             out.append(np.frombuffer(b"".join(map(table.__getitem__, words)), dtype="<u4"))
         return out
 
