@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import packing, secrets, url_filter
-from gridloom.llm.common import table
+from gridloom.llm import langid, packing, secrets, url_filter
+from gridloom.llm.common import crc_of_id, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(False))
+    model = langid.fit(docs.where(crc_of_id("doc_id") % 3 != 1), tokenizer_path("piece_bpe_32k.model"))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = secrets.train(secrets.labelled_samples(docs))
@@ -35,6 +42,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
