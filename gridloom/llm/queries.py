@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid, packing, secrets, url_filter
+from gridloom.llm import langid, packing, secrets, toxicity, url_filter
 from gridloom.llm.common import crc_of_id, table
 
 
@@ -19,6 +19,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    taught = crc_of_id("doc_id") % 5 != 0
+    model = toxicity.fit(docs.where(taught), labels.where(taught))
+    scored = toxicity.classify(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(~taught, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(False))
@@ -42,6 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op10_url_filter": op10_url_filter,
