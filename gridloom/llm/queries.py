@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, langid, packing, secrets, toxicity, url_filter
+from gridloom.llm import decontaminate, langid, packing, secrets, toxicity, url_filter, warc
 from gridloom.llm.common import crc_of_id, table
 
 
@@ -39,6 +39,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no capture times: one second a page from a fixed day on
+    date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod("page_id", F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    pages = table(spark, sf_dir, "pages").withColumn("warc_date", date)
+    index = warc.archive(pages)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date", "history_no", "range_no", "archive", "record_offset", "record_bytes")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = secrets.train(secrets.labelled_samples(docs))
@@ -58,6 +66,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
