@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, embedding_dedup, langid, minhash_dedup, packing, secrets, toxicity, url_filter, warc
+from gridloom.llm import decontaminate, embedding_dedup, langid, minhash_dedup, ngram_lm, packing, secrets, toxicity, url_filter, warc
 from gridloom.llm.common import crc_of_id, table
 
 
@@ -64,6 +64,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n("markov"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_of_id("doc_id") % 7 == 2, F.lit(False))
+    model = ngram_lm.train(docs.where(crc_of_id("doc_id") % 7 != 2))
+    scored = ngram_lm.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens_seen).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.fit(spark).apply(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
@@ -78,6 +86,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
+    "op9_lm_scores": op9_lm_scores,
     "op10_url_filter": op10_url_filter,
 }
 
