@@ -8,6 +8,7 @@ timestamp where they are read, and a k-way merge with a loser tree orders them f
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -64,9 +65,9 @@ def render(marked: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 1000, records_per_archive: int = 1000) -> None:
-    """Archives of at most `records_per_archive` records each under `path`."""
+    """Archives of at most `records_per_archive` records each under `path`, each one gzip member."""
     records = render(mark_duplicates(pages, min_bytes))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_archive).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_archive).option("compression", "gzip").text(path)
 
 
 def _page(urn: str) -> int:
@@ -97,11 +98,15 @@ NAMES = [c.strip().split()[0] for c in RECORD.split(",")]
 
 
 def read(spark, path: str) -> DataFrame:
-    """All records of the archives under `path`; revisits have no payload columns of their own."""
+    """All records of the archives under `path`, packed or plain; revisits have no payload columns of their own.
+
+    record_offset counts bytes of the unpacked archive.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content, name in zip(batch["content"], batch["path"], strict=True):
+                content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                 rows = pd.DataFrame(list(parse(content, name.rsplit("/", 1)[-1])), columns=NAMES)
                 if len(rows):
                     yield rows.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
@@ -226,5 +231,5 @@ def archive(pages: DataFrame, min_bytes: int = 1000, records_per_archive: int =
     path = new_folder(pages.sparkSession, "warc")
     own = pages.where("page_id is not null").select("page_id", "url", "html", F.coalesce("warc_date", F.lit("1970-01-01T00:00:00Z")).alias("warc_date"))
     write(own, path, min_bytes, records_per_archive)
-    return merged_index(stage(resolve(read(pages.sparkSession, path)), "warc-records"))
+    return merged_index(resolve(stage(read(pages.sparkSession, path), "warc-records")))
 
