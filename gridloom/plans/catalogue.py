@@ -1,10 +1,496 @@
-"""The registered queries of the voxel library and their SQL twins."""
+"""The registered queries of the voxel library and their SQL twins, over the whole of the given tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import expressions as X
+from gridloom.operators import grids, mesh, semantics, tables, tiles, voxelize, voxels
+from gridloom.plans import views as V
+from gridloom.plans.views import DIM, SCALE, TARGET, TRANSLATE, with_views
+from gridloom.sources import files
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+SIDES = ["xmin", "xmax", "ymin", "ymax", "zmin", "zmax"]
+
+
+def query(sql: str | None = None, *needed: str):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = with_views(sql, *needed) if needed else sql
+        return f
+
+    return keep
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.object_bbox(V.mesh_vertex(spark, d))
+
+
+def cubes(spark: SparkSession, d: str) -> DataFrame:
+    found = boxes(spark, d)
+    return voxels.cube_of_bbox(found).join(mesh.grid_mapping(found, TARGET).select("obj_key", "grid"), "obj_key")
+
+
+def typed_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the meshes' points with ids, type, origin and sizes."""
+    cube = cubes(spark, d)
+    cells = voxelize.voxelize_points(V.mesh_vertex(spark, d).select("obj_key", "x", "y", "z"), cube)
+    side = V.sidecar(spark, d)
+    named = voxels.ids_and_type(V.parts(spark, d).select("obj_key"), side, semantics.index_entry(side))
+    placed = cube.withColumns(voxels.sizes(F.col("scale"), F.col("grid"))).join(named, "obj_key")
+    return cells.join(placed, "obj_key")
+
+
+def voxel_rows(spark: SparkSession, d: str) -> DataFrame:
+    return voxels.voxel_rows(typed_cells(spark, d))
+
+
+def voxels_per_building(spark: SparkSession, d: str) -> DataFrame:
+    return voxel_rows(spark, d).groupBy("building_gmlid", "object_type").agg(F.count("*").alias("voxels"), F.countDistinct("obj_key").alias("objects"))
+
+
+query("SELECT building_gmlid, object_type, CAST(count(*) AS BIGINT) AS voxels, CAST(count(DISTINCT obj_key) AS BIGINT) AS objects FROM voxels GROUP BY ALL", "voxels")(voxels_per_building)
+
+
+# ---- meshes
+
+
+@query("SELECT obj_key, x, y, z FROM mesh_vertex", "mesh_vertex")
+def parse_vertices(spark, d):
+    return mesh.parse_vertices(V.mesh_text(spark, d)).select("obj_key", "x", "y", "z")
+
+
+@query("SELECT obj_key, x, z AS y, y AS z FROM mesh_vertex", "mesh_vertex")
+def swap_axes(spark, d):
+    return mesh.parse_vertices(mesh.swap_axes(V.mesh_text(spark, d))).select("obj_key", "x", "y", "z")
+
+
+@query("SELECT * FROM bbox", "bbox")
+def object_bbox(spark, d):
+    return mesh.object_bbox(mesh.parse_vertices(V.mesh_text(spark, d)))
+
+
+@query("SELECT min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, min(zmin) AS zmin, max(zmax) AS zmax FROM bbox", "bbox")
+def global_bbox(spark, d):
+    return mesh.global_bbox(boxes(spark, d))
+
+
+@query("SELECT obj_key, concat(obj_key, '.obj') AS obj_filename, grid FROM cube", "cube")
+def grid_mapping(spark, d):
+    return mesh.grid_mapping(boxes(spark, d), TARGET)
+
+
+@query("SELECT grid, CAST(count(*) AS BIGINT) AS files, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM cube) AS percent FROM cube GROUP BY grid", "cube")
+def grid_histogram(spark, d):
+    return mesh.grid_histogram(mesh.grid_mapping(boxes(spark, d), TARGET))
+
+
+@query("SELECT p.obj_key, coalesce(c.grid, (SELECT coalesce(max(grid), 256) FROM cube)) AS grid FROM parts p LEFT JOIN cube c ON p.obj_key = c.obj_key", "parts", "cube")
+def grid_lookup(spark, d):
+    return mesh.grid_lookup(V.parts(spark, d).select("obj_key"), mesh.grid_mapping(boxes(spark, d), TARGET))
+
+
+@query(
+    """SELECT CAST(substring(obj_key, 6) AS BIGINT) // 500 AS tile, obj_filename, grid, CAST(count(*) OVER (PARTITION BY CAST(substring(obj_key, 6) AS BIGINT) // 500) AS BIGINT) AS total_files
+    FROM (SELECT obj_key, concat(obj_key, '.obj') AS obj_filename, grid FROM cube)""",
+    "cube",
+)
+def grid_document(spark, d):
+    """Documents of tiles of 500 objects each, written as JSON and read back as rows."""
+    mapped = mesh.grid_mapping(boxes(spark, d), TARGET).withColumn("tile", F.call_function("div", F.substring("obj_key", 6, 20).cast("long"), F.lit(500)))
+    documents = mesh.grid_documents(mapped, "tile", TARGET)
+    read = documents.select("tile", F.from_json("document", "target_voxel_size double, total_files bigint, grid_distribution map<string,int>, grid_mapping map<string,int>").alias("j"))
+    return read.select("tile", F.explode("j.grid_mapping").alias("obj_filename", "grid"), F.col("j.total_files").alias("total_files"))
+
+
+@query("SELECT obj_key, concat(obj_key, '.obj') AS obj_filename, xmin, xmax, ymin, ymax, zmin, zmax FROM bbox", "bbox")
+def bbox_document(spark, d):
+    found = boxes(spark, d).withColumn("tile", F.call_function("div", F.substring("obj_key", 6, 20).cast("long"), F.lit(500)))
+    return mesh.bboxes_of_document(mesh.bbox_documents(found, "tile")).select("obj_key", "obj_filename", *SIDES)
+
+
+def mesh_files(spark, d) -> DataFrame:
+    """File rows as a mesh scan would give them: one text an object, some names of another kind."""
+    text = V.mesh_text(spark, d).groupBy("obj_key").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("content"))
+    ending = F.when(F.substring("obj_key", 6, 20).cast("long") % 9 == 0, ".txt").otherwise(".obj")
+    return text.select(F.concat(F.lit("in/"), "obj_key", ending).alias("path"), "content")
+
+
+@query(
+    """SELECT p.obj_key, CAST(6 + coalesce(n, 0) AS BIGINT) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS vertices FROM parts p LEFT JOIN (SELECT obj_key, count(*) AS n FROM mesh_vertex GROUP BY obj_key) v
+    ON p.obj_key = v.obj_key WHERE p.p_partkey % 9 <> 0""",
+    "parts", "mesh_vertex",
+)
+def mesh_scan_counts(spark, d):
+    lines = files.mesh_lines(mesh_files(spark, d))
+    return lines.groupBy("obj_key").agg(F.count("*").alias("lines"), F.count_if(F.col("line").rlike(r"^v -?\d+\.?\d*(E-?\d+)? \S+ \S+$") & ~F.col("line").contains("1d")).alias("vertices"))
+
+
+# ---- semantics
+
+
+def sidecar_files(spark, d) -> DataFrame:
+    """Sidecars as JSON texts; every nineteenth is broken, and reserved names lie among them."""
+    s = V.sidecar(spark, d)
+    fields = ["building_id", "class_gml_id", "polygon_gml_id", "thematic_role", "class"]
+    text = F.when(F.col("p_partkey") % 19 == 0, "{broken").otherwise(F.to_json(F.struct(*fields, F.lit(3).alias("extra"))))
+    own = s.select(F.concat(F.lit("in/"), "obj_key", F.lit(".json")).alias("path"), text.alias("content"))
+    reserved = s.where("p_partkey < 3").select(F.explode(F.array(*map(F.lit, ["in/Index.json", "in/translate.json", "in/grid_mapping.json"]))).alias("path"), F.lit("{}").alias("content"))
+    return own.unionByName(reserved)
+
+
+@query(
+    """SELECT obj_key, CASE WHEN p_partkey % 19 = 0 THEN 'failed' ELSE 'parsed' END AS status, CASE WHEN p_partkey % 19 <> 0 THEN building_id END AS building_id,
+    CASE WHEN p_partkey % 19 <> 0 THEN polygon_gml_id END AS polygon_gml_id FROM sidecar""",
+    "sidecar",
+)
+def sidecar_scan_status(spark, d):
+    return files.sidecars(sidecar_files(spark, d)).select("obj_key", "status", "building_id", "polygon_gml_id")
+
+
+@query("SELECT obj_key, building_id FROM sidecar WHERE obj_key IN (SELECT obj_key FROM meshes)", "sidecar", "meshes")
+def sidecar_semi(spark, d):
+    return semantics.with_mesh(V.sidecar(spark, d), V.meshes(spark, d)).select("obj_key", "building_id")
+
+
+@query("SELECT obj_key, building_id FROM sidecar WHERE obj_key NOT IN (SELECT obj_key FROM meshes)", "sidecar", "meshes")
+def sidecar_anti(spark, d):
+    return semantics.without_mesh(V.sidecar(spark, d), V.meshes(spark, d)).select("obj_key", "building_id")
+
+
+@query(
+    """SELECT CAST(count(*) FILTER (WHERE p_partkey % 19 <> 0 AND obj_key IN (SELECT obj_key FROM meshes)) AS BIGINT) AS processed,
+    CAST(count(*) FILTER (WHERE NOT (p_partkey % 19 <> 0 AND obj_key IN (SELECT obj_key FROM meshes))) AS BIGINT) AS skipped FROM sidecar""",
+    "sidecar", "meshes",
+)
+def sidecar_outcomes(spark, d):
+    return semantics.outcomes(files.sidecars(sidecar_files(spark, d)), V.meshes(spark, d))
+
+
+@query(
+    f"""SELECT concat(obj_key, '.obj') AS obj_filename, concat(CASE WHEN coalesce(thematic_role, 'WallSurface') IN {X.BUILDING_ROLES} THEN '{X.BUILDING_NAMESPACE}' ELSE '{X.CONSTRUCTION_NAMESPACE}' END,
+    coalesce(thematic_role, 'WallSurface')) AS tag, coalesce(building_id, 'UNKNOWN') AS parent_id, coalesce(polygon_gml_id, '') AS gml_id, class FROM sidecar""",
+    "sidecar",
+)
+def semantic_index(spark, d):
+    return semantics.index_entry(V.sidecar(spark, d)).select("obj_filename", "tag", F.col("parent_id")[0].alias("parent_id"), F.col("gml_id")[0].alias("gml_id"), "class")
+
+
+@query("SELECT obj_key, coalesce(class, thematic_role, 'WallSurface') AS object_type FROM sidecar", "sidecar")
+def object_type(spark, d):
+    entries = semantics.index_entry(V.sidecar(spark, d))
+    return entries.select(F.regexp_replace("obj_filename", r"\.obj$", "").alias("obj_key"), X.object_type(F.col("class"), F.col("tag")).alias("object_type"))
+
+
+@query("SELECT obj_key, object_type FROM typed", "typed")
+def semantic_lookup(spark, d):
+    entries = semantics.index_entry(V.sidecar(spark, d))
+    # every third entry goes by the bare key
+    bare = F.crc32(F.col("obj_filename").cast("binary")) % 3 == 0
+    index = entries.withColumn("obj_filename", F.when(bare, F.regexp_replace("obj_filename", r"\.obj$", "")).otherwise(F.col("obj_filename")))
+    return semantics.semantic_lookup(V.parts(spark, d).select("obj_key"), index)
+
+
+@query("SELECT obj_key, building_gmlid, class_gmlid, polygon_gmlid FROM typed", "typed")
+def resolved_ids(spark, d):
+    return semantics.resolved_ids(V.parts(spark, d).select("obj_key"), V.sidecar(spark, d))
+
+
+@query(
+    """SELECT obj_key, CASE WHEN p_size % 3 = 0 THEN 'g0' WHEN p_size % 3 = 1 THEN 'g1' END AS gml_id, concat('b_', p_brand) AS parent_id FROM parts WHERE p_size % 5 <> 0""",
+    "parts",
+)
+def index_one_or_many(spark, d):
+    """Index documents with ids as text, list, and empty list; entries with another type there are left out."""
+    p = V.parts(spark, d)
+    gml = F.when(F.col("p_size") % 5 == 0, "7").when(F.col("p_size") % 3 == 0, '"g0"').when(F.col("p_size") % 3 == 1, '["g1","h"]').otherwise("[]")
+    entry = F.concat(F.lit('"'), "obj_key", F.lit('":{"tag":"{n}WallSurface","parentID":["b_'), "p_brand", F.lit('"],"gmlID":'), gml, F.lit("}"))
+    documents = p.groupBy("p_brand").agg(F.concat(F.lit('{"CRS":{"srsName":"EPSG:25832","srsDimensions":["3"]},'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("content"))
+    return files.index_entries(documents).select("obj_key", "gml_id", "parent_id")
+
+
+# ---- encoded grids
+
+
+@query(
+    """SELECT concat(p_brand, '.', p_partkey, CASE WHEN p_size % 5 = 0 THEN '.binvox' ELSE concat('.obj_', p_size, '.binvox') END) AS file_name,
+    CASE WHEN p_size % 5 = 0 THEN concat(p_brand, '.', p_partkey, '.binvox') ELSE concat(p_brand, '.', p_partkey) END AS obj_key, CASE WHEN p_size % 5 <> 0 THEN p_size END AS grid FROM parts""",
+    "parts",
+)
+def grid_file_key(spark, d):
+    name = F.concat(F.col("p_brand"), F.lit("."), F.col("p_partkey"), F.when(F.col("p_size") % 5 == 0, ".binvox").otherwise(F.concat(F.lit(".obj_"), "p_size", F.lit(".binvox"))))
+    named = V.parts(spark, d).select(name.alias("file_name"))
+    key, grid = grids.file_key(F.col("file_name"))
+    return named.select("file_name", key.alias("obj_key"), grid.alias("grid"))
+
+
+def payloads(spark, d) -> DataFrame:
+    """Run-length payloads of the encoded grids, in run order, with a stray byte at the end of some."""
+    pair = F.concat(F.lpad(F.hex("value"), 2, "0"), F.lpad(F.hex("n"), 2, "0"))
+    joined = V.rle_run(spark, d).groupBy("file_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_no", pair.alias("p")))), lambda s: s["p"]), "").alias("h"))
+    return joined.select("file_key", F.unhex(F.concat("h", F.when(F.length("h") % 3 == 0, "07").otherwise(""))).alias("payload"))
+
+
+@query("SELECT file_key, CAST(run_no AS BIGINT) AS run_no, CAST(value AS INT) AS value, CAST(n AS INT) AS n FROM rle_run", "rle_run")
+def decode_runs(spark, d):
+    return grids.decode_runs(payloads(spark, d), chunk_bytes=64).select("file_key", F.col("run_no").cast("long").alias("run_no"), "value", "n")
+
+
+ORACLES["decode_runs_arrow"] = ORACLES["decode_runs"]
+
+
+@query()
+def decode_runs_arrow(spark, d):
+    return grids.decode_runs_arrow(payloads(spark, d))
+
+
+def grid_files(spark, d) -> DataFrame:
+    """Whole encoded files; headers of some are broken in one way each."""
+    n = F.crc32(F.col("file_key").cast("binary")) % 4
+    head = (
+        F.when(n == 0, f"#binvox 1\ndim {DIM} {DIM} {DIM}\ntranslate 1 2 3\nscale {SCALE}\ndata\n").when(n == 1, f"#binvox 1\ntranslate 1 2.5 -3e0\ndim {DIM} {DIM} {DIM}\n\nscale {SCALE}\ndata\n")
+        .when(n == 2, f"#binvox 1\ndim {DIM} {DIM} {DIM}\nscale {SCALE}\ndata\n").otherwise(f"#vox 1\ndim {DIM} {DIM} {DIM}\ntranslate 1 2 3\nscale {SCALE}\ndata\n")
+    )
+    return payloads(spark, d).select(F.concat("file_key", F.lit(".obj_32.binvox")).alias("file_name"), F.concat(head.cast("binary"), "payload").alias("content"))
+
+
+@query()
+def grid_header(spark, d):
+    return grids.headers(grid_files(spark, d)).where("status = 'ok'").select("file_name", "dx", "dy", "dz", "translate", "scale", F.length("payload").alias("payload_bytes"))
+
+
+@query()
+def grid_header_status(spark, d):
+    return grids.headers(grid_files(spark, d)).select("file_name", "status")
+
+
+OFFSETS = "SELECT file_key, run_no, value, n, CAST(coalesce(sum(n) OVER (PARTITION BY file_key ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_cells FROM rle_run"
+
+
+@query(f"SELECT file_key, CAST(run_no AS BIGINT) AS run_no, offset_cells FROM ({OFFSETS})", "rle_run")
+def run_offsets(spark, d):
+    return grids.run_offsets(V.rle_run(spark, d), chunk_runs=64).select("file_key", F.col("run_no").cast("long").alias("run_no"), F.col("offset").alias("offset_cells"))
+
+
+CELLS = f"SELECT file_key, offset_cells + unnest(range(n)) AS c FROM ({OFFSETS}) WHERE value <> 0"
+
+
+@query(f"SELECT file_key, CAST(c // {DIM * DIM} AS INT) AS ix, CAST(c % {DIM * DIM} // {DIM} AS INT) AS iy, CAST(c % {DIM} AS INT) AS iz FROM ({CELLS})", "rle_run")
+def occupied_cells(spark, d):
+    return grids.occupied_cells(V.rle_run(spark, d), F.lit(DIM), F.lit(DIM))
+
+
+@query("SELECT file_key, CAST(sum(n) AS BIGINT) AS voxels FROM rle_run WHERE value <> 0 GROUP BY file_key", "rle_run")
+def voxel_counts(spark, d):
+    return voxels.counts(grids.occupied_cells(V.rle_run(spark, d), F.lit(DIM), F.lit(DIM)))
+
+
+@query(f"SELECT file_key, CAST(sum(n) AS BIGINT) AS cells, CAST({DIM**3} AS BIGINT) AS expected, sum(n) = {DIM**3} AS valid FROM rle_run GROUP BY file_key", "rle_run")
+def rle_length_check(spark, d):
+    return grids.length_check(V.rle_run(spark, d), F.lit(DIM), F.lit(DIM), F.lit(DIM))
+
+
+# ---- voxels
+
+
+@query(
+    """SELECT p.obj_key, coalesce((xmin + xmax) * 0.5 - p_retailprice / 100 * 0.5, 1.0) AS ox, coalesce((ymin + ymax) * 0.5 - p_retailprice / 100 * 0.5, 3.0) AS oy,
+    coalesce((zmin + zmax) * 0.5 - p_retailprice / 100 * 0.5, 2.0) AS oz FROM parts p LEFT JOIN (SELECT * FROM bbox WHERE obj_key IN (SELECT obj_key FROM meshes)) b ON p.obj_key = b.obj_key""",
+    "parts", "bbox", "meshes",
+)
+def voxel_origin(spark, d):
+    headers = V.parts(spark, d).select("obj_key", (F.col("p_retailprice") / 100).alias("scale"), F.array(*map(F.lit, TRANSLATE)).alias("translate"))
+    known = boxes(spark, d).join(V.meshes(spark, d), "obj_key", "left_semi")
+    return voxels.voxel_origin(headers, known).select("obj_key", "ox", "oy", "oz")
+
+
+@query("SELECT obj_key, ix, iy, iz, x, y, z FROM voxels", "voxels")
+def voxel_world_coords(spark, d):
+    return voxels.world_coordinates(typed_cells(spark, d)).select("obj_key", "ix", "iy", "iz", "x", "y", "z")
+
+
+@query("SELECT obj_key, voxel_position, gmlid, building_gmlid, class_gmlid, polygon_gmlid FROM voxels", "voxels")
+def voxel_table(spark, d):
+    return voxel_rows(spark, d).select("obj_key", "voxel_position", "gmlid", "building_gmlid", "class_gmlid", "polygon_gmlid")
+
+
+@query(
+    """SELECT voxel_position, gmlid, building_gmlid, class_gmlid, polygon_gmlid, object_type, regexp_replace(CAST(x AS VARCHAR), '\\.0$', '') AS "X",
+    regexp_replace(CAST(y AS VARCHAR), '\\.0$', '') AS "Y", regexp_replace(CAST(z AS VARCHAR), '\\.0$', '') AS "Z" FROM voxels""",
+    "voxels",
+)
+def csv_rows(spark, d):
+    return voxels.csv_rows(voxel_rows(spark, d)).drop("vox_geom")
+
+
+@query()
+def voxel_geometry(spark, d):
+    """The points' bytes as hex, beside their coordinates."""
+    return voxel_rows(spark, d).select("obj_key", "x", "y", "z", F.hex("vox_geom").alias("vox_geom"))
+
+
+@query("SELECT obj_key, voxel_position, CAST(count(*) AS BIGINT) AS cells FROM voxels GROUP BY ALL HAVING count(*) > 1", "voxels")
+def voxel_id_collisions(spark, d):
+    return voxels.id_collisions(voxel_rows(spark, d))
+
+
+@query("SELECT obj_key, ix, iy, iz, points FROM cells", "cells")
+def voxelize_points(spark, d):
+    return voxelize.voxelize_points(V.mesh_vertex(spark, d).select("obj_key", "x", "y", "z"), cubes(spark, d))
+
+
+def triangles(spark, d) -> DataFrame:
+    """Consecutive vertex triples of each object, ordered by their coordinates."""
+    from pyspark.sql import Window as W
+
+    placed = V.mesh_vertex(spark, d).select("obj_key", "x", "y", "z", (F.row_number().over(W.partitionBy("obj_key").orderBy("x", "y", "z")) - 1).alias("n"))
+    grouped = placed.withColumn("t", F.call_function("div", F.col("n"), F.lit(3))).groupBy("obj_key", "t").agg(F.sort_array(F.collect_list(F.struct("n", "x", "y", "z"))).alias("p")).where("size(p) = 3")
+    return grouped.select("obj_key", *[F.col("p")[k][a].alias(f"{a}{k}") for k in range(3) for a in "xyz"])
+
+
+@query()
+def voxelize_surface(spark, d):
+    """No SQL: comparing all cells with all triangles is too slow there; tests hold it against brute force."""
+    return voxelize.voxelize_surface(triangles(spark, d), cubes(spark, d))
+
+
+@query("SELECT obj_key, voxel_position, building_gmlid FROM voxels WHERE building_gmlid = 'Brand#12'", "voxels")
+def voxels_by_building(spark, d):
+    return voxels.by_id(voxel_rows(spark, d), "building_gmlid", "Brand#12").select("obj_key", "voxel_position", "building_gmlid")
+
+
+@query("SELECT obj_key, voxel_position, x, y, z FROM voxels WHERE x BETWEEN 10 AND 30 AND y BETWEEN 20 AND 60 AND z BETWEEN 0 AND 8", "voxels")
+def voxels_in_bbox(spark, d):
+    return voxels.in_box(voxel_rows(spark, d), (10.0, 20.0, 0.0), (30.0, 60.0, 8.0)).select("obj_key", "voxel_position", "x", "y", "z")
+
+
+@query(
+    """SELECT tile, obj_key, voxel_position FROM (SELECT 'east' AS tile, obj_key, voxel_position FROM voxels WHERE x >= 25 UNION ALL SELECT 'west', obj_key, voxel_position FROM voxels WHERE x < 25)""",
+    "voxels",
+)
+def voxels_all_tiles(spark, d):
+    rows = voxel_rows(spark, d)
+    east, west = rows.where("x >= 25").withColumn("tile", F.lit("east")), rows.where("x < 25").withColumn("tile", F.lit("west"))
+    return east.unionByName(west).select("tile", "obj_key", "voxel_position")
+
+
+# ---- tables
+
+
+def object_batches(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = semantics.resolved_ids(V.parts(spark, d).select("obj_key", "p_partkey"), V.sidecar(spark, d))
+    rows = rows.select(F.col("polygon_gmlid").alias("gmlid"), "building_gmlid", "class_gmlid", "polygon_gmlid", F.col("p_partkey").alias("seq"))
+    return rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
+
+
+def objects(spark, d) -> DataFrame:
+    first, second = object_batches(spark, d)
+    old = tables.last_by_key(first, "gmlid", ["seq"]).drop("seq")
+    return tables.merge_object(old, second, ["seq"])
+
+
+OBJECTS = """SELECT polygon_gmlid AS gmlid, building_gmlid, class_gmlid, polygon_gmlid FROM (SELECT t.*, row_number() OVER (PARTITION BY polygon_gmlid ORDER BY p_partkey % 2 DESC, p_partkey DESC) AS rn
+    FROM typed t JOIN parts p ON t.obj_key = p.obj_key) WHERE rn = 1"""
+
+
+@query(OBJECTS, "typed", "parts")
+def object_upsert(spark, d):
+    return objects(spark, d)
+
+
+@query("SELECT DISTINCT object_type, polygon_gmlid AS gmlid FROM typed", "typed")
+def object_class_rows(spark, d):
+    named = voxels.ids_and_type(V.parts(spark, d).select("obj_key"), V.sidecar(spark, d), semantics.index_entry(V.sidecar(spark, d)))
+    return tables.object_class_rows(named, dedupe=True).select("object_type", "gmlid")
+
+
+@query(f"SELECT obj_key, gmlid FROM voxels WHERE gmlid NOT IN (SELECT gmlid FROM ({OBJECTS}) WHERE building_gmlid <> 'UNKNOWN')", "voxels", "typed", "parts")
+def fk_violations(spark, d):
+    """Voxels whose object is gone once objects without a building are removed."""
+    return tables.foreign_key_violations(voxel_rows(spark, d), objects(spark, d).where("building_gmlid <> 'UNKNOWN'")).select("obj_key", "gmlid")
+
+
+@query("SELECT polygon_gmlid AS key, CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS nulls FROM typed GROUP BY 1 HAVING count(*) > 1", "typed")
+def pk_violations(spark, d):
+    first, second = object_batches(spark, d)
+    return tables.primary_key_violations(first.unionByName(second), "gmlid")
+
+
+@query(f"SELECT obj_key, voxel_position FROM voxels WHERE gmlid NOT IN (SELECT gmlid FROM ({OBJECTS}) WHERE building_gmlid = 'Brand#12')", "voxels", "typed", "parts")
+def cascade_delete(spark, d):
+    deleted = tables.last_by_key(objects(spark, d), "gmlid", ["building_gmlid"]).where("building_gmlid = 'Brand#12'")
+    return tables.cascade_delete(voxel_rows(spark, d), deleted).select("obj_key", "voxel_position")
+
+
+# ---- tiles
+
+NAMES = "SELECT DISTINCT concat('tile_', user_id) AS tile, 'folder' AS kind FROM events UNION SELECT concat(c_custkey, '.gml'), 'loose' FROM customer"
+LATEST = "SELECT tile, arg_max(status, attempt) AS status, CAST(max(attempt) AS BIGINT) AS attempts FROM ledger GROUP BY tile"
+
+
+def tile_names(spark, d) -> DataFrame:
+    """Tile folders, and loose files some of which bear a finished folder's name."""
+    folders = V.tile_event(spark, d).select("tile", F.lit("folder").alias("kind")).distinct()
+    return folders.unionByName(V.table(spark, d, "customer").select(F.concat("c_custkey", F.lit(".gml")).alias("tile"), F.lit("loose").alias("kind")))
+
+
+def pending_tiles(spark, d) -> DataFrame:
+    return tiles.pending(tile_names(spark, d), tiles.latest_status(V.ledger(spark, d)).where("status = 'ok'"))
+
+
+PENDING = f"SELECT tile, kind FROM ({NAMES}) WHERE regexp_replace(regexp_replace(tile, '\\.gml$', ''), '^tile_', '') NOT IN (SELECT regexp_replace(tile, '^tile_', '') FROM ({LATEST}) WHERE status = 'ok')"
+
+
+@query(PENDING, "ledger")
+def tiles_pending(spark, d):
+    return pending_tiles(spark, d).select("tile", "kind")
+
+
+@query(f"SELECT tile, kind FROM ({PENDING}) ORDER BY kind, tile LIMIT 25", "ledger")
+def tiles_next_n(spark, d):
+    return tiles.next_tiles(pending_tiles(spark, d), 25).select("tile", "kind")
+
+
+@query(LATEST, "ledger")
+def tile_latest_status(spark, d):
+    return tiles.latest_status(V.ledger(spark, d))
+
+
+@query(f"SELECT * FROM ({LATEST}) WHERE status = 'failed' AND attempts < 1000", "ledger")
+def tiles_to_retry(spark, d):
+    return tiles.to_retry(V.ledger(spark, d), max_attempts=1000)
+
+
+@query(
+    f"""SELECT CAST(count(*) FILTER (WHERE status = 'ok') AS BIGINT) AS completed, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed,
+    CAST(count(*) FILTER (WHERE status IS NULL) AS BIGINT) AS pending, CAST(count(*) AS BIGINT) AS total FROM (SELECT DISTINCT tile FROM ({NAMES})) n LEFT JOIN ({LATEST}) l ON n.tile = l.tile""",
+    "ledger",
+)
+def batch_summary(spark, d):
+    return tiles.batch_summary(V.ledger(spark, d), tile_names(spark, d))
+
+
+@query("SELECT status, CAST(count(*) AS BIGINT) AS runs FROM tile_event GROUP BY status", "tile_event")
+def run_outcomes(spark, d):
+    return tiles.run_outcomes(V.tile_event(spark, d))
+
+
+@query("SELECT tile, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE AS seconds, CAST(count(*) AS BIGINT) AS entries FROM tile_event GROUP BY tile", "tile_event")
+def step_durations(spark, d):
+    return tiles.step_durations(V.tile_event(spark, d))
 
 
-def voxels_per_building(spark, sf_dir):
-    raise NotImplementedError
+@query(
+    """SELECT kind, CAST(count(DISTINCT tile) AS BIGINT) AS tiles, CAST(count(*) FILTER (WHERE gml) AS BIGINT) AS gml_files, CAST(count(*) AS BIGINT) AS files FROM (
+    SELECT 'folder' AS kind, concat('t', user_id) AS tile, event_type = 'click' AS gml FROM events UNION ALL SELECT 'loose', CAST(c_custkey AS VARCHAR), true FROM customer) GROUP BY kind"""
+)
+def tile_inventory(spark, d):
+    ending = F.when(F.col("event_type") == "click", ".gml").otherwise(".txt")
+    inside = V.table(spark, d, "events").select(F.concat(F.lit("t"), "user_id", F.lit("/sub/"), "event_id", ending).alias("path"))
+    return tiles.inventory(inside.unionByName(V.table(spark, d, "customer").select(F.concat("c_custkey", F.lit(".gml")).alias("path"))))
