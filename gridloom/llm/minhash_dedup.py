@@ -126,15 +126,15 @@ def _sketches(docs: DataFrame, sketches: int, size: int) -> DataFrame:
 
 
 def _shingles(docs: DataFrame) -> DataFrame:
-    """(id, n, shingles): 32-bit shingle hashes in text order, for the alignment."""
+    """(id, n, shingles, keys): 32-bit shingle hashes in text order for the alignment, and the sketches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
             own = [(shingler.of(WORD.findall(t.lower())) >> np.uint64(32)).astype("<u4") for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in own], "shingles": [s.tobytes() for s in own]})
+            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in own], "shingles": [s.tobytes() for s in own], "keys": batch["keys"]})
 
-    return docs.mapInPandas(run, "id long, n int, shingles binary")
+    return docs.mapInPandas(run, "id long, n int, shingles binary, keys array<long>")
 
 
 def _verified(edges: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -151,8 +151,11 @@ def _verified(edges: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return fitting.select("src", "dst", "s1", "s2").mapInPandas(run, "src long, dst long")
 
 
-def _join_block(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between outsiders and members of one block, as a forest: pairs already in one component aren't compared."""
+def _join_block(group: pd.DataFrame, threshold: float, between: bool) -> pd.DataFrame:
+    """Links of one block, as a forest: pairs already in one component aren't compared, nor those without a common sketch.
+
+    `between`: both sides are the same kind of row, and each pair is compared one way round.
+    """
     root = {c: c for c in group["component"]}
 
     def find(c):
@@ -161,12 +164,15 @@ def _join_block(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
             c = root[c]
         return c
 
+    ids, components, outside = group["id"].tolist(), group["component"].tolist(), group["outsider"].to_numpy()
     arrays = [np.frombuffer(s, "<u4") for s in group["shingles"]]
-    ids, components, outside = group["id"].tolist(), group["component"].tolist(), group["outsider"].tolist()
-    members = [i for i, o in enumerate(outside) if not o]
+    keys = np.stack(group["keys"])
+    members = np.flatnonzero(~outside)
     links = []
-    for i in (i for i, o in enumerate(outside) if o):
-        for j in members:
+    for i in np.flatnonzero(outside):
+        for j in members[(keys[members] == keys[i]).any(1)]:
+            if between and ids[i] >= ids[j]:
+                continue
             a, b = find(components[i]), find(components[j])
             if a != b and aligned(arrays[i], arrays[j], threshold) > 0:
                 root[a] = b
@@ -174,7 +180,20 @@ def _join_block(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: int = 4, block: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _searched(inner: DataFrame, outer: DataFrame, at: str, shingles: DataFrame, block: int, threshold: float, between: bool) -> DataFrame:
+    """Links between `inner` and `outer` rows (at, id, component) of equal `at`, in pairs of blocks of about `block` rows each."""
+    size = lambda rows, name: rows.groupBy(at).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = size(inner, "inner").join(size(outer, "outer"), at)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = inner.join(blocks, at).select(at, "id", "component", deal("inner").alias("b"), every("outer").alias("c"), F.lit(False).alias("outsider"))
+    right = outer.join(blocks, at).select(at, "id", "component", every("inner").alias("b"), deal("outer").alias("c"), F.lit(True).alias("outsider"))
+    rows = left.unionByName(right).join(shingles.select("id", "shingles", "keys"), "id")
+    groups = rows.select("id", "component", "outsider", "shingles", "keys", F.struct(at, "b", "c").alias("at"))
+    return groups.groupBy("at").applyInPandas(lambda g: _join_block(g, threshold, between), "src long, dst long")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: int = 4, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, exact_id, class_id, kept), one row for each input row.
 
     class_id is the least id of the texts that links of at least `threshold` connect, exact_id the
@@ -186,7 +205,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     Equal texts are one row from the start. Of the texts that share sketches, each is first held
     against the one text of its buckets that shares most sketches with others; buckets that still
     hold several components are then searched in blocks, each member outside the bucket's largest
-    component against all of it. A large group of copies thus costs a comparison a text, all pairs
+    component against all of that component that shares a sketch with it, and these members among each other. A large group of copies thus costs a comparison a text, all pairs
     of different components in a bucket are compared, and no bucket meets in one task.
     """
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -206,8 +225,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     nearest = members.join(centres, "key").groupBy("id").agg(F.max("centre").alias("centre"))
     edges = stage(nearest.select(F.col("id").alias("src"), (-F.col("centre.minus")).alias("dst")).where("src <> dst"), "candidates")
 
-    wanted = members.select("id").distinct()
-    shingles = stage(_shingles(given.where(usable).join(wanted, "id", "left_semi")), "shingles")
+    # the texts of candidates, by a shuffle at every size: candidates grow with the corpus
+    wanted = texts.select("id", "keys").join(shared.select("id"), "id")
+    shingles = stage(_shingles(given.where(usable).join(wanted.hint("merge"), "id")), "shingles")
     first = stage(_verified(edges, shingles, threshold), "links")
     parts = connected_components(first)
 
@@ -217,14 +237,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     mixed = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("n"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("parts > 1")
     # two texts that were compared already
     tested = edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(2).cast("long").alias("n"))
-    mixed = mixed.join(tested, ["lo", "hi", "n"], "left_anti").select("key", F.col("largest.component").alias("main"), F.ceil((F.col("n") - F.col("largest.c")) / block).cast("int").alias("outer"), F.ceil(F.col("n") / block).cast("int").alias("inner"))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    open_rows = placed.drop("n").join(mixed, "key")
-    inner = open_rows.select("key", "id", "component", deal("inner").alias("b"), every("outer").alias("c"), F.lit(False).alias("outsider"))
-    outer = open_rows.where("component <> main").select("key", "id", "component", every("inner").alias("b"), deal("outer").alias("c"), F.lit(True).alias("outsider"))
-    groups = inner.unionByName(outer).join(shingles.select("id", "shingles"), "id").select("id", "component", "outsider", "shingles", F.struct("key", "b", "c").alias("at"))
-    second = stage(groups.groupBy("at").applyInPandas(lambda g: _join_block(g, threshold), "src long, dst long"), "links")
+    mixed = mixed.join(tested, ["lo", "hi", "n"], "left_anti").select("key", F.col("largest.component").alias("main"), "parts")
+    opened = stage(placed.join(mixed, "key").select("key", "id", "component", "main", "parts"), "open")
+    # against the largest components: whatever buckets a text and a component meet in, they meet in one search
+    near = opened.where("component = main").select("main", "id", "component").distinct()
+    far = opened.where("component <> main").select("main", "id", "component").distinct()
+    # among the others of a bucket
+    others = opened.where("component <> main and parts > 2").select("key", "id", "component")
+    second = stage(_searched(near, far, "main", shingles, block, threshold, False).unionByName(_searched(others, others, "key", shingles, block, threshold, True)), "links")
     final = connected_components(first.unionByName(second).unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
     named = texts.select("d1", "d2", F.col("id").alias("exact_id")).join(final.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left")
