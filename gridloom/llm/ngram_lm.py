@@ -201,6 +201,11 @@ class Words:
             table.update(zip(new, found.tolist(), strict=True))
         return np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def of(self, group: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all tokens of some texts, and where each text starts: new words of a group are looked up together."""
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in group])[:-1]]).astype(np.int64)
+        return self.ids([w for text in group for w in text]), starts
+
 
 def _blobs(keys: np.ndarray, columns: list[np.ndarray], shards: np.ndarray, n: int) -> pd.DataFrame:
     cuts = np.searchsorted(shards, np.arange(n + 1))
@@ -208,7 +213,7 @@ def _blobs(keys: np.ndarray, columns: list[np.ndarray], shards: np.ndarray, n: i
     return pd.DataFrame(rows, columns=["shard", "keys", *(f"c{i}" for i in range(len(columns)))])
 
 
-def _texts(batches: Iterator[pd.DataFrame], limit: int = CHUNK) -> Iterator[list[list[bytes]]]:
+def _texts(batches: Iterator[pd.DataFrame], limit: int = 250_000) -> Iterator[list[list[bytes]]]:
     """Token lists of texts, in groups of about `limit` tokens."""
     held, n = [], 0
     for batch in batches:
@@ -222,21 +227,42 @@ def _texts(batches: Iterator[pd.DataFrame], limit: int = CHUNK) -> Iterator[list
         yield held
 
 
+def _chunks(arrays: Iterator[np.ndarray], limit: int = CHUNK) -> Iterator[np.ndarray]:
+    held, n = [], 0
+    for a in arrays:
+        held.append(a)
+        n += len(a)
+        if n >= limit:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def before_each(ids: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
+    """The id before each token; `begin` at the start of a text."""
+    before = np.append(-1, ids[:-1])
+    before[starts] = begin
+    return before
+
+
 def count_words(texts: DataFrame, folder: str, shards: int) -> Model:
     """Counts the words of `texts` and writes the vocabulary: one sorted array of hashes and one of counts for each shard."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: dict[bytes, int] = {}
-        for group in _texts(batches):
-            parts = []
-            for words in group:
+
+        def hashed() -> Iterator[np.ndarray]:
+            for group in _texts(batches):
+                words = [w for text in group for w in text]
                 if new := set(words).difference(table):
                     if len(table) + len(new) > 300_000:
                         table.clear()
                         new = set(words)
                     table.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-                parts.append(np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=len(words)))
-            every = np.concatenate(parts)
+                yield np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=len(words))
+
+        for every in _chunks(hashed()):
             keys, counts = np.unique(every, return_counts=True)
             yield _blobs(keys, [counts], shard_of(keys, 64, shards), shards)
 
@@ -263,13 +289,14 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(model, Files(folder))
-        for group in _texts(batches):
-            parts = []
-            for own in group:
-                ids = words.ids(own).astype(np.uint64)
-                before = np.append(np.uint64(model.vocabulary), ids[:-1])
-                parts.append(before * np.uint64(span) + ids)
-            keys, counts = np.unique(scramble.do(np.concatenate(parts)), return_counts=True)
+
+        def pairs() -> Iterator[np.ndarray]:
+            for group in _texts(batches):
+                ids, starts = words.of(group)
+                yield before_each(ids, starts, model.vocabulary).astype(np.uint64) * np.uint64(span) + ids.astype(np.uint64)
+
+        for every in _chunks(pairs()):
+            keys, counts = np.unique(scramble.do(every), return_counts=True)
             yield _blobs(keys, [counts], shard_of(keys, model.bits, shards), shards)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -357,10 +384,8 @@ class Scorer:
         """(tokens, known tokens, base score, score) of each text, in log10."""
         m = self.model
         lengths = np.array([len(t) for t in group])
-        ids = np.concatenate([self.words.ids(t) for t in group])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        before = np.append(-1, ids[:-1])
-        before[starts] = m.vocabulary
+        ids, starts = self.words.of(group)
+        before = before_each(ids, starts, m.vocabulary)
         distinct, back = np.unique(ids, return_inverse=True)
         c = self.counts(distinct)[back]
         base = np.log10((c + 1) / (m.tokens_seen + (m.vocabulary + 1)))
@@ -413,7 +438,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: dict[str, Col
             for value in batch["text"]:
                 held.append(tokens(value))
                 n += len(held[-1])
-                if n >= 500_000:
+                if n >= 250_000:
                     rows += scorer.texts(held)
                     held, n = [], 0
             if held:
