@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,8 +135,6 @@ def point_z(x: Column, y: Column, z: Column, srid: Column) -> Column:
 
 def point_z_arrow(srid: int = DEFAULT_SRID):
     """The same bytes by an Arrow UDF, for wide tables where the native form's text work shows."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def build(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -36,7 +36,7 @@ def headers(files: DataFrame) -> DataFrame:
     # one byte a character, so that places in the text are places in the content
     head = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
     cut = F.regexp_extract(head, r"(?s)^(.*?\n)[ \t\r]*data[ \t\r]*\n", 0)
-    lines = F.transform(F.split(F.regexp_extract(head, r"(?s)^[^\n]*\n(.*?)(?:^|(?<=\n))[ \t\r]*data[ \t\r]*\n", 1), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_extract(head, r"(?s)^[^\n]*\n(.*?)(?:^|(?<=\n))[ \t\r]*data[ \t\r]*\n", 1), "\n"), lambda s: F.trim(s))
     lines = F.filter(F.transform(lines, lambda s: F.regexp_replace(s, r"\r", "")), lambda s: s != "")
     last = lambda prefix: F.try_element_at(F.filter(lines, lambda s: s.startswith(prefix)), F.lit(-1))
     three = lambda s, kind: F.regexp_extract_all(s, F.lit(kind), F.lit(0))

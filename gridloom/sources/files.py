@@ -26,7 +26,7 @@ def stem(name: Column) -> Column:
 
 def text_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """(path, content), one row a file; folders inside are not entered."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def scan_mesh(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,11 +89,11 @@ def index_entries(documents: DataFrame) -> DataFrame:
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    return index_entries(spark.read.option("wholetext", True).text(path).select(F.col("value").alias("content")))
+    return index_entries(spark.read.text(path, wholetext=True).select(F.col("value").alias("content")))
 
 
 def scan_tile_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) relative to the folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     root = F.lit(folder.removeprefix("file:").rstrip("/") + "/")
-    return files.select(F.substring_index(F.col("path"), root, -1).alias("path"), "length")
+    return files.select(F.call_function("substring_index", F.col("path"), root, F.lit(-1)).alias("path"), "length")
