@@ -1,0 +1,264 @@
+"""Language ID, toxicity, secrets, language model, URL filter: brute-force twins and held-out rows."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import langid, ngram_lm, secrets, toxicity, url_filter
+
+LANGUAGES = {"en": "the of and house tree water river stone people under walking nothing winter", "de": "der die und haus baum wasser fluss stein leute unter gehen nichts winterlich", "fr": "le la et maison arbre eau fleuve pierre gens sous marcher rien hiver"}
+
+
+def labelled(n=60, seed=1):
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        lang = list(LANGUAGES)[i % 3]
+        rows.append((i, " ".join(rng.choice(LANGUAGES[lang].split()) for _ in range(rng.randint(3, 40))), lang))
+    return rows
+
+
+# ---- language ID
+
+
+def all_segmentations(word, pieces, p):
+    if not word:
+        return 1.0
+    total = 0.0
+    for n in range(1, len(word) + 1):
+        k = pieces.get(word[:n])
+        if k is not None:
+            total += p[k] * all_segmentations(word[n:], pieces, p)
+    if pieces.get(word[0]) is None:
+        total += p[len(pieces)] * all_segmentations(word[1:], pieces, p)
+    return total
+
+
+def test_forward_sums_all_segmentations():
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "c"])}
+    p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1))
+    words = ["", "a", "ab", "abab", "abaXba", "ccc", "X"]
+    got = langid.Lattices(words, pieces, 3).log_probability(p[:, None])[:, 0]
+    for w, v in zip(words, got, strict=True):
+        assert math.isclose(v, math.log(all_segmentations("▁" + w, pieces, p)), rel_tol=1e-9)
+
+
+def test_expected_counts_sum_to_what_words_hold():
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab"])}
+    counts = langid.Lattices(["ab"], pieces, 2).expected(np.full(5, 0.2), np.array([10.0]))
+    one, two = 0.2 * 0.2, 0.2 * 0.2 * 0.2
+    share = one / (one + two)
+    assert np.allclose(counts, [10, 10 * (1 - share), 10 * (1 - share), 10 * share, 0])
+
+
+def test_identify(spark, tokenizers):
+    rows = labelled()
+    train = spark.createDataFrame(rows + [(99, None, "en"), (98, "xyz", None)], "doc_id long, text string, lang string")
+    model = langid.fit(train, tokenizers("piece_bpe_32k.model"))
+    assert model.languages == ["de", "en", "fr"]
+    test = labelled(30, seed=2)
+    given = [*[(i, t) for i, t, _ in test], (500, None), (501, ""), (502, "123 ²³ !?"), (503, "the people " * 20_000), (504, "z" * 5000), (None, "le la et")]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in given], "doc_id long, text string, score double")
+    out = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert sum(out[i].lang_pred == lang for i, _, lang in test) >= 29
+    assert all(out[k].lang_pred == "und" and out[k].score == 0.0 for k in (500, 501, 502))
+    assert out[503].lang_pred == "en" and out[None].lang_pred == "fr" and out[504].lang_pred in model.languages
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert langid.identify(df.where("false"), model).count() == 0
+    assert langid.fit(train.where("false"), tokenizers("piece_bpe_32k.model")).languages == ["und"]
+
+
+# ---- toxicity
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    rows = []
+    for i in range(500):
+        own = [rng.choice(words) for _ in range(rng.randint(5, 80))]
+        bad = i % 3 == 0
+        if bad:
+            own.insert(rng.randrange(len(own)), rng.choice(["scum", "moron", "idiot"]))
+        rows.append((i, " ".join(own), "en" if i % 2 else "de", int(bad)))
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows] + [(1, None), (None, 1), (77777, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 400"), labels.where("doc_id < 400"), bits=14)
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "?!"), (903, "scum " + "abc " * 120_000)], "doc_id long, text string")).withColumn("predicted", F.lit("x"))
+    out = {r.doc_id: r for r in toxicity.classify(given, model).collect()}
+    held = rows[400:]
+    assert sum(out[i].predicted == y for i, _, _, y in held) >= 0.95 * len(held)
+    assert out[900].score == out[901].score == out[902].score and 0 <= out[900].score <= 1 and out[903].predicted == 1
+    empty = toxicity.fit(docs, labels.where("false"))
+    assert toxicity.classify(given, empty).count() == 504
+
+
+def test_threshold():
+    z, y = np.array([-3.0, -1.0, 2.0, 5.0]), np.array([0, 0, 1, 1])
+    assert toxicity.threshold(z, y) == 0.5
+    assert toxicity.threshold(z, np.zeros(4)) == 0.0
+
+
+# ---- secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def spans_of(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [("assign access hex".split()[k], a, b) for a, k, b in sorted(found)]
+
+
+def secret_texts():
+    rng = random.Random(3)
+    bits = ["password=", "Token : ", "api_key='", "APIKEY=\"", "secret:", "AKIA", "ABCDEFGHIJ012345", "deadbeef" * 3, "é日本 ", "short", "x" * 13, " ", "\n", "=", ":", "'", "0123456789abcdef", "ſecret=abcdefghijklm", "toKen=abcdefghijklm", "the and of"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["token=secret:abcdefghijklmnop", "password=abc token=abcdefghijklmnopq", "AKIA" * 10]
+
+
+def trained(spark):
+    rng = random.Random(9)
+    random_ones = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(300)]
+    plain = [rng.choice(["get", "set", "make", "user", "order"]) + "_" + rng.choice(["name", "count", "value", "index", "total"]) + "_of_" + rng.choice(["customer", "building", "parcel", "invoice"]) for _ in range(300)]
+    samples = spark.createDataFrame([(t, 1) for t in random_ones] + [(t, 0) for t in plain], "token string, random int")
+    return secrets.train(samples)
+
+
+def test_base_spans(spark):
+    texts = secret_texts()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(-1, None, "x"), (-2, "", "x"), (-3, "a " * 300_000 + "password=abcdefghijklmnop", "x")], "doc_id long, text string, spans string")
+    out = {r.doc_id: r.spans for r in secrets.scan(df, [0.0] * 128 * 128).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in out[i]] == spans_of(t), t
+    assert out[-1] == [] and out[-2] == [] and [(s.kind, s.start) for s in out[-3]] == [("assign", 600_000)]
+    assert secrets.scan(df.where("false"), [0.0] * 128 * 128).count() == 0
+
+
+def test_markov_adds_random_strings_only(spark):
+    ratios = trained(spark)
+    assert len(ratios) == 128 * 128
+    rows = [("key qX7Rz0PfT2mKd9LwYb4VhN8s end",), ("call get_total_count_of_customer_value now",), ("password=qX7Rz0PfT2mKd9LwYb4VhN8s",)]
+    out = [[(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "text string"), ratios).collect()]
+    assert out == [[("markov", 4, 28)], [], [("assign", 0, 33)]]
+
+
+def test_redact(spark):
+    df = secrets.scan(spark.createDataFrame([("é token=abcdefghijklmnop, deadbeefdeadbeefdead x",), ("token=0123456789abcdef0123",), ("clean",), (None,)], "text string"), [0.0] * 128 * 128)
+    assert [r.t for r in df.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()] == ["é [SECRET], [SECRET] x", "[SECRET]", "clean", None]
+
+
+def test_labelled_samples(spark):
+    df = spark.createDataFrame([("token=abcdefghijklmnop some ordinary_words here",), (None,)], "text string")
+    rows = {(r.token, r.random) for r in secrets.labelled_samples(df).collect()}
+    assert rows == {("abcdefghijklmnop", 1), ("ordinary_words", 0)}
+
+
+# ---- language model
+
+
+def model_twin(train):
+    tokens = [ngram_lm.tokens(t) for t in train]
+    unigrams, bigrams = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip([None, *t[:-1]], t, strict=True))
+    tails = Counter(b for _, b in bigrams)
+    of = lambda c: ngram_lm.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
+    d2, d1, n = of(bigrams), of(tails), len(bigrams)
+    rest = sum(d1[min(v, 3)] for v in tails.values()) / n
+    heads, gamma = Counter(), Counter()
+    for (a, _), v in bigrams.items():
+        heads[a] += v
+        gamma[a] += d2[min(v, 3)]
+
+    def p(a, b):
+        low = max(tails[b] - d1[min(tails[b], 3)], 0) / n + rest / (len(unigrams) + 1)
+        if not heads[a]:
+            return low
+        return max(bigrams[a, b] - d2[min(bigrams[a, b], 3)], 0) / heads[a] + gamma[a] / heads[a] * low
+
+    return unigrams, p
+
+
+def test_language_model_against_twin(spark):
+    train = [t for _, t, _ in labelled(40)] + ["", "A\x0bb\x1cc d\x85e É"]
+    unigrams, p = model_twin(train)
+    vocabulary = [*unigrams, b"never seen"]
+    for a in (None, b"the", b"unseen"):
+        assert math.isclose(sum(p(a, w) for w in vocabulary), 1.0, rel_tol=1e-9)
+    model = ngram_lm.train(spark.createDataFrame([(t, 1) for t in [*train[:-2], None, train[-1]]], "text string, score int"), chars_per_shard=200)
+    assert model.tokens_seen == sum(unigrams.values()) and model.vocabulary == len(unigrams)
+    given = train + ["unknown words here the of", None, "the " * 300_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(given)], "doc_id long, text string, score string")
+    n, v = model.tokens_seen, model.vocabulary
+    for r in ngram_lm.score(df, model).collect():
+        own = ngram_lm.tokens(given[r.doc_id])
+        assert r.n_tokens == len(own) and r.n_known == sum(unigrams[w] > 0 for w in own)
+        assert math.isclose(r.base_score, sum(math.log10((unigrams[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *own[:-1]], own, strict=True)), rel_tol=1e-9)
+
+
+def test_language_model_without_texts(spark):
+    none = spark.createDataFrame([], "text string")
+    model = ngram_lm.train(none)
+    rows = ngram_lm.score(spark.createDataFrame([("a b",)], "text string"), model).collect()
+    assert rows[0].n_tokens == 3 and rows[0].n_known == 0 and rows[0].score <= 0
+    assert ngram_lm.score(none, model).count() == 0
+
+
+@pytest.mark.parametrize("bits", [8, 17, 46, 63])
+def test_scramble_is_a_permutation(bits):
+    s = ngram_lm.Scramble(bits)
+    x = np.unique(np.random.default_rng(0).integers(0, 2**bits, 200, dtype=np.uint64))
+    y = s.do(x)
+    assert (s.undo(y) == x).all() and len(np.unique(y)) == len(x) and (y < np.uint64(2**bits)).all()
+
+
+def test_squeeze_round_trip():
+    x = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64))
+    assert (ngram_lm.expand(ngram_lm.squeeze(x)) == x).all() and (ngram_lm.unplain(ngram_lm.plain(x)) == x).all()
+    assert len(ngram_lm.expand(ngram_lm.squeeze(x[:0]))) == 0
+
+
+# ---- URL filter
+
+
+def host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest, re.S)[0]
+    return "".join(c.lower() if c.isascii() else c for c in host), re.match(r"[^?#]*", rest[len(host) :], re.S)[0]
+
+
+def rule(host, path):
+    fits = [(len(h) + len(p), len(h), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[2:] if fits else (None, None)
+
+
+URLS = ["http://a.example.com/en/x", "https://www.example.com/en/1?x#y", "http://EXAMPLE.net/es/", "http://x.net/fr/a", "http://x.net/de/", "x.com/", None, "", "http://", "http://com", "http://com/", "a://b://c/d", "http://notexample.com/en/", "ftp://É.COM/é?/", "http://h\nx.com/p\nq", "http://x.org?u=http://y.com/"]
+
+
+def test_hosts_rules_and_verdicts(spark):
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(URLS)], "page_id long, url string, host int")
+    model = url_filter.fit(spark)
+    out = {r.page_id: r for r in model.apply(df).collect()}
+    for i, u in enumerate(URLS):
+        host, path = host_path(u)
+        text, verdict = rule(host, path)
+        assert (out[i].host, out[i].path, out[i].rule) == (host, path, text)
+        assert out[i].verdict == (verdict or ("block" if out[i].score >= 0.5 else "allow"))
+    assert model.apply(df.where("false")).count() == 0
+
+
+def test_classifier_on_unseen_urls(spark):
+    urls = ["http://cheap-pills.example.org/de/17", "https://spam-farm.example.org/fr/99", "https://news.garden.example.org/de/5", "http://library.example.org/en/8"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.fit(spark).apply(df).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+
+
+def test_sha_of_no_spans():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
