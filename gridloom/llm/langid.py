@@ -36,28 +36,48 @@ def load_pieces(model_file: str) -> dict[str, int]:
     return found
 
 
+def beginnings(pieces: dict[str, int]) -> dict[str, int]:
+    """Every beginning of a piece, with the piece's number where it is one itself, else -1."""
+    found = {p[:n]: -1 for p in pieces for n in range(1, len(p))}
+    return found | pieces
+
+
 class Lattices:
     """All segmentation edges of some words, grouped by the position where they end.
 
     An edge is (word, start, end, piece); a single character outside the vocabulary is an edge of
-    the piece `len(pieces)`, which stands for all such characters.
+    the piece `unknown`, which stands for all such characters. `known` has the beginnings of pieces,
+    so that a stretch is followed only as long as a piece may go on.
     """
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        unknown, get = len(pieces), pieces.get
-        edges: list[tuple[int, int, int, int]] = []
+    def __init__(self, words: list[str], known: dict[str, int], unknown: int):
+        get = known.get
+        edges: list[int] = []
+        add = edges.append
         for k, word in enumerate(words):
             w = "▁" + word
             n = len(w)
+            k <<= 34
             for a in range(n):
-                if get(w[a]) is None:
-                    edges.append((a + 1, k, a, unknown))
-                for b in range(a + 1, min(n, a + longest) + 1):
-                    if (p := get(w[a:b])) is not None:
-                        edges.append((b, k, a, p))
-        e = np.array(edges, dtype=np.int64).reshape(-1, 4)
-        e = e[np.argsort(e[:, 0], kind="stable")]
-        self.end, self.word, self.start, self.piece = e.T
+                at = k | a << 26
+                p = get(w[a])
+                if p is None or p < 0:
+                    add(at | (a + 1) << 18 | unknown)
+                elif p >= 0:
+                    add(at | (a + 1) << 18 | p)
+                if p is None:
+                    continue
+                for b in range(a + 2, n + 1):
+                    p = get(w[a:b])
+                    if p is None:
+                        break
+                    if p >= 0:
+                        add(at | b << 18 | p)
+        # one number an edge: 18 bits of piece, 8 of end, 8 of start, the rest the word
+        e = np.array(edges, dtype=np.int64)
+        self.end = e >> 18 & 255
+        e = e[np.argsort(self.end, kind="stable")]
+        self.piece, self.end, self.start, self.word = e & (1 << 18) - 1, e >> 18 & 255, e >> 26 & 255, e >> 34
         self.lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
         last = int(self.lengths.max(initial=0))
         self.cuts = np.searchsorted(self.end, np.arange(1, last + 2))
@@ -97,14 +117,14 @@ class Identifier:
 
     def __init__(self, pieces: dict[str, int], languages: list[str], probabilities: np.ndarray):
         self.pieces, self.languages, self.probabilities = pieces, languages, probabilities
-        self.longest = max(map(len, pieces), default=1)
+        self.known = beginnings(pieces)
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), one row a word; words that hold no letter have zeros."""
         short = [w for w in words if len(w) <= STRETCH]
         out = np.zeros((len(words), len(self.languages)))
         if short:
-            found = iter(Lattices(short, self.pieces, self.longest).log_probability(self.probabilities))
+            found = iter(Lattices(short, self.known, len(self.pieces)).log_probability(self.probabilities))
         for i, w in enumerate(words):
             if len(w) <= STRETCH:
                 row = next(found)
@@ -175,11 +195,11 @@ def fit(labelled: DataFrame, vocabulary: str, max_documents_per_language: int =
     counted = words.where(F.length("word") <= STRETCH).groupBy("lang", "word").count().orderBy(F.desc("count"), "word", "lang").limit(max_words).collect()
     pieces = load_pieces(vocabulary)
     languages = sorted({r["lang"] for r in counted})
-    longest = max(map(len, pieces), default=1)
+    known = beginnings(pieces)
     table = np.full((len(pieces) + 1, max(1, len(languages))), 1.0 / (len(pieces) + 1))
     for k, lang in enumerate(languages):
         own = [(r["word"].lower(), r["count"]) for r in counted if r["lang"] == lang]
-        parts = [(Lattices([w for w, _ in own[i : i + 20_000]], pieces, longest), np.array([c for _, c in own[i : i + 20_000]], dtype=float)) for i in range(0, len(own), 20_000)]
+        parts = [(Lattices([w for w, _ in own[i : i + 20_000]], known, len(pieces)), np.array([c for _, c in own[i : i + 20_000]], dtype=float)) for i in range(0, len(own), 20_000)]
         for _ in range(rounds):
             seen = sum(lattice.expected(table[:, k], counts) for lattice, counts in parts) + smoothing
             table[:, k] = seen / seen.sum()

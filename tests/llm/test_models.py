@@ -43,14 +43,14 @@ def test_forward_sums_all_segmentations():
     pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "c"])}
     p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1))
     words = ["", "a", "ab", "abab", "abaXba", "ccc", "X"]
-    got = langid.Lattices(words, pieces, 3).log_probability(p[:, None])[:, 0]
+    got = langid.Lattices(words, langid.beginnings(pieces), len(pieces)).log_probability(p[:, None])[:, 0]
     for w, v in zip(words, got, strict=True):
         assert math.isclose(v, math.log(all_segmentations("▁" + w, pieces, p)), rel_tol=1e-9)
 
 
 def test_expected_counts_sum_to_what_words_hold():
     pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab"])}
-    counts = langid.Lattices(["ab"], pieces, 2).expected(np.full(5, 0.2), np.array([10.0]))
+    counts = langid.Lattices(["ab"], langid.beginnings(pieces), len(pieces)).expected(np.full(5, 0.2), np.array([10.0]))
     one, two = 0.2 * 0.2, 0.2 * 0.2 * 0.2
     share = one / (one + two)
     assert np.allclose(counts, [10, 10 * (1 - share), 10 * (1 - share), 10 * share, 0])
