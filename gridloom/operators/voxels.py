@@ -16,10 +16,10 @@ def voxel_origin(grids: DataFrame, bboxes: DataFrame) -> DataFrame:
     return joined.withColumns({f"o{a}": F.coalesce(F.col(f"_{a}") - F.col("scale") * 0.5, moved[k]) for k, a in enumerate("xyz")}).drop("_x", "_y", "_z")
 
 
-def cube_of_bbox(bboxes: DataFrame) -> DataFrame:
-    """(obj_key, scale, ox, oy, oz): the cube around the box's centre with the box's largest side."""
+def cube_of_bbox(bboxes: DataFrame, target: float) -> DataFrame:
+    """(obj_key, scale, grid, ox, oy, oz): the cube around the box's centre with the box's largest side, and its cells an axis."""
     scaled = bboxes.withColumn("scale", X.max_dimension())
-    return scaled.select("obj_key", "scale", *[(X.centre(F.col(f"{a}min"), F.col(f"{a}max")) - F.col("scale") * 0.5).alias(f"o{a}") for a in "xyz"])
+    return scaled.select("obj_key", "scale", X.grid_size(F.col("scale"), target).alias("grid"), *[(X.centre(F.col(f"{a}min"), F.col(f"{a}max")) - F.col("scale") * 0.5).alias(f"o{a}") for a in "xyz"])
 
 
 def world_coordinates(cells: DataFrame) -> DataFrame:

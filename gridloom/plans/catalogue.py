@@ -33,8 +33,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cubes(spark: SparkSession, d: str) -> DataFrame:
-    found = boxes(spark, d)
-    return voxels.cube_of_bbox(found).join(mesh.grid_mapping(found, TARGET).select("obj_key", "grid"), "obj_key")
+    return voxels.cube_of_bbox(boxes(spark, d), TARGET)
 
 
 def typed_cells(spark: SparkSession, d: str) -> DataFrame:
