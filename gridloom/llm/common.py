@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    if not (where := spark.conf.get("spark.checkpoint.dir", None)):
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
+
+
+@functools.cache
+def own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
