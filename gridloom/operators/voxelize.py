@@ -123,6 +123,9 @@ def voxelize_surface(triangles: DataFrame, grids: DataFrame, split_above: int =
     # edges and normal become columns below the sweeps, so that candidates don't compute them again
     measured = F.struct(*[c.alias(n) for n, c in (spans | _edges()).items()])
     own = own.select("*", F.inline(F.array(measured))).withColumns(_normal())
+    # few bytes of triangles become many candidates: they are dealt out to a fixed number of tasks, which isn't merged again
+    tasks = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.repartition(tasks, "obj_key", *[f"{a}{k}" for k in range(3) for a in "uvw"])
     columns = (F.col("u_to") - F.col("u_from") + 1) * (F.col("v_to") - F.col("v_from") + 1)
     small = own.where(columns <= split_above).withColumn("u", F.explode(F.sequence("u_from", "u_to")))
     large = own.where(columns > split_above).withColumn("u", F.explode(F.sequence("u_from", "u_to"))).repartition("obj_key", "u", *[f"{a}{k}" for k in range(3) for a in "uvw"])
