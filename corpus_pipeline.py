@@ -20,9 +20,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts whose language stays open; corrects nothing else."""
     model = langid.fit(docs.select("text", "lang"), tokenizer_path("piece_bpe_32k.model"))
-    judged = langid.identify(docs, model)
+    judged = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
     sure = (F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(sure).select(*docs.columns)
+    return judged.where(sure).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mask; no document goes."""
-    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
-    cleaned = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
-    return cleaned.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secrets.scan(docs.select(F.struct(*docs.columns).alias("row"), "text"), secrets.train(secrets.labelled_samples(docs)))
+    masked = found.select("row", "spans", secrets.redact(F.col("text"), F.col("spans")).alias("masked"))
+    n_chars = F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("masked"), "n_chars": n_chars}
+    return masked.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_of_id(column: str):
     """crc32 of the id's decimal text, the basis of the held-out folds."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

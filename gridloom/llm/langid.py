@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import unused
+
 UND = "und"
 #: Runs of letters (numerals of the kinds No and Nl also match and are sorted out later).
 RUN = re.compile(r"[^\W\d_]+")
@@ -225,4 +227,5 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text") -> DataFram
             rows = [row for lo in range(0, len(own), 128) for row in scorer.batch(own[lo : lo + 128])]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    return kept.withColumn("_judged", judge(F.col(text))).select(*names, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"))
+    judged = unused(kept, "judged")
+    return kept.withColumn(judged, judge(F.col(text))).select(*names, F.col(judged)["lang_pred"].alias("lang_pred"), F.col(judged)["score"].alias("score"))
