@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near-duplicates."""
+    """Keeps the document with the least id of each class of near-duplicates; rows that repeat an id are one document."""
     dropped = minhash_dedup.classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti").select(*docs.columns)
 
