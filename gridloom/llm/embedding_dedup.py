@@ -2,7 +2,8 @@
 
 Vectors are cut in halves, each half has its own codebook, and pairs of codewords form a grid of
 cells. Every vector is filed in its nearest cell and looks for partners in the cells nearest to it,
-in the order of a multi-sequence traversal; how many cells it visits follows from the target recall.
+in the order of a multi-sequence traversal over lower bounds of the distance to a cell's vectors; it
+ends where the bound exceeds the distance of partners at the least cosine, so no link is lost.
 Links are counted and gathered inside blocks, so that pairs never become rows.
 """
 
@@ -50,50 +51,78 @@ def traversal(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int,
                 heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
 
 
+#: Codewords whose borders are tried for a lower bound, the nearest to a vector first.
+BORDERS = 8
+#: Moving a row to a block costs about as much as comparing so many pairs.
+PAIRS_A_ROW = 250
+
+
+def border_bounds(d: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Squared lower bounds of the distance from each vector to the vectors filed under each codeword.
+
+    `d` are the squared distances to the codewords, `apart` the distances between codewords. What is
+    filed under i is not nearer to any k, so it lies beyond the plane halfway between the two.
+    """
+    out = np.zeros_like(d)
+    for k in np.argsort(d, axis=1, kind="stable")[:, :BORDERS].T:
+        gap = apart[k]
+        np.maximum(out, np.where(gap > 1e-6, (d - np.take_along_axis(d, k[:, None], 1)) / (2 * np.maximum(gap, 1e-6)), 0), out=out)
+    return out * out
+
+
 class MultiIndex:
-    """Codebooks of one vector length; `visits` cells are searched for each vector."""
+    """Codebooks of one vector length; every cell that may hold a vector within `reach` is searched."""
 
-    def __init__(self, sample: np.ndarray, codewords: int, least_cosine: float, recall: float, seed: int = 5):
+    def __init__(self, sample: np.ndarray, codewords: int, least_cosine: float):
         self.half = sample.shape[1] // 2
         self.one = k_means(sample[:, : self.half], codewords)
         self.two = k_means(sample[:, self.half :], codewords)
-        self.visits = 1
-        # the hardest partners: at the least cosine, in random directions
-        rng = np.random.default_rng(seed)
-        turn = rng.normal(size=sample.shape)
-        turn -= (turn * sample).sum(1)[:, None] * sample
-        norm = np.linalg.norm(turn, axis=1)
-        if sample.shape[1] > 1 and (norm > 0).all():
-            other = least_cosine * sample + np.sqrt(1 - least_cosine**2) * turn / norm[:, None]
-            places = np.sort([self.place(x, int(c)) for x, c in zip(sample[:1000], self.cells(other[:1000]), strict=True)])
-            self.visits = int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1
-
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        return squared(x[:, : self.half], self.one).argmin(1) * len(self.two) + squared(x[:, self.half :], self.two).argmin(1)
-
-    def place(self, x: np.ndarray, cell: int) -> int:
-        d = squared(x[None, : self.half], self.one)[0][:, None] + squared(x[None, self.half :], self.two)[0]
-        return int((d.ravel() < d.ravel()[cell]).sum())
+        self.apart = [np.sqrt(squared(c, c)) for c in (self.one, self.two)]
+        self.reach = np.sqrt(max(0.0, 2 - 2 * least_cosine)) + 1e-6  # beyond rounding errors
+
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return squared(x[:, : self.half], self.one), squared(x[:, self.half :], self.two)
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return border_bounds(a, self.apart[0]), border_bounds(b, self.apart[1])
+
+    def within(self, x: np.ndarray) -> float:
+        """The mean number of cells within reach."""
+        first, second = self.bounds(*self.distances(x))
+        return float(np.mean([(a[:, None] + b <= self.reach**2).sum() for a, b in zip(first, second, strict=True)]))
 
     def nearest(self, x: np.ndarray) -> list[list[int]]:
-        """For each vector the cells to visit, its own first."""
-        a, b = squared(x[:, : self.half], self.one), squared(x[:, self.half :], self.two)
+        """For each vector the cells to search, its own first; of two cells within reach of each other's vectors one searches."""
+        a, b = self.distances(x)
+        homes = a.argmin(1) * len(self.two) + b.argmin(1)
         out = []
-        for first, second in zip(a, b, strict=True):
-            visited = []
-            for i, j, _ in traversal(first, second):
-                visited.append(i * len(self.two) + j)
-                if len(visited) >= self.visits:
+        for home, first, second in zip(homes.tolist(), *self.bounds(a, b), strict=True):
+            visited = [home]
+            for i, j, d in traversal(first, second):
+                if d > self.reach**2:
                     break
+                cell = i * len(self.two) + j
+                if cell != home and (home < cell) == ((home + cell) % 2 == 0):
+                    visited.append(cell)
             out.append(visited)
         return out
 
 
-def build(distinct: DataFrame, least_cosine: float, recall: float, sample_size: int, per_cell: int, max_codewords: int) -> dict[int, MultiIndex]:
+def effort(index: MultiIndex, sample: np.ndarray, n: int, block: int) -> float:
+    """About the work of comparing `n` vectors like the sample, in pairs."""
+    cells = len(index.one) * len(index.two)
+    held = n / cells
+    asked = held * (1 + index.within(sample)) / 2
+    rows = held * np.ceil(asked / block) + asked * np.ceil(held / block)
+    return cells * (rows * PAIRS_A_ROW + held * asked)
+
+
+def build(distinct: DataFrame, least_cosine: float, sample_size: int, per_cell: int, max_codewords: int, block: int) -> dict[int, MultiIndex]:
     """An index for each vector length in a sample of at most `sample_size` vectors, those with the least hashes.
 
-    Codewords grow with the root of the largest label's size, up to `max_codewords`, so that cells
-    stay small as the table grows.
+    Codewords grow with the root of the largest label's size, up to `max_codewords`, as long as more
+    of them save work: where vectors fill many dimensions most cells are within reach of each other,
+    and few cells, cut into blocks, move fewer rows. The choice changes no result.
     """
     largest = distinct.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     rows = distinct.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample_size).collect()
@@ -101,7 +130,13 @@ def build(distinct: DataFrame, least_cosine: float, recall: float, sample_size:
     for r in rows:
         by_size.setdefault(len(r["vector"]), []).append(r["vector"])
     words = int(min(max_codewords, max(2, round((largest / per_cell) ** 0.5))))
-    return {n: MultiIndex(unit(v), min(words, max(1, len(v) // 8)), least_cosine, recall) for n, v in by_size.items()}
+    out = {}
+    for n, v in by_size.items():
+        sample = unit(v)
+        most = min(words, max(1, len(v) // 8))
+        tried = [MultiIndex(sample, k, least_cosine) for k in sorted({most, *(2**e for e in range(most.bit_length()) if 2**e < most)})]
+        out[n] = min(tried, key=lambda index: effort(index, sample[:500], largest, block))
+    return out
 
 
 def local_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -117,10 +152,9 @@ def local_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
         return pd.DataFrame({"id": [], "links": [], "anchor": []})
     q, m, qi, mi, hit = q[rows], m[cols], qi[rows], mi[cols], hit[rows][:, cols]
     links_q = hit @ m["copies"].to_numpy()
-    # a filed vector that doesn't search the other's own cell counts the link here
-    home = q["cell"].to_numpy()
-    unseen = np.stack([~np.isin(home, p) for p in m["visits"]], axis=1)
-    links_m = q["copies"].to_numpy() @ (hit & unseen)
+    # a filed vector of another cell doesn't search the other's own: it counts the link here
+    apart = q["home"].to_numpy()[:, None] != m["home"].to_numpy()
+    links_m = q["copies"].to_numpy() @ (hit & apart)
     label_q, label_m, high = qi.copy(), mi.copy(), np.iinfo(np.int64).max
     while True:
         new_q = np.minimum(label_q, np.where(hit, label_m[None, :], high).min(1))
@@ -131,7 +165,7 @@ def local_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"id": np.concatenate([qi, mi]), "links": np.concatenate([links_q, links_m]), "anchor": np.concatenate([label_q, label_m])})
 
 
-def link(vectors: DataFrame, least_cosine: float = 0.98, recall: float = 0.999, sample_size: int = 4096, per_cell: int = 16, max_codewords: int = 256, block: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def link(vectors: DataFrame, least_cosine: float = 0.98, sample_size: int = 4096, per_cell: int = 16, max_codewords: int = 256, block: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each input row.
 
     Vectors are compared where labels and lengths are equal and the label isn't null. Null, zero or
@@ -152,7 +186,7 @@ def link(vectors: DataFrame, least_cosine: float = 0.98, recall: float = 0.999,
     )
     rows = keyed.where("good")
     classes = stage(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("size", F.size("vector")), "vectors")
-    index = build(classes, least_cosine, recall, sample_size, per_cell, max_codewords)
+    index = build(classes, least_cosine, sample_size, per_cell, max_codewords, block)
     shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most 2 x max_codewords half vectors a length
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,11 +206,11 @@ def link(vectors: DataFrame, least_cosine: float = 0.98, recall: float = 0.999,
     blocks = held.join(asked, spot).select(*spot, F.ceil(F.col("n") / block).cast("int").alias("held_blocks"), F.ceil(F.col("m") / block).cast("int").alias("asked_blocks"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    common = ["id", "copies", "vector", "home", "visits"]
+    common = ["id", "copies", "vector", "home"]
     wide = filed.withColumn("home", F.col("cell"))
     members = wide.join(blocks, spot).select(*spot, *common, deal("held_blocks").alias("b"), every("asked_blocks").alias("c"), F.lit(False).alias("searching"))
     seekers = wide.drop("cell").withColumn("cell", F.explode("visits")).join(blocks, spot).select(*spot, *common, every("held_blocks").alias("b"), deal("asked_blocks").alias("c"), F.lit(True).alias("searching"))
-    groups = members.unionByName(seekers).select("id", "copies", "vector", "visits", "searching", F.col("home").alias("cell"), F.struct(*spot, "b", "c").alias("at"))
+    groups = members.unionByName(seekers).select("id", "copies", "vector", "searching", "home", F.struct(*spot, "b", "c").alias("at"))
     found = stage(groups.groupBy("at").applyInPandas(lambda g: local_links(g, least_cosine), "id long, links long, anchor long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("src"), F.col("anchor").alias("dst")))

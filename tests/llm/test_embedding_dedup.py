@@ -56,3 +56,29 @@ def test_traversal_visits_nearest_first():
     a, b = rng.random(6), rng.random(5)
     order = [d for _, _, d in E.traversal(a, b)]
     assert np.allclose(order, np.sort((a[:, None] + b[None, :]).ravel()))
+
+
+@pytest.mark.parametrize("size, rank", [(64, 4), (256, 8)])
+def test_no_link_is_lost_in_vectors_of_few_dimensions(spark, size, rank):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4200, rank)) @ rng.normal(size=(rank, size)) + 0.01 * rng.normal(size=(4200, size))
+    partner = x[:600] / np.linalg.norm(x[:600], axis=1)[:, None]
+    turn = rng.normal(size=(600, rank)) @ np.linalg.svd(x, full_matrices=False)[2][:rank]
+    turn -= (turn * partner).sum(1)[:, None] * partner
+    x = np.concatenate([x, 0.981 * partner + np.sqrt(1 - 0.981**2) * turn / np.linalg.norm(turn, axis=1)[:, None]])
+    rows = [(i, v.astype("f4").tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.link(df, per_cell=1).collect()}
+    assert got == brute(rows)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(6)
+    x = E.unit(rng.normal(size=(800, 3)) @ rng.normal(size=(3, 32)))
+    index = E.MultiIndex(x, 64, 0.98)
+    visited = index.nearest(x)
+    home = [v[0] for v in visited]
+    near = np.argwhere(x @ x.T >= 0.98)
+    assert len(index.one) == 64 and len(near) > 2000
+    for i, j in near.tolist():
+        assert (home[j] in visited[i]) + (home[i] in visited[j]) == (2 if home[i] == home[j] else 1)
