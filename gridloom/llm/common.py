@@ -48,25 +48,35 @@ def crc_of_id(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) long edges -> (node, component): component is the smallest node reachable.
 
-    Min-label propagation with pointer jumping: each round a node takes the least label among its
-    neighbours', then the label of that label, so a chain of n nodes takes about log n rounds. A
-    node of high degree is one row with partial minima, so hubs don't gather anywhere.
+    Contraction: each round every node moves to the node of least hash among itself and its
+    neighbours, the hash being a new one each round, and edges are drawn between the nodes that are
+    left. The node of greatest hash in a component always goes, so rounds end by themselves, and on
+    average a fixed share goes whatever the shape and the ids, so they are about the logarithm of
+    the largest component and their tables shrink. Moves are then followed back from the last round.
+    A node of high degree is one row with partial minima, so hubs don't gather anywhere.
     Self edges are allowed and keep a lone node; null ends are dropped.
     """
     clean = edges.where("src is not null and dst is not null").select("src", "dst")
     both = stage(clean.union(clean.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        lab = labels.select(F.col("node").alias("dst"), "component")
-        near = both.join(lab, "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = step.join(up, "component", "left").select("node", "was", F.least("component", "up").alias("component"))
-        after = stage(jumped, "labels")
-        labels = after.select("node", "component")
-        if after.where("was <> component").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    left, moves = both.where("src <> dst"), []
+    while not left.isEmpty():
+        mark = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        least = left.groupBy("src").agg(F.min(mark("dst")).alias("near"))
+        moved = stage(least.select(F.col("src").alias("node"), F.least("near", mark("src"))["to"].alias("to")), "moves")
+        moves.append(moved)
+        ends = lambda name: moved.select(F.col("node").alias(name), F.col("to").alias(f"{name}_to"))  # noqa: B023, E731
+        drawn = left.join(ends("src"), "src").join(ends("dst"), "dst").where("src_to <> dst_to")
+        left = stage(drawn.select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct(), "edges")
+    if not moves:
+        return nodes.select("node", F.col("node").alias("component"))
+    roots = moves.pop()
+    while moves:
+        further = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        roots = stage(moves.pop().join(further, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "roots")
+    rooted = stage(nodes.join(roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")), "roots")
+    smallest = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    return stage(rooted.join(smallest, "root").select("node", "component"), "labels")
