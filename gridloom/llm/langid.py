@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import unused
+from gridloom.llm.common import stage, unused
 
 UND = "und"
 #: Runs of letters (numerals of the kinds No and Nl also match and are sorted out later).
@@ -181,26 +181,29 @@ class Scorer:
 
 
 def fit(labelled: DataFrame, vocabulary: str, max_documents_per_language: int = 150, max_words: int = 400_000, rounds: int = 3, smoothing: float = 0.1) -> Identifier:
-    """From (text, lang) rows; null languages and null texts teach nothing.
+    """From (text, lang) rows; null languages, null texts and texts without letters teach nothing.
 
     A classifier fitted on a bounded sample: for each language about `max_documents_per_language`
-    documents with the least hashes of their text, and at most `max_words` different words in all.
-    Spark counts the words; expectation maximisation over them runs on the driver.
+    different texts with the least hashes, however often each is there (all of them where there are
+    no more), and the `max_words` most frequent words of these. Runs of letters are cut as in
+    scoring. Spark counts the words; expectation maximisation over them runs on the driver, one
+    language at a time.
     """
-    rows = labelled.select("lang", "text").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select("lang", "text").where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(-1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, max_documents_per_language / n).otherwise(share)
-    place = (F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(2**53))).cast("double")
-    words = rows.where(place < share).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = words.where(F.length("word") <= STRETCH).groupBy("lang", "word").count().orderBy(F.desc("count"), "word", "lang").limit(max_words).collect()
+    place = (F.shiftrightunsigned("hash", 11) / F.lit(float(2**53))).cast("double")
+    texts = rows.where(place < share).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{STRETCH}}}"), F.lit(0))).alias("word"))
+    counted = stage(words.groupBy("lang", "word").count(), "words")
     pieces = load_pieces(vocabulary)
-    languages = sorted({r["lang"] for r in counted})
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     known = beginnings(pieces)
     table = np.full((len(pieces) + 1, max(1, len(languages))), 1.0 / (len(pieces) + 1))
     for k, lang in enumerate(languages):
-        own = [(r["word"].lower(), r["count"]) for r in counted if r["lang"] == lang]
+        own = [(r["word"].lower(), r["count"]) for r in counted.where(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(max_words).collect()]
         parts = [(Lattices([w for w, _ in own[i : i + 20_000]], known, len(pieces)), np.array([c for _, c in own[i : i + 20_000]], dtype=float)) for i in range(0, len(own), 20_000)]
         for _ in range(rounds):
             seen = sum(lattice.expected(table[:, k], counts) for lattice, counts in parts) + smoothing

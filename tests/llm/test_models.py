@@ -73,6 +73,23 @@ def test_identify(spark, tokenizers):
     assert langid.fit(train.where("false"), tokenizers("piece_bpe_32k.model")).languages == ["und"]
 
 
+def test_copies_leave_a_language_its_sample(spark, tokenizers):
+    rows = [(t, lang) for _, t, lang in labelled(90) if lang != "fr"]
+    french = [t for _, t, lang in labelled(90, seed=3) if lang == "fr"]
+    copies = spark.range(60_000).select(F.lit("le la et").alias("text"), F.lit("fr").alias("lang"))
+    train = spark.createDataFrame(rows + [(t, "fr") for t in french], "text string, lang string").unionByName(copies)
+    vocabulary = tokenizers("piece_bpe_32k.model")
+    model, once = langid.fit(train, vocabulary), langid.fit(train.distinct(), vocabulary)
+    assert model.languages == ["de", "en", "fr"] and np.allclose(model.probabilities, once.probabilities)
+    # each language has its own most frequent words, and long runs are cut as in scoring
+    few = langid.fit(train.unionByName(train.where("lang = 'en'")), vocabulary, max_words=3)
+    assert few.languages == ["de", "en", "fr"]
+    run = spark.createDataFrame([("waterhousestone" * 20, "xx")], "text string, lang string")
+    assert langid.fit(train.unionByName(run), vocabulary).languages == ["de", "en", "fr", "xx"]
+    given = spark.createDataFrame([(i, t) for i, t, lang in labelled(60, seed=4) if lang == "fr"], "doc_id long, text string")
+    assert {r.lang_pred for r in langid.identify(given, model).collect()} == {"fr"}
+
+
 # ---- toxicity
 
 
