@@ -1,7 +1,9 @@
 """Archives: exact round trip and merged order. Pipeline: each stage's decision."""
 
+import glob
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,13 +16,14 @@ def pages():
     rng = random.Random(4)
     bodies = ["<p>" + "é" * 600 + "</p>", "x" * 999, "y" * 1000, "WARC/1.1\r\n\r\nContent-Length: 7\r\n\r\n" * 50, "", None, "\r\n\r\n" * 400]
     urls = ["http://www.a.org/x", "http://a.org/x", "https://b.net/", None, "no scheme", "http://A.org:80/Y?q"]
-    return [(i, rng.choice(urls), rng.choice(bodies) if i < 80 else f"own {i} " * 200, rng.choice(["2024-01-01T00:00:00Z", "2023-05-05T00:00:00Z", None]), "x") for i in range(120)] + [(3, "http://a.org/x", "twice", "2024-01-01T00:00:00Z", "x"), (None, "http://n.org/", "no id", None, "x")]
+    again = [(79, "http://a.org/x", bodies[2], "2024-01-01T00:00:00Z", "x")] * 2 + [(78, "http://a.org/x", bodies[2], None, "x")] * 2
+    return again + [(i, rng.choice(urls), rng.choice(bodies) if i < 78 else f"own {i} " * 200, rng.choice(["2024-01-01T00:00:00Z", "2023-05-05T00:00:00Z", None]), "x") for i in range(120)] + [(3, "http://a.org/x", "twice", "2024-01-01T00:00:00Z", "x"), (None, "http://n.org/", "no id", None, "x")]
 
 
 @pytest.fixture(scope="module")
 def index(spark):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string, warc_date string, record_type string")
-    return warc.archive(df, records_per_archive=7).collect()
+    return warc.archive(df, block_bytes=400, blocks_per_archive=2, rows_per_range=17).collect()
 
 
 def test_round_trip(index):
@@ -53,6 +56,35 @@ def test_histories_are_globally_ordered(index):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_repeated_originals_dont_multiply_revisits(spark):
+    rows = [(9, "http://a.org/", "y" * 2000, "d"), (9, "http://a.org/", "y" * 2000, "d"), (3, "http://a.org/", "y" * 2000, "d"), (4, "http://a.org/", "y" * 2000, "d"), (9, "http://a.org/", "z" * 2000, "d"), (5, None, "z" * 2000, "d")]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string, warc_date string")).collect()
+    sha = {c: hashlib.sha1(c.encode() * 2000).hexdigest() for c in "yz"}
+    expected = [(3, "revisit", 9, sha["y"]), (4, "revisit", 9, sha["y"]), (5, "revisit", 9, sha["z"]), (9, "response", -1, sha["y"]), (9, "response", -1, sha["y"]), (9, "response", -1, sha["z"])]
+    assert sorted((r.page_id, r.record_type, r.refers_to or -1, r.payload_digest) for r in got) == sorted(expected)
+    assert all(r.payload_bytes == 2000 for r in got)
+
+
+def test_each_record_is_a_member_of_its_own(spark, tmp_path):
+    body = random.Random(6).randbytes(17 << 19).hex()  # beyond 16 MiB: its length doesn't end in a zero byte
+    rows = [(1, "http://a.org/", "one", "d"), (2, "http://a.org/", body, "d"), (3, "http://a.org/", "three", "d"), (4, "http://a.org/", "", "d")]
+    path = str(tmp_path / "archives")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, warc_date string").coalesce(1), path, block_bytes=50, blocks_per_archive=2)
+    files = {f.rsplit("/", 1)[-1]: open(f, "rb").read() for f in glob.glob(f"{path}/part-*")}
+    index = warc.read(spark, path).collect()
+    assert len(files) > 1 and sorted(r.page_id for r in index) == [1, 2, 3, 4]
+    for r in index:
+        content = files[r.archive][r.record_offset : r.record_offset + r.record_bytes]
+        unpacker = zlib.decompressobj(31)
+        record = unpacker.decompress(content)
+        assert unpacker.eof and not unpacker.unused_data
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(rows[r.page_id - 1][2].encode() + b"\r\n\r\n")
+
+
+def test_runs_are_sorted_where_they_are_read(index):
+    assert len({r.archive for r in index}) > 5 and len({r.range_no for r in index}) > 3
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 8, 13):
@@ -63,9 +95,13 @@ def test_loser_tree():
 
 def test_broken_archives_are_errors():
     with pytest.raises(ValueError):
-        list(warc.parse(b"junk", "a"))
+        list(warc.members(b"junk", "a"))
+    with pytest.raises(ValueError):
+        list(warc.members(warc.member(b"abc")[:-3], "a"))
+    with pytest.raises(ValueError):
+        warc.parse(b"junk", "a", 0, 4)
     with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:0>\r\nWARC-Date: d\r\nWARC-Payload-Digest: sha1:x\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n", "a"))
+        warc.parse(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:0>\r\nWARC-Date: d\r\nWARC-Payload-Digest: sha1:x\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n", "a", 0, 9)
 
 
 def test_no_pages(spark):
