@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
+    """The cluster's shared folder, from spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error elsewhere."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (given or own_dir()).rstrip("/")
 
 
 @functools.cache
@@ -56,7 +60,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     left. The node of greatest hash in a component always goes, so rounds end by themselves, and on
     average a fixed share goes whatever the shape and the ids, so they are about the logarithm of
     the largest component and their tables shrink. Moves are then followed back from the last round.
-    A node of high degree is one row with partial minima, so hubs don't gather anywhere.
+    A node of high degree is one row with partial minima; edges and members then meet such rows in
+    joins of written tables, where adaptive execution may split the rows of a hub or a giant component.
     Self edges are allowed and keep a lone node; null ends are dropped.
     """
     clean = edges.where("src is not null and dst is not null").select("src", "dst")
@@ -78,5 +83,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         further = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
         roots = stage(moves.pop().join(further, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "roots")
     rooted = stage(nodes.join(roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")), "roots")
-    smallest = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    smallest = stage(rooted.groupBy("root").agg(F.min("node").alias("component")), "smallest")
     return stage(rooted.join(smallest, "root").select("node", "component"), "labels")

@@ -66,10 +66,10 @@ class Shingler:
 
 
 def sketch_keys(shingles: np.ndarray, sketches: int, size: int) -> list[int]:
-    """One key for each sketch: `size` least shingles under one order, in text order. None for texts of fewer shingles."""
+    """One key for each sketch: `size` least shingles under one order, in text order; sizes have orders of their own. None for texts of fewer shingles."""
     if len(shingles) < size:
         return []
-    salts = mix(np.arange(1, sketches + 1, dtype=np.uint64) * GOLDEN)
+    salts = mix(np.arange(1, sketches + 1, dtype=np.uint64) * GOLDEN + np.uint64(size << 32))
     keys = np.empty(sketches, dtype=np.uint64)
     step = max(1, 2_000_000 // len(shingles))  # bounds the table of ranks for long texts
     for lo in range(0, sketches, step):
@@ -83,6 +83,32 @@ def sketch_keys(shingles: np.ndarray, sketches: int, size: int) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+#: Sketches of texts of few shingles, and the numbers of shingles up to which a text has these and from which it has the others.
+#: Where the similarity is over a half, two similar texts have one kind in common.
+SHORT_SIZE, SHORT_UP_TO, LONG_FROM = 2, 32, 16
+
+
+def keys_of(shingles: np.ndarray, sketches: int, size: int) -> list[int]:
+    """The sketches of a text by its number of shingles: smaller ones, larger ones, or both.
+
+    A sketch draws without replacement, so few shingles agree in `size` of them far less often than
+    many do: at a similarity of 0.8, 5 and 4 shingles share a sketch of four with a chance of 1/5, one
+    of two with 3/5.
+    """
+    n = len(shingles)
+    short = sketch_keys(shingles, sketches, SHORT_SIZE) if n <= SHORT_UP_TO else []
+    return short + (sketch_keys(shingles, sketches, size) if n >= LONG_FROM else [])
+
+
+def aligned_keys(keys: list, numbers: list[int], sketches: int) -> np.ndarray:
+    """keys_of() as one row a text, sketches of either kind at the same places; 0 where a text has none."""
+    out = np.zeros((len(keys), 2 * sketches), dtype=np.int64)
+    for i, (own, n) in enumerate(zip(keys, numbers, strict=True)):
+        first = 0 if n <= SHORT_UP_TO else sketches
+        out[i, first : first + len(own)] = own
+    return out
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Similarity of two labelled shingle sequences, or 0 where it can't reach the threshold.
 
@@ -118,7 +144,7 @@ def _sketches(docs: DataFrame, sketches: int, size: int) -> DataFrame:
             for key, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
                 words = WORD.findall(text.lower())
                 whole = xxhash.xxh128_intdigest((" ".join(words) if words else text).encode("utf-8", "surrogatepass"))
-                keys = sketch_keys(shingler.of(words), sketches, size) if words else []
+                keys = keys_of(shingler.of(words), sketches, size) if words else []
                 rows.append((key, (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63), keys))
             yield pd.DataFrame(rows, columns=["id", "d1", "d2", "keys"])
 
@@ -126,12 +152,12 @@ def _sketches(docs: DataFrame, sketches: int, size: int) -> DataFrame:
 
 
 def _shingles(docs: DataFrame) -> DataFrame:
-    """(id, n, shingles, keys): 32-bit shingle hashes in text order for the alignment, and the sketches."""
+    """(id, n, shingles, keys): shingle hashes in text order for the alignment, and the sketches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            own = [(shingler.of(WORD.findall(t.lower())) >> np.uint64(32)).astype("<u4") for t in batch["text"]]
+            own = [shingler.of(WORD.findall(t.lower())).astype("<u8") for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in own], "shingles": [s.tobytes() for s in own], "keys": batch["keys"]})
 
     return docs.mapInPandas(run, "id long, n int, shingles binary, keys array<long>")
@@ -145,13 +171,13 @@ def _verified(edges: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [aligned(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), threshold) > 0 for a, b in zip(batch["s1"], batch["s2"], strict=True)]
+            good = [aligned(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), threshold) > 0 for a, b in zip(batch["s1"], batch["s2"], strict=True)]
             yield batch.loc[good, ["src", "dst"]]
 
     return fitting.select("src", "dst", "s1", "s2").mapInPandas(run, "src long, dst long")
 
 
-def _join_block(group: pd.DataFrame, threshold: float, between: bool) -> pd.DataFrame:
+def _join_block(group: pd.DataFrame, threshold: float, between: bool, sketches: int) -> pd.DataFrame:
     """Links of one block, as a forest: pairs already in one component aren't compared, nor those without a common sketch.
 
     `between`: both sides are the same kind of row, and each pair is compared one way round.
@@ -165,12 +191,12 @@ def _join_block(group: pd.DataFrame, threshold: float, between: bool) -> pd.Data
         return c
 
     ids, components, outside = group["id"].tolist(), group["component"].tolist(), group["outsider"].to_numpy()
-    arrays = [np.frombuffer(s, "<u4") for s in group["shingles"]]
-    keys = np.stack(group["keys"])
+    arrays = [np.frombuffer(s, "<u8") for s in group["shingles"]]
+    keys = aligned_keys(group["keys"].tolist(), [len(a) for a in arrays], sketches)
     members = np.flatnonzero(~outside)
     links = []
     for i in np.flatnonzero(outside):
-        for j in members[(keys[members] == keys[i]).any(1)]:
+        for j in members[((keys[members] == keys[i]) & (keys[i] != 0)).any(1)]:
             if between and ids[i] >= ids[j]:
                 continue
             a, b = find(components[i]), find(components[j])
@@ -180,7 +206,7 @@ def _join_block(group: pd.DataFrame, threshold: float, between: bool) -> pd.Data
     return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
 
 
-def _searched(inner: DataFrame, outer: DataFrame, at: str, shingles: DataFrame, block: int, threshold: float, between: bool) -> DataFrame:
+def _searched(inner: DataFrame, outer: DataFrame, at: str, shingles: DataFrame, block: int, threshold: float, between: bool, sketches: int) -> DataFrame:
     """Links between `inner` and `outer` rows (at, id, component) of equal `at`, in pairs of blocks of about `block` rows each."""
     size = lambda rows, name: rows.groupBy(at).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     blocks = size(inner, "inner").join(size(outer, "outer"), at)
@@ -190,7 +216,7 @@ def _searched(inner: DataFrame, outer: DataFrame, at: str, shingles: DataFrame,
     right = outer.join(blocks, at).select(at, "id", "component", every("inner").alias("b"), deal("outer").alias("c"), F.lit(True).alias("outsider"))
     rows = left.unionByName(right).join(shingles.select("id", "shingles", "keys"), "id")
     groups = rows.select("id", "component", "outsider", "shingles", "keys", F.struct(at, "b", "c").alias("at"))
-    return groups.groupBy("at").applyInPandas(lambda g: _join_block(g, threshold, between), "src long, dst long")
+    return groups.groupBy("at").applyInPandas(lambda g: _join_block(g, threshold, between, sketches), "src long, dst long")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: int = 4, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,9 +231,18 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     Equal texts are one row from the start. Of the texts that share sketches, each is first held
     against the one text of its buckets that shares most sketches with others; buckets that still
     hold several components are then searched in blocks, each member outside the bucket's largest
-    component against all of that component that shares a sketch with it, and these members among each other. A large group of copies thus costs a comparison a text, all pairs
-    of different components in a bucket are compared, and no bucket meets in one task.
+    component against all of that component that shares a sketch with it, and these members among
+    each other. A large group of copies thus costs a comparison a text, all pairs of different
+    components in a bucket are compared, and no bucket meets in one task: what is known of a key is
+    one row, written before rows meet it, so that adaptive execution can split a hot key's rows.
+
+    A pair of exactly 0.8 shares no sketch with a chance near 3e-5 (1e-8 for up to 32 shingles).
+    `threshold` must be over a half, which texts of one shingle and the kinds of sketches rely on.
+    Texts of any length are compared whole; further columns, whatever their names, are ignored. An
+    empty table gives no rows.
     """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("threshold must be over 0.5 and at most 1")
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     usable = F.col("id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
     sketched = stage(_sketches(given.where(usable), sketches, size), "sketches")
@@ -216,12 +251,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     exploded = texts.select("id", F.explode("keys").alias("key"))
     buckets = exploded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
     # sketches that bring the same texts together are one bucket
-    different = buckets.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"))
+    different = stage(buckets.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")), "buckets")
     members = stage(exploded.join(different.select("key", "n"), "key"), "members")
 
     shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
     ranked = members.join(shared, "id").select("key", "id", "n", F.struct("shared", (-F.col("id")).alias("minus")).alias("rank"))
-    centres = ranked.groupBy("key").agg(F.max("rank").alias("centre"))
+    centres = stage(ranked.groupBy("key").agg(F.max("rank").alias("centre")), "centres")
     nearest = members.join(centres, "key").groupBy("id").agg(F.max("centre").alias("centre"))
     edges = stage(nearest.select(F.col("id").alias("src"), (-F.col("centre.minus")).alias("dst")).where("src <> dst"), "candidates")
 
@@ -237,14 +272,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     mixed = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("n"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("parts > 1")
     # two texts that were compared already
     tested = edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(2).cast("long").alias("n"))
-    mixed = mixed.join(tested, ["lo", "hi", "n"], "left_anti").select("key", F.col("largest.component").alias("main"), "parts")
+    mixed = stage(mixed.join(tested, ["lo", "hi", "n"], "left_anti").select("key", F.col("largest.component").alias("main"), "parts"), "mixed")
     opened = stage(placed.join(mixed, "key").select("key", "id", "component", "main", "parts"), "open")
     # against the largest components: whatever buckets a text and a component meet in, they meet in one search
     near = opened.where("component = main").select("main", "id", "component").distinct()
     far = opened.where("component <> main").select("main", "id", "component").distinct()
     # among the others of a bucket
     others = opened.where("component <> main and parts > 2").select("key", "id", "component")
-    second = stage(_searched(near, far, "main", shingles, block, threshold, False).unionByName(_searched(others, others, "key", shingles, block, threshold, True)), "links")
+    second = stage(_searched(near, far, "main", shingles, block, threshold, False, sketches).unionByName(_searched(others, others, "key", shingles, block, threshold, True, sketches)), "links")
     final = connected_components(first.unionByName(second).unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
     named = texts.select("d1", "d2", F.col("id").alias("exact_id")).join(final.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left")

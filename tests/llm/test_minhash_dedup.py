@@ -94,6 +94,48 @@ def test_recall_at_the_threshold():
     assert missed == 0
 
 
+@pytest.mark.parametrize("words, other", [(9, 8), (9, 10), (14, 13), (20, 18), (37, 36)])
+def test_short_texts_share_sketches(words, other):
+    """Pairs near the threshold of few shingles: of 300 each none is missed (sketches of four missed 1 in 80 of 5 and 4 shingles)."""
+    rng, vocab, s = random.Random(words), vocabulary(), M.Shingler()
+    for _ in range(300):
+        base = [rng.choice(vocab) for _ in range(max(words, other))]
+        a, b = s.of(base[:words]), s.of(base[:other])
+        assert M.aligned(a, b, 0.8) >= 0.8
+        assert set(M.keys_of(a, 20, 4)) & set(M.keys_of(b, 20, 4))
+
+
+def test_short_pairs_are_found(spark):
+    rng, vocab = random.Random(8), vocabulary(3000)
+    docs = []
+    for k in range(800):
+        n = rng.choice([9, 10, 13, 20, 21, 36, 40])
+        base = [rng.choice(vocab) for _ in range(n)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-1]))]
+    got = {r.doc_id: r.class_id for r in M.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(800))
+
+
+def test_kinds_of_sketches_overlap():
+    s, v = M.Shingler(), vocabulary()
+    counts = {n: len(M.keys_of(s.of(v[: n + 4]), 20, 4)) for n in (1, 2, 15, 16, 32, 33)}
+    assert counts == {1: 0, 2: 20, 15: 20, 16: 40, 32: 40, 33: 20}
+    own = [M.keys_of(s.of(v[: n + 4]), 20, 4) for n in (15, 20, 40)]
+    table = M.aligned_keys(own, [15, 20, 40], 20)
+    assert table[0, :20].tolist() == own[0] and table[1].tolist() == own[1] and table[2, 20:].tolist() == own[2] and not table[0, 20:].any() and not table[2, :20].any()
+
+
+def test_a_text_of_many_shingles_equals_itself():
+    s = M.Shingler()
+    a = s.of([str(i) for i in range(200_004)])
+    assert len(np.unique(a)) == len(a) and M.aligned(a, a, 0.8) == 1.0
+
+
+def test_low_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        M.classes(spark.createDataFrame([], "doc_id long, text string"), threshold=0.5)
+
+
 def test_alignment_against_full_table():
     rng = random.Random(5)
     for _ in range(100):
