@@ -21,7 +21,9 @@ from gridloom.llm.common import connected_components, stage
 
 
 def unit(vectors) -> np.ndarray:
+    """Vectors of length one; the largest component is made one first, so that no square over- or underflows."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -29,12 +31,18 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, 4_000_000 // len(centres))  # bounds the table of distances
+    return np.concatenate([squared(x[lo : lo + step], centres).argmin(1) for lo in range(0, len(x), step)])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        near = squared(x, centres).argmin(1)
-        for j in np.unique(near):
-            centres[j] = x[near == j].mean(0)
+        near = nearest_centre(x, centres)
+        order = np.argsort(near, kind="stable")
+        held, starts, counts = np.unique(near[order], return_index=True, return_counts=True)
+        centres[held] = np.add.reduceat(x[order], starts, axis=0) / counts[:, None]
     return centres
 
 
@@ -54,7 +62,9 @@ def traversal(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int,
 #: Codewords whose borders are tried for a lower bound, the nearest to a vector first.
 BORDERS = 8
 #: Moving a row to a block costs about as much as comparing so many pairs.
-PAIRS_A_ROW = 250
+PAIRS_A_ROW = 600
+#: Rows of a block that are compared at once.
+SLICE = 512
 
 
 def border_bounds(d: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -77,7 +87,8 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         self.one = k_means(sample[:, : self.half], codewords)
         self.two = k_means(sample[:, self.half :], codewords)
-        self.apart = [np.sqrt(squared(c, c)) for c in (self.one, self.two)]
+        # half the memory; rounded up, which only lowers bounds
+        self.apart = [(np.sqrt(squared(c, c)) * (1 + 1e-6)).astype(np.float32) for c in (self.one, self.two)]
         self.reach = np.sqrt(max(0.0, 2 - 2 * least_cosine)) + 1e-6  # beyond rounding errors
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +100,14 @@ class MultiIndex:
     def within(self, x: np.ndarray) -> float:
         """The mean number of cells within reach."""
         first, second = self.bounds(*self.distances(x))
-        return float(np.mean([(a[:, None] + b <= self.reach**2).sum() for a, b in zip(first, second, strict=True)]))
+        return float(np.mean([np.searchsorted(np.sort(b), self.reach**2 - a, side="right").sum() for a, b in zip(first, second, strict=True)]))
 
     def nearest(self, x: np.ndarray) -> list[list[int]]:
         """For each vector the cells to search, its own first; of two cells within reach of each other's vectors one searches."""
+        step = max(1, 2_000_000 // (len(self.one) + len(self.two)))  # bounds the tables of distances
+        return [visited for lo in range(0, len(x), step) for visited in self._nearest(x[lo : lo + step])]
+
+    def _nearest(self, x: np.ndarray) -> list[list[int]]:
         a, b = self.distances(x)
         homes = a.argmin(1) * len(self.two) + b.argmin(1)
         out = []
@@ -117,55 +132,72 @@ def effort(index: MultiIndex, sample: np.ndarray, n: int, block: int) -> float:
     return cells * (rows * PAIRS_A_ROW + held * asked)
 
 
-def build(distinct: DataFrame, least_cosine: float, sample_size: int, per_cell: int, max_codewords: int, block: int) -> dict[int, MultiIndex]:
-    """An index for each vector length in a sample of at most `sample_size` vectors, those with the least hashes.
+def build(distinct: DataFrame, least_cosine: float, sample_size: int, per_cell: int, block: int) -> dict[int, MultiIndex]:
+    """An index for each vector length in a sample of the vectors with the least hashes.
 
-    Codewords grow with the root of the largest label's size, up to `max_codewords`, as long as more
-    of them save work: where vectors fill many dimensions most cells are within reach of each other,
-    and few cells, cut into blocks, move fewer rows. The choice changes no result.
+    Codewords may grow with the root of the largest label's size, so that a cell holds about
+    `per_cell` vectors at any size, and the sample with them: `sample_size` vectors, or eight a
+    codeword where that is more. Fewer are taken where that saves work: where vectors fill many
+    dimensions most cells are within reach of each other, and few cells, cut into blocks, move fewer
+    rows. The choice changes no result.
     """
     largest = distinct.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
-    rows = distinct.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample_size).collect()
+    words = max(2, round((largest / per_cell) ** 0.5))
+    rows = distinct.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(max(sample_size, 8 * words)).collect()
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r["vector"]), []).append(r["vector"])
-    words = int(min(max_codewords, max(2, round((largest / per_cell) ** 0.5))))
     out = {}
     for n, v in by_size.items():
         sample = unit(v)
         most = min(words, max(1, len(v) // 8))
-        tried = [MultiIndex(sample, k, least_cosine) for k in sorted({most, *(2**e for e in range(most.bit_length()) if 2**e < most)})]
-        out[n] = min(tried, key=lambda index: effort(index, sample[:500], largest, block))
+        best = least = None
+        for k in sorted({most, *(2**e for e in range(most.bit_length()) if 2**e < most)}):
+            index = MultiIndex(sample, k, least_cosine)
+            work = effort(index, sample[:500], largest, block)
+            if least is not None and work > 2 * least:
+                break  # more cells only move more rows from here on
+            if least is None or work < least:
+                best, least = index, work
+        out[n] = best
     return out
 
 
 def local_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links between the searching and the filed vectors of one block: counts, and one anchor for each vector."""
+    """Links between the searching and the filed vectors of one block: counts, and one anchor for each vector.
+
+    Pairs are bits; all other tables are made for SLICE rows at a time.
+    """
+    none = pd.DataFrame({"id": [], "links": [], "anchor": []})
     q, m = group[group["searching"]], group[~group["searching"]]
     if not len(q) or not len(m):
-        return pd.DataFrame({"id": [], "links": [], "anchor": []})
-    hit = unit(q["vector"]) @ unit(m["vector"]).T >= least
+        return none
+    a, b = unit(q["vector"]), unit(m["vector"])
     qi, mi = q["id"].to_numpy(), m["id"].to_numpy()
-    hit &= qi[:, None] != mi[None, :]
+    slices = lambda n: (slice(lo, lo + SLICE) for lo in range(0, n, SLICE))
+    hit = np.concatenate([(a[s] @ b.T >= least) & (qi[s, None] != mi) for s in slices(len(q))])
     rows, cols = hit.any(1), hit.any(0)
     if not rows.any():
-        return pd.DataFrame({"id": [], "links": [], "anchor": []})
-    q, m, qi, mi, hit = q[rows], m[cols], qi[rows], mi[cols], hit[rows][:, cols]
-    links_q = hit @ m["copies"].to_numpy()
+        return none
+    hit, qi, mi = hit[rows][:, cols], qi[rows], mi[cols]
+    q_home, m_home = q["home"].to_numpy()[rows], m["home"].to_numpy()[cols]
+    q_copies, m_copies = q["copies"].to_numpy(dtype=np.float64)[rows], m["copies"].to_numpy(dtype=np.float64)[cols]
+    links_q = np.concatenate([hit[s].astype(np.float64) @ m_copies for s in slices(len(qi))])
     # a filed vector of another cell doesn't search the other's own: it counts the link here
-    apart = q["home"].to_numpy()[:, None] != m["home"].to_numpy()
-    links_m = q["copies"].to_numpy() @ (hit & apart)
+    links_m = sum(q_copies[s] @ (hit[s] & (q_home[s, None] != m_home)) for s in slices(len(qi)))
     label_q, label_m, high = qi.copy(), mi.copy(), np.iinfo(np.int64).max
     while True:
-        new_q = np.minimum(label_q, np.where(hit, label_m[None, :], high).min(1))
-        new_m = np.minimum(label_m, np.where(hit, new_q[:, None], high).min(0))
+        new_q = np.concatenate([np.minimum(label_q[s], np.where(hit[s], label_m, high).min(1)) for s in slices(len(qi))])
+        new_m = label_m.copy()
+        for s in slices(len(qi)):
+            np.minimum(new_m, np.where(hit[s], new_q[s, None], high).min(0), out=new_m)
         if (new_q == label_q).all() and (new_m == label_m).all():
             break
         label_q, label_m = new_q, new_m
-    return pd.DataFrame({"id": np.concatenate([qi, mi]), "links": np.concatenate([links_q, links_m]), "anchor": np.concatenate([label_q, label_m])})
+    return pd.DataFrame({"id": np.concatenate([qi, mi]), "links": np.concatenate([links_q, links_m]).round().astype(np.int64), "anchor": np.concatenate([label_q, label_m])})
 
 
-def link(vectors: DataFrame, least_cosine: float = 0.98, sample_size: int = 4096, per_cell: int = 16, max_codewords: int = 256, block: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def link(vectors: DataFrame, least_cosine: float = 0.98, sample_size: int = 4096, per_cell: int = 64, block: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each input row.
 
     Vectors are compared where labels and lengths are equal and the label isn't null. Null, zero or
@@ -174,20 +206,21 @@ def link(vectors: DataFrame, least_cosine: float = 0.98, sample_size: int = 4096
     n_links counts every other row that links directly. component_id is the least id reachable.
 
     A cell's vectors and those that search it are dealt into blocks of about `block` each, and every
-    pair of blocks is one group: a dense cell makes more groups, not larger ones.
+    pair of blocks is one group: a dense cell makes more groups, not larger ones. Repeated rows count
+    as copies; further columns, whatever their names, are ignored; an empty table gives no rows.
+    Components of any finite size will do, as lengths are taken after scaling.
     """
     value = F.col(embedding)
-    # products of finite components far from overflow: a finite, positive norm is also asked for
-    norm = F.aggregate(value, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    good = value.isNotNull() & F.col(label).isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(value, lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (norm < float("inf"))
+    odd = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = value.isNotNull() & F.col(label).isNotNull() & F.col(vec_id).isNotNull() & ~odd & F.exists(value, lambda x: x != 0)
     keyed = vectors.select(
         F.col(vec_id).cast("long").alias("id"), value.alias("vector"), F.col(label).cast("string").alias("label"), F.coalesce(good, F.lit(False)).alias("good"),
         F.xxhash64(label, value).alias("k1"), F.xxhash64(F.lit(1), value, label).alias("k2"),
     )
     rows = keyed.where("good")
     classes = stage(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("size", F.size("vector")), "vectors")
-    index = build(classes, least_cosine, sample_size, per_cell, max_codewords, block)
-    shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most 2 x max_codewords half vectors a length
+    index = build(classes, least_cosine, sample_size, per_cell, block)
+    shared = vectors.sparkSession.sparkContext.broadcast(index)  # about 160 MB at a billion vectors a label: 4,000 codewords a half, and their distances
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -58,6 +58,25 @@ def test_traversal_visits_nearest_first():
     assert np.allclose(order, np.sort((a[:, None] + b[None, :]).ravel()))
 
 
+def test_doubles_of_any_size_are_linked(spark):
+    rows = [(1, [1e200, 0.0]), (2, [3e300, 0.0]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0]), (5, [0.0, 1e-320]), (6, [0.0, 1e308]), (7, [0.0, 0.0]), (8, [-1.0, 0.0]), (9, [float("-inf"), 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.link(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
+def test_codewords_grow_with_the_label(spark, monkeypatch):
+    """Beyond 256 codewords a half, which once was a limit, links still equal all pairs."""
+    tried = []
+    monkeypatch.setattr(E, "effort", lambda index, *_: tried.append(len(index.one)) or 1 / len(index.one))  # as many as the size asks for
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2700, 2)) @ rng.normal(size=(2, 12)) + 0.05 * rng.normal(size=(2700, 12))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = E.link(df, per_cell=1 / 36, sample_size=10).collect()
+    assert max(tried) > 256
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == brute(rows)
+
+
 @pytest.mark.parametrize("size, rank", [(64, 4), (256, 8)])
 def test_no_link_is_lost_in_vectors_of_few_dimensions(spark, size, rank):
     rng = np.random.default_rng(4)
