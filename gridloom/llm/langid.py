@@ -20,8 +20,8 @@ from gridloom.llm.common import stage, unused
 UND = "und"
 #: Runs of letters (numerals of the kinds No and Nl also match and are sorted out later).
 RUN = re.compile(r"[^\W\d_]+")
-#: Letter runs beyond this length are scored in stretches of it, which bounds the forward pass.
-STRETCH = 120
+#: Words up to this length share one forward pass; each longer one has a pass of its own.
+DENSE = 120
 #: Keeps forward sums in range: about one over a character's usual probability.
 SCALE = 12.0
 
@@ -44,42 +44,49 @@ def beginnings(pieces: dict[str, int]) -> dict[str, int]:
     return found | pieces
 
 
-class Lattices:
-    """All segmentation edges of some words, grouped by the position where they end.
+def edges_of(word: str, known: dict[str, int], unknown: int) -> list[int]:
+    """All segmentation edges of a word and its start mark, one number each: 18 bits of piece, 8 of its length, the rest the start.
 
-    An edge is (word, start, end, piece); a single character outside the vocabulary is an edge of
-    the piece `unknown`, which stands for all such characters. `known` has the beginnings of pieces,
-    so that a stretch is followed only as long as a piece may go on.
+    A single character outside the vocabulary is an edge of the piece `unknown`, which stands for all
+    such characters. `known` has the beginnings of pieces, so that a stretch is followed only as long
+    as a piece may go on.
     """
+    get = known.get
+    edges: list[int] = []
+    add = edges.append
+    w = "▁" + word
+    n = len(w)
+    for a in range(n):
+        at = a << 26
+        p = get(w[a])
+        add(at | 1 << 18 | (unknown if p is None or p < 0 else p))
+        if p is None:
+            continue
+        for b in range(a + 2, n + 1):
+            p = get(w[a:b])
+            if p is None:
+                break
+            if p >= 0:
+                add(at | (b - a) << 18 | p)
+    return edges
+
+
+def by_end(edges: list[int], *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends and pieces of edges, and arrays beside them, in the order of their ends."""
+    e = np.array(edges, dtype=np.int64)
+    end = (e >> 26) + (e >> 18 & 255)
+    order = np.argsort(end, kind="stable")
+    e = e[order]
+    return e >> 26, end[order], e & (1 << 18) - 1, *(o[order] for o in others)
+
+
+class Lattices:
+    """All segmentation edges of some words of at most DENSE characters, grouped by the position where they end."""
 
     def __init__(self, words: list[str], known: dict[str, int], unknown: int):
-        get = known.get
-        edges: list[int] = []
-        add = edges.append
-        for k, word in enumerate(words):
-            w = "▁" + word
-            n = len(w)
-            k <<= 34
-            for a in range(n):
-                at = k | a << 26
-                p = get(w[a])
-                if p is None or p < 0:
-                    add(at | (a + 1) << 18 | unknown)
-                elif p >= 0:
-                    add(at | (a + 1) << 18 | p)
-                if p is None:
-                    continue
-                for b in range(a + 2, n + 1):
-                    p = get(w[a:b])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        add(at | b << 18 | p)
-        # one number an edge: 18 bits of piece, 8 of end, 8 of start, the rest the word
-        e = np.array(edges, dtype=np.int64)
-        self.end = e >> 18 & 255
-        e = e[np.argsort(self.end, kind="stable")]
-        self.piece, self.end, self.start, self.word = e & (1 << 18) - 1, e >> 18 & 255, e >> 26 & 255, e >> 34
+        edges = [edges_of(w, known, unknown) for w in words]
+        word = np.repeat(np.arange(len(words)), [len(own) for own in edges])
+        self.start, self.end, self.piece, self.word = by_end([x for own in edges for x in own], word)
         self.lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
         last = int(self.lengths.max(initial=0))
         self.cuts = np.searchsorted(self.end, np.arange(1, last + 2))
@@ -114,6 +121,59 @@ class Lattices:
         return np.bincount(self.piece, weight, minlength=len(probabilities))
 
 
+def summed_log(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials over the first axis."""
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+class LongWord:
+    """The lattice of one word of any length, in logarithms, so that nothing leaves the range of doubles."""
+
+    def __init__(self, word: str, known: dict[str, int], unknown: int):
+        self.length = len(word) + 1
+        self.start, self.end, self.piece = by_end(edges_of(word, known, unknown))
+        self.cuts = np.searchsorted(self.end, np.arange(1, self.length + 2))
+
+    def forward(self, log_p: np.ndarray) -> np.ndarray:
+        """Log probability of the word up to each position, one column a language."""
+        alpha = np.zeros((self.length + 1, log_p.shape[1]))
+        for b in range(1, self.length + 1):
+            s = slice(self.cuts[b - 1], self.cuts[b])
+            alpha[b] = summed_log(alpha[self.start[s]] + log_p[self.piece[s]])
+        return alpha
+
+    def log_probability(self, log_p: np.ndarray) -> np.ndarray:
+        return self.forward(log_p)[-1]
+
+    def expected(self, log_p: np.ndarray, count: float) -> np.ndarray:
+        """Expected piece counts of one language."""
+        start, end, piece = self.start, self.end, self.piece
+        alpha = self.forward(log_p[:, None])[:, 0]
+        beta = np.full(self.length + 1, -np.inf)
+        beta[-1] = 0.0
+        by_start = np.argsort(start, kind="stable")
+        cuts = np.searchsorted(start[by_start], np.arange(self.length + 1))
+        for a in range(self.length - 1, -1, -1):
+            own = by_start[cuts[a] : cuts[a + 1]]
+            beta[a] = summed_log(beta[end[own]] + log_p[piece[own]])
+        weight = count * np.exp(alpha[start] + log_p[piece] + beta[end] - alpha[-1])
+        return np.bincount(piece, weight, minlength=len(log_p))
+
+
+def expected_counts(words: list[str], counts: np.ndarray, known: dict[str, int], probabilities: np.ndarray) -> np.ndarray:
+    """Expected piece counts of words of any length in one language."""
+    unknown = len(probabilities) - 1
+    short = np.array([len(w) <= DENSE for w in words], dtype=bool)
+    total = np.zeros(len(probabilities))
+    if short.any():
+        total += Lattices([w for w in words if len(w) <= DENSE], known, unknown).expected(probabilities, counts[short])
+    for w, c in zip(words, counts.tolist(), strict=True):
+        if len(w) > DENSE:
+            total += LongWord(w, known, unknown).expected(np.log(probabilities), c)
+    return total
+
+
 class Identifier:
     """Piece probabilities of each language; picklable, bounded by vocabulary times languages."""
 
@@ -123,17 +183,14 @@ class Identifier:
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), one row a word; words that hold no letter have zeros."""
-        short = [w for w in words if len(w) <= STRETCH]
         out = np.zeros((len(words), len(self.languages)))
-        if short:
-            found = iter(Lattices(short, self.known, len(self.pieces)).log_probability(self.probabilities))
-        for i, w in enumerate(words):
-            if len(w) <= STRETCH:
-                row = next(found)
-            else:
-                row = self.words([w[j : j + STRETCH] for j in range(0, len(w), STRETCH)]).sum(0)
-            if any(map(str.isalpha, w)):
-                out[i] = row
+        letters = np.array([any(map(str.isalpha, w)) for w in words], dtype=bool)
+        short = np.flatnonzero(letters & np.array([len(w) <= DENSE for w in words], dtype=bool))
+        if len(short):
+            out[short] = Lattices([words[i] for i in short], self.known, len(self.pieces)).log_probability(self.probabilities)
+        for i in np.flatnonzero(letters):
+            if len(words[i]) > DENSE:
+                out[i] = LongWord(words[i], self.known, len(self.pieces)).log_probability(np.log(self.probabilities))
         return out
 
 
@@ -180,14 +237,14 @@ class Scorer:
         return out
 
 
-def fit(labelled: DataFrame, vocabulary: str, max_documents_per_language: int = 150, max_words: int = 400_000, rounds: int = 3, smoothing: float = 0.1) -> Identifier:
+def fit(labelled: DataFrame, vocabulary: str, max_documents_per_language: int = 150, rounds: int = 3, smoothing: float = 0.1) -> Identifier:
     """From (text, lang) rows; null languages, null texts and texts without letters teach nothing.
 
     A classifier fitted on a bounded sample: for each language about `max_documents_per_language`
     different texts with the least hashes, however often each is there (all of them where there are
-    no more), and the `max_words` most frequent words of these. Runs of letters are cut as in
-    scoring. Spark counts the words; expectation maximisation over them runs on the driver, one
-    language at a time.
+    no more), and every word of these, of any length. Each round of expectation maximisation is a
+    Spark job over the counted words; a task gives one sum for each piece and language, and only
+    their totals, bounded by vocabulary times languages, reach the driver.
     """
     rows = labelled.select("lang", "text").where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
     sizes = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -196,18 +253,34 @@ def fit(labelled: DataFrame, vocabulary: str, max_documents_per_language: int =
         share = F.when(F.col("lang") == lang, max_documents_per_language / n).otherwise(share)
     place = (F.shiftrightunsigned("hash", 11) / F.lit(float(2**53))).cast("double")
     texts = rows.where(place < share).groupBy("lang", "hash").agg(F.first("text").alias("text"))
-    words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{STRETCH}}}"), F.lit(0))).alias("word"))
+    words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = stage(words.groupBy("lang", "word").count(), "words")
     pieces = load_pieces(vocabulary)
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    known = beginnings(pieces)
+    place_of, known = {lang: k for k, lang in enumerate(languages)}, beginnings(pieces)
     table = np.full((len(pieces) + 1, max(1, len(languages))), 1.0 / (len(pieces) + 1))
-    for k, lang in enumerate(languages):
-        own = [(r["word"].lower(), r["count"]) for r in counted.where(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(max_words).collect()]
-        parts = [(Lattices([w for w, _ in own[i : i + 20_000]], known, len(pieces)), np.array([c for _, c in own[i : i + 20_000]], dtype=float)) for i in range(0, len(own), 20_000)]
-        for _ in range(rounds):
-            seen = sum(lattice.expected(table[:, k], counts) for lattice, counts in parts) + smoothing
-            table[:, k] = seen / seen.sum()
+    spark = labelled.sparkSession
+    dealt = counted.repartition(spark.sparkContext.defaultParallelism, "lang", "word")
+    for _ in range(rounds if languages else 0):
+        shared = spark.sparkContext.broadcast((known, table))
+
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own_known, own = shared.value  # noqa: B023
+            total = np.zeros_like(own)
+            for batch in batches:
+                for lang, part in batch.groupby("lang"):
+                    k = place_of[lang]
+                    for lo in range(0, len(part), 5000):
+                        some = part.iloc[lo : lo + 5000]
+                        total[:, k] += expected_counts([w.lower() for w in some["word"]], some["count"].to_numpy(dtype=float), own_known, np.ascontiguousarray(own[:, k]))
+            piece, language = np.nonzero(total)
+            yield pd.DataFrame({"piece": piece, "language": language, "n": total[piece, language]})
+
+        sums = dealt.mapInPandas(expect, "piece long, language long, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
+        seen = np.full_like(table, smoothing)
+        np.add.at(seen, (sums["piece"].to_numpy(), sums["language"].to_numpy()), sums["n"].to_numpy())
+        table = seen / seen.sum(0)
+        shared.unpersist()
     return Identifier(pieces, languages or [UND], table)
 
 
@@ -215,7 +288,8 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text") -> DataFram
     """All columns of `docs` plus `lang_pred` and `score`, the posterior under equal priors.
 
     `und` with score 0 for texts that are null or hold no letter. Columns of these two names are
-    replaced. Equal texts get equal results; ties go to the first language in order.
+    replaced, others stay whatever their names. Equal texts get equal results; ties go to the first
+    language in order. Texts and words of any length count whole; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: vocabulary size times languages

@@ -48,6 +48,34 @@ def test_forward_sums_all_segmentations():
         assert math.isclose(v, math.log(all_segmentations("▁" + w, pieces, p)), rel_tol=1e-9)
 
 
+def test_words_of_any_length_count_whole():
+    """Beyond the length that shares a pass: equal to the pass of short words, and to a plain recursion."""
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "c"])}
+    p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1), size=2).T
+    known, rng = langid.beginnings(pieces), random.Random(1)
+    for n in (0, 1, 7, 119):
+        word = "".join(rng.choice("abcX") for _ in range(n))
+        assert np.allclose(langid.LongWord(word, known, 9).log_probability(np.log(p)), langid.Lattices([word], known, 9).log_probability(p)[0])
+        assert np.allclose(langid.LongWord(word, known, 9).expected(np.log(p[:, 0]), 3.0), langid.Lattices([word], known, 9).expected(p[:, 0], np.array([3.0])))
+    model = langid.Identifier(pieces, ["x", "y"], p)
+    for n in (121, 147, 5000):
+        word = "".join(rng.choice("abcX") for _ in range(n))
+        w, plain = "▁" + word, [[1.0, 1.0]]
+        logs = np.zeros(2)
+        for b in range(1, len(w) + 1):
+            total = np.zeros(2)
+            for a in range(max(0, b - 3), b):
+                k = pieces.get(w[a:b], 9 if b == a + 1 else None)
+                if k is not None:
+                    total += plain[a] * p[k]
+            plain.append(total)
+            if total.min() < 1e-100:  # keeps the recursion in range
+                logs += np.log(total)
+                for c in range(max(0, b - 3), b + 1):
+                    plain[c] = plain[c] / total
+        assert np.allclose(model.words([word])[0], logs + np.log(plain[-1]), rtol=1e-9)
+
+
 def test_expected_counts_sum_to_what_words_hold():
     pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab"])}
     counts = langid.Lattices(["ab"], langid.beginnings(pieces), len(pieces)).expected(np.full(5, 0.2), np.array([10.0]))
@@ -81,9 +109,7 @@ def test_copies_leave_a_language_its_sample(spark, tokenizers):
     vocabulary = tokenizers("piece_bpe_32k.model")
     model, once = langid.fit(train, vocabulary), langid.fit(train.distinct(), vocabulary)
     assert model.languages == ["de", "en", "fr"] and np.allclose(model.probabilities, once.probabilities)
-    # each language has its own most frequent words, and long runs are cut as in scoring
-    few = langid.fit(train.unionByName(train.where("lang = 'en'")), vocabulary, max_words=3)
-    assert few.languages == ["de", "en", "fr"]
+    # long runs teach as a whole
     run = spark.createDataFrame([("waterhousestone" * 20, "xx")], "text string, lang string")
     assert langid.fit(train.unionByName(run), vocabulary).languages == ["de", "en", "fr", "xx"]
     given = spark.createDataFrame([(i, t) for i, t, lang in labelled(60, seed=4) if lang == "fr"], "doc_id long, text string")
