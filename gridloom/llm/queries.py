@@ -57,8 +57,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = secrets.train(secrets.labelled_samples(docs))
-    found = secrets.scan(docs, ratios)
+    model = secrets.fit(secrets.labelled_samples(docs))
+    found = secrets.scan(docs, model.ratios, model.least_mean)
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n("markov"))

@@ -99,7 +99,8 @@ def test_archives(spark):
 
 
 def test_secrets(spark, docs):
-    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    model = secrets.fit(secrets.labelled_samples(docs))
+    found = secrets.scan(docs, model.ratios, model.least_mean)
     others_stay(docs, found, "spans")
     assert found.where("spans is not null").count() == size(docs)
     if size(docs):

@@ -176,30 +176,71 @@ def trained(spark):
 def test_base_spans(spark):
     texts = secret_texts()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(-1, None, "x"), (-2, "", "x"), (-3, "a " * 300_000 + "password=abcdefghijklmnop", "x")], "doc_id long, text string, spans string")
-    out = {r.doc_id: r.spans for r in secrets.scan(df, [0.0] * 128 * 128).collect()}
+    out = {r.doc_id: r.spans for r in secrets.scan(df, [0.0] * 128 * 128, 0.6).collect()}
     for i, t in enumerate(texts):
         assert [(s.kind, s.start, s.end) for s in out[i]] == spans_of(t), t
     assert out[-1] == [] and out[-2] == [] and [(s.kind, s.start) for s in out[-3]] == [("assign", 600_000)]
-    assert secrets.scan(df.where("false"), [0.0] * 128 * 128).count() == 0
+    assert secrets.scan(df.where("false"), [0.0] * 128 * 128, 0.6).count() == 0
 
 
 def test_markov_adds_random_strings_only(spark):
     ratios = trained(spark)
     assert len(ratios) == 128 * 128
     rows = [("key qX7Rz0PfT2mKd9LwYb4VhN8s end",), ("call get_total_count_of_customer_value now",), ("password=qX7Rz0PfT2mKd9LwYb4VhN8s",)]
-    out = [[(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "text string"), ratios).collect()]
+    out = [[(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "text string"), ratios, 0.6).collect()]
     assert out == [[("markov", 4, 28)], [], [("assign", 0, 33)]]
 
 
 def test_redact(spark):
-    df = secrets.scan(spark.createDataFrame([("é token=abcdefghijklmnop, deadbeefdeadbeefdead x",), ("token=0123456789abcdef0123",), ("clean",), (None,)], "text string"), [0.0] * 128 * 128)
+    df = secrets.scan(spark.createDataFrame([("é token=abcdefghijklmnop, deadbeefdeadbeefdead x",), ("token=0123456789abcdef0123",), ("clean",), (None,)], "text string"), [0.0] * 128 * 128, 0.6)
     assert [r.t for r in df.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()] == ["é [SECRET], [SECRET] x", "[SECRET]", "clean", None]
 
 
 def test_labelled_samples(spark):
-    df = spark.createDataFrame([("token=abcdefghijklmnop some ordinary_words here",), (None,)], "text string")
-    rows = {(r.token, r.random) for r in secrets.labelled_samples(df).collect()}
-    assert rows == {("abcdefghijklmnop", 1), ("ordinary_words", 0)}
+    df = spark.createDataFrame([("token=abcdefghijklmnop some ordinary words here",), (None,)], "text string")
+    rows = secrets.labelled_samples(df, strings=50).collect()
+    plain = {r.token for r in rows if r.random == 0}
+    assert {"ordinary"} <= plain and not any("abcdefghijklmnop" in t for t in plain) and any("ordinary" in t and "words" in t for t in plain)
+    drawn = [r.token for r in rows if r.random == 1]
+    assert len(set(drawn)) == 50 and all(16 <= len(t) <= 48 for t in drawn)
+    assert drawn == [r.token for r in secrets.random_strings(spark, 50).collect()]
+
+
+def prose(rng, n):
+    parts = "ba do ki ler mun ta vos gen sche pra tion ment heit und ing".split()
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(n))
+
+
+def test_planted_keys_that_no_pattern_catches(spark):
+    """Keys drawn here, not by the trainer, among prose and identifiers that it never saw."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(prose(rng, 200),) for _ in range(300)], "text string")
+    model = secrets.fit(secrets.labelled_samples(docs, strings=3000))
+    assert model.recall >= 0.98 and model.false_share <= 0.002
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(chars) for _ in range(rng.randint(20, 40))) for _ in range(200)]
+    texts = [f"{prose(rng, 30)} {k} {prose(rng, 30)}" for k in keys]
+    names = ["_".join(prose(rng, 3).split()) + "_index" for _ in range(200)]
+    found = [r.spans for r in secrets.scan(spark.createDataFrame([(t,) for t in texts + names], "text string"), model.ratios, model.least_mean).collect()]
+    hits = [[(s.kind, s.start, s.end) for s in own] for own in found]
+    recall = sum(("markov", t.index(k), t.index(k) + len(k)) in own for t, k, own in zip(texts, keys, hits[:200], strict=True)) / 200
+    assert recall >= 0.97 and sum(len(own) for own in hits[:200]) <= 202 and sum(map(len, hits[200:])) <= 2
+
+
+def test_mean_ratio_against_twin(spark):
+    rng = random.Random(2)
+    samples = [("".join(rng.choice("abcX9") for _ in range(rng.randint(2, 9))), rng.randint(0, 1)) for _ in range(200)]
+    ratios = secrets.train(spark.createDataFrame(samples, "token string, random int"), smoothing=0.5, pull=5.0)
+    pairs = {k: Counter(p for t, y in samples if y == k for p in zip(t, t[1:])) for k in (0, 1)}
+    heads = {k: Counter(a for a, _ in pairs[k].elements()) for k in (0, 1)}
+    tails = {k: Counter(b for _, b in pairs[k].elements()) for k in (0, 1)}
+    alone = lambda k, b: (tails[k][b] + 0.5) / (sum(tails[k].values()) + 0.5 * 128)
+    chance = lambda k, a, b: (pairs[k][a, b] + 5 * alone(k, b)) / (heads[k][a] + 5)
+    words = ["abcX", "99", "zz", "a"]
+    got = [r.m for r in spark.createDataFrame([(w,) for w in words], "w string").select(secrets.mean_ratio(F.col("w"), ratios).alias("m")).collect()]
+    for w, m in zip(words, got, strict=True):
+        own = [math.log(chance(1, a, b) / chance(0, a, b)) for a, b in zip(w, w[1:])]
+        assert m is None if not own else math.isclose(m, sum(own) / len(own), abs_tol=1e-4)
 
 
 # ---- language model
