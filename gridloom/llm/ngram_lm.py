@@ -159,7 +159,7 @@ class Shards:
                 continue
             at = np.minimum(np.searchsorted(held, ranked[lo:hi]), len(held) - 1)
             hit = held[at] == ranked[lo:hi]
-            got = self.files.array(f"{self.prefix}-{s:05d}.{values}", "<u4")[at] if values else self.offsets[s] + at
+            got = self.files.array(f"{self.prefix}-{s:05d}.{values}", "<u8")[at] if values else self.offsets[s] + at
             out[order[lo:hi][hit]] = got[hit]
         return out
 
@@ -178,6 +178,8 @@ class Model:
         self.vocabulary = sum(word_sizes)
         self.span = self.vocabulary + 1  # ids, and one more for the start of a text
         self.bits = max(8, (self.span * self.span).bit_length())
+        if self.bits > 64:
+            raise ValueError("pairs of more than 4.29e9 distinct words don't fit 64-bit keys")
         self.pair_sizes: list[int] = []
         self.range_size = 1
         self.ranges = 0
@@ -303,7 +305,7 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
         s = int(group["shard"].iloc[0])
         keys, counts = summed(np.concatenate([expand(x) for x in group["keys"]]), np.concatenate([unplain(x) for x in group["c0"]]))
         save(folder, f"pair-{s:05d}.keys", keys.astype("<u8"))
-        save(folder, f"pair-{s:05d}.counts", np.minimum(counts, 2**32 - 1).astype("<u4"))
+        save(folder, f"pair-{s:05d}.counts", counts.astype("<u8"))
         both = scramble.undo(keys)
         first, second = both // np.uint64(span), both % np.uint64(span)
         one = np.ones(len(keys), dtype=np.uint64)
@@ -327,7 +329,7 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
             at = (expand(row.keys) - np.uint64(r * width)).astype(np.int64)
             for i in range(5):
                 dense[i, at] += unplain(getattr(row, f"c{i}"))
-        save(folder, f"stats-{r:05d}.values", np.minimum(dense, 2**32 - 1).astype("<u4").T)
+        save(folder, f"stats-{r:05d}.values", dense.astype("<u8").T)
         tail = dense[4]
         return pd.DataFrame([(r, *(int((tail == k).sum()) for k in (1, 2, 3, 4)), int((tail > 2).sum()), int(tail.sum()))], columns=["range", "n1", "n2", "n3", "n4", "more", "total"])
 
@@ -340,12 +342,12 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
     sizes = {r["source"]: r["n"] for r in summaries}
     for s in set(range(shards)) - sizes.keys():
         save(folder, f"pair-{s:05d}.keys", np.zeros(0, dtype="<u8"))
-        save(folder, f"pair-{s:05d}.counts", np.zeros(0, dtype="<u4"))
+        save(folder, f"pair-{s:05d}.counts", np.zeros(0, dtype="<u8"))
     model.pair_sizes = [sizes.get(s, 0) for s in range(shards)]
     model.pair_discounts = discounts([sum(r[f"n{k}"] for r in summaries) for k in (1, 2, 3, 4)])
     parts = merged.where("shard >= 0").groupBy("shard").applyInPandas(finish, "range int, n1 long, n2 long, n3 long, n4 long, more long, total long").collect()  # a row a range
     for r in set(range(ranges)) - {p["range"] for p in parts}:
-        save(folder, f"stats-{r:05d}.values", np.zeros((width, 5), dtype="<u4"))
+        save(folder, f"stats-{r:05d}.values", np.zeros((width, 5), dtype="<u8"))
     model.word_discounts = discounts([sum(p[f"n{k}"] for p in parts) for k in (1, 2, 3, 4)])
     n1, n2, more = (sum(p[k] for p in parts) for k in ("n1", "n2", "more"))
     d, total = model.word_discounts, sum(p["total"] for p in parts)
@@ -390,11 +392,11 @@ class Scorer:
         c = self.counts(distinct)[back]
         base = np.log10((c + 1) / (m.tokens_seen + (m.vocabulary + 1)))
         # lower order: how many different words a word follows
-        tails = self.gather(distinct, "stats", "<u4", m.range_size, 5)[:, 4][back]
+        tails = self.gather(distinct, "stats", "<u8", m.range_size, 5)[:, 4][back]
         d1, d2 = m.word_discounts, m.pair_discounts
         low = np.maximum(tails - d1[np.minimum(tails, 3)], 0) / max(1, self.pair_total) + m.word_backoff / (m.vocabulary + 1)
         heads, back = np.unique(before, return_inverse=True)
-        stats = self.gather(heads, "stats", "<u4", m.range_size, 5)
+        stats = self.gather(heads, "stats", "<u8", m.range_size, 5)
         total = stats[:, 0]
         gamma = np.where(total > 0, (d2[1] * stats[:, 1] + d2[2] * stats[:, 2] + d2[3] * stats[:, 3]) / np.maximum(total, 1), 1.0)
         known = (ids >= 0) & (before >= 0)
@@ -419,23 +421,29 @@ def train(texts: DataFrame, chars_per_shard: int = 16_000_000, least_shards: int
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns in `keep` (all but the text if None) plus n_tokens, n_known, base_score and score.
-
-    One row for each input row, whole texts, null as empty: the end of the text alone. score is the
-    log10 probability under the model, base_score under add-one unigrams. An unknown word gets the
-    lower order's share for unseen words; after an unknown word the lower order alone decides. An
-    untrained model (no texts) spreads evenly. Result columns replace input columns of their names.
+    """The columns in `keep` (all but the text if None) plus n_tokens, n_known, base_score, score and perplexity.
+
+    One row for each input row, whole texts of any length, null as empty: the end of the text alone.
+    score is the log10 probability under the model, base_score under add-one unigrams, perplexity
+    10 ^ (-score / n_tokens). An unknown word gets the lower order's share for unseen words; after an
+    unknown word the lower order alone decides. An untrained model (no texts) spreads evenly. Result
+    columns replace input columns of their names, others stay; repeated rows score alike, and an empty
+    table gives no rows.
     """
     results = ["n_tokens", "n_known", "base_score", "score"]
-    kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text")) if keep is not None else docs.drop(*results).withColumnRenamed(text, "text")
-    names = [n for n in kept.columns if n != "text"]
+    given = list(keep) if keep is not None else [n for n in docs.columns if n not in (text, *results, "perplexity")]
+    body = "text to score"
+    while body in given:
+        body += " "
+    kept = docs.select(*([c.alias(n) for n, c in keep.items()] if keep is not None else [F.col(f"`{n}`") for n in given]), F.col(text).alias(body))
+    names = [n for n in kept.columns if n != body]
     schema = ", ".join([*(f"`{n}` {kept.schema[n].dataType.simpleString()}" for n in names), "n_tokens long, n_known long, base_score double, score double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
             rows, held, n = [], [], 0
-            for value in batch["text"]:
+            for value in batch[body]:
                 held.append(tokens(value))
                 n += len(held[-1])
                 if n >= 250_000:
@@ -445,4 +453,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: dict[str, Col
                 rows += scorer.texts(held)
             yield pd.concat([batch[names].reset_index(drop=True), pd.DataFrame(rows, columns=results)], axis=1)
 
-    return kept.select(*names, "text").mapInPandas(run, schema)
+    return kept.mapInPandas(run, schema).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
