@@ -16,22 +16,27 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all `documents` in sequences of at most 2048 tokens; null text is empty, repeated rows are packed each, an empty table gives no rows."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each row of `documents`; null and empty texts and null ids as in minhash_dedup.classes()."""
     return minhash_dedup.classes(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all `embeddings`; odd vectors link with nothing, as in embedding_dedup.link()."""
     return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in `documents`; null and empty texts and items give none, repeated rows as in decontaminate.find()."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each row of `documents`, taught by labels outside the held-out fold. Null and empty texts get the score of no words; a null id is neither held out nor taught from; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     taught = crc_of_id("doc_id") % 5 != 0
@@ -41,6 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each row of `documents`, taught outside the held-out fold. Texts without letters are `und`; a null id is neither held out nor taught from; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(False))
     model = langid.fit(docs.where(crc_of_id("doc_id") % 3 != 1), tokenizer_path("piece_bpe_32k.model"))
@@ -48,14 +54,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and record types read back from archives of all `pages`, and each capture's place in its URL's history. One row for each page with an id, as in warc.archive()."""
     # the table has no capture times: one second a page from a fixed day on
     date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod("page_id", F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    pages = table(spark, sf_dir, "pages").withColumn("warc_date", date)
-    index = warc.archive(pages)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date", "history_no", "range_no", "archive", "record_offset", "record_bytes")
+    index = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html", date.alias("warc_date")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date", "history_no")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each row of `documents`; null and empty texts have none, repeated rows give equal results, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.fit(secrets.labelled_samples(docs))
     found = secrets.scan(docs, model.ratios, model.least_mean)
@@ -65,6 +72,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of each row of `documents`, learnt outside the held-out fold. A null text is its end alone; a null id is neither held out nor learnt from; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_of_id("doc_id") % 7 == 2, F.lit(False))
     model = ngram_lm.train(docs.where(crc_of_id("doc_id") % 7 != 2))
@@ -73,6 +81,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for each row of `pages`; a null url is judged as two empty strings, repeated rows alike, an empty table gives no rows."""
     judged = url_filter.fit(spark).apply(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
@@ -90,4 +99,35 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB twins of the queries that SQL can express; the others have brute-force twins in the tests.
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM good UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+        part AS (SELECT a, min(b) AS component FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(p.component, e.vec_id) AS component_id, e.vec_id IS NULL OR e.vec_id = coalesce(p.component, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN part p ON p.a = e.vec_id""",
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d,
+                strftime(make_timestamp((1704067200 + (page_id % 1000000000 + 1000000000) % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
+                CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages WHERE page_id IS NOT NULL),
+        q AS (
+            SELECT *, regexp_extract(rest, '^[^/?#]*') AS place, regexp_replace(lower(regexp_extract(rest, '^[^/?#:]*')), '^www[0-9]*\\.', '') AS host,
+                max(page_id) FILTER (WHERE n >= 1000) OVER (PARTITION BY d) AS original FROM p),
+        k AS (
+            SELECT *, CASE WHEN url IS NULL THEN '' ELSE array_to_string(list_reverse(list_filter(string_split(host, '.'), lambda x: x <> '')), ',') || ')' || lower(substr(rest, length(place) + 1)) END AS url_key FROM q)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < original THEN original END AS refers_to, url_key, warc_date,
+            row_number() OVER (PARTITION BY url_key ORDER BY warc_date, page_id) - 1 AS history_no
+        FROM k""",
+}

@@ -285,6 +285,21 @@ def test_language_model_against_twin(spark):
         assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *own[:-1]], own, strict=True)), rel_tol=1e-9)
 
 
+def test_counts_beyond_32_bits_are_found():
+    """Counts once were cut at 2^32 - 1."""
+    shards = ngram_lm.Shards.__new__(ngram_lm.Shards)
+    big = np.array([3, 2**33], dtype="<u8")
+    shards.files, shards.prefix, shards.bits, shards.n = type("Held", (), {"array": lambda self, name, kind: np.array([5, 9], dtype="<u8") if name.endswith("keys") else big.astype(kind)})(), "pair", 8, 1
+    shards.offsets = np.array([0, 2])
+    assert shards.find(np.array([9, 5, 7], dtype=np.uint64), "counts").tolist() == [2**33, 3, 0]
+
+
+def test_other_text_columns_stay(spark):
+    model = ngram_lm.train(spark.createDataFrame([("a b",)], "text string"))
+    row = ngram_lm.score(spark.createDataFrame([("kept", "a b", "x")], "text string, body string, perplexity string"), model, text="body").first()
+    assert row.text == "kept" and row.n_known == 3 and math.isclose(row.perplexity, 10 ** (-row.score / 3))
+
+
 def test_language_model_without_texts(spark):
     none = spark.createDataFrame([], "text string")
     model = ngram_lm.train(none)
@@ -338,10 +353,24 @@ def test_hosts_rules_and_verdicts(spark):
     assert model.apply(df.where("false")).count() == 0
 
 
+#: Hosts that no row of the labelled table has.
+UNSEEN_BAD = "cheap-pills spam-farm casino-win ads-track adult-x xxx-tube poker-room online-casino viagra-shop warez-hub ad-tracker porn-clips crack-serial win-prizes payday-cash replica-bags sex-chat adserving buy-meds mega-jackpot".split()
+UNSEEN_GOOD = "ththon tionble blog-garden poetry-club citymuseum ververlo halmark schoolbooks rivervalley onthing therly ththe chemistry-lab townhall ungherd knit-and-sew astronomer lasenta marketplace winterthur".split()
+
+
 def test_classifier_on_unseen_urls(spark):
-    urls = ["http://cheap-pills.example.org/de/17", "https://spam-farm.example.org/fr/99", "https://news.garden.example.org/de/5", "http://library.example.org/en/8"]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    assert [r.verdict for r in url_filter.fit(spark).apply(df).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+    known = " ".join(u for u, _ in url_filter.labelled_urls())
+    assert not [h for h in UNSEEN_BAD + UNSEEN_GOOD if f"/{h}." in known or f".{h}." in known]
+    rows = [(f"http://{front}{h}.example.org/{lang}/{k * 71}", bad) for bad, hosts in ((1, UNSEEN_BAD), (0, UNSEEN_GOOD)) for k, h in enumerate(hosts) for front in ("", "www.", "m.") for lang in ("de", "en")]
+    judged = url_filter.fit(spark).apply(spark.createDataFrame(rows, "url string, bad int")).select("url", "bad", "verdict", "score").collect()
+    caught = sum(r.bad and r.verdict == "block" for r in judged) / sum(r.bad for r in judged)
+    false = sum(not r.bad and r.verdict == "block" for r in judged) / sum(not r.bad for r in judged)
+    assert caught >= 0.85 and false <= 0.05, [(r.url, round(r.score, 2)) for r in judged if r.bad != (r.verdict == "block")]
+
+
+def test_labelled_table_has_no_host_of_its_own_in_paths():
+    rows = url_filter.labelled_urls()
+    assert len(rows) == len({u for u, _ in rows}) and 0.2 < sum(y for _, y in rows) / len(rows) < 0.5
 
 
 def test_sha_of_no_spans():
