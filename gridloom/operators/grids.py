@@ -14,7 +14,7 @@ from gridloom.functions import expressions as X
 
 CHUNK_BYTES = 65_536
 CHUNK_RUNS = CHUNK_BYTES // 2
-#: What a header may take at most; its lines are read from the leading bytes.
+#: Where a header is looked for first; a longer one is looked for in the whole content.
 HEADER_BYTES = 4_096
 
 FLOAT = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
@@ -27,6 +27,12 @@ def file_key(name: Column) -> tuple[Column, Column]:
     return F.when(name.rlike(pattern), key).otherwise(name), F.when(any_grid != "", any_grid.cast("int"))
 
 
+def named_grids(read: DataFrame) -> DataFrame:
+    """Rows of headers() with obj_key and grid: by the file's name, and the first dimension where it names no grid."""
+    key, grid = file_key(F.col("file_name"))
+    return read.withColumns({"obj_key": key, "grid": F.coalesce(grid.cast("long"), "dx").cast("int")})
+
+
 def headers(files: DataFrame) -> DataFrame:
     """(file_name, status, dx, dy, dz, translate, scale, payload) of (file_name, content) rows.
 
@@ -34,15 +40,17 @@ def headers(files: DataFrame) -> DataFrame:
     missing_data, missing_dim, missing_translate, missing_scale. Of a repeated field the last counts.
     """
     # one byte a character, so that places in the text are places in the content
-    head = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
-    cut = F.regexp_extract(head, r"(?s)^(.*?\n)[ \t\r]*data[ \t\r]*\n", 0)
+    data = r"(?s)^(.*?\n)[ \t\r]*data[ \t\r]*\n"
+    leading = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
+    head = F.when((F.octet_length("content") <= HEADER_BYTES) | leading.rlike(data), leading).otherwise(F.decode("content", "ISO-8859-1"))
+    cut = F.regexp_extract(head, data, 0)
     lines = F.transform(F.split(F.regexp_extract(head, r"(?s)^[^\n]*\n(.*?)(?:^|(?<=\n))[ \t\r]*data[ \t\r]*\n", 1), "\n"), lambda s: F.trim(s))
     lines = F.filter(F.transform(lines, lambda s: F.regexp_replace(s, r"\r", "")), lambda s: s != "")
     last = lambda prefix: F.try_element_at(F.filter(lines, lambda s: s.startswith(prefix)), F.lit(-1))
     three = lambda s, kind: F.regexp_extract_all(s, F.lit(kind), F.lit(0))
     whole, part = r"^dim\s+\d+\s+\d+\s+\d+$", rf"^translate\s+{FLOAT}\s+{FLOAT}\s+{FLOAT}$"
     fits = F.forall(lines, lambda s: s.rlike(whole) | s.rlike(part) | s.rlike(rf"^scale\s+{FLOAT}$"))
-    dims, moved = three(last("dim"), r"\d+"), three(F.substring(last("translate"), 10, 1000), FLOAT)
+    dims, moved = three(last("dim"), r"\d+"), three(F.substring(last("translate"), 10, 2**31 - 1), FLOAT)
     status = (
         F.when(~head.startswith("#binvox"), "bad_magic").when(cut == "", "missing_data").when(~fits, "bad_header")
         .when(last("dim").isNull(), "missing_dim").when(last("translate").isNull(), "missing_translate").when(last("scale").isNull(), "missing_scale").otherwise("ok")

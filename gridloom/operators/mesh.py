@@ -38,6 +38,18 @@ def object_bbox(vertices: DataFrame, key: str = "obj_key") -> DataFrame:
     return vertices.groupBy(key).agg(*sides, F.count("*").alias("n_vertices"))
 
 
+def without_vertices(meshes: DataFrame, bboxes: DataFrame) -> DataFrame:
+    """Meshes (obj_key) of which no vertex was read."""
+    return meshes.join(bboxes.where("n_vertices > 0").select("obj_key"), "obj_key", "left_anti")
+
+
+def require_vertices(meshes: DataFrame, bboxes: DataFrame) -> None:
+    """Raises where a mesh has no vertices, and names the first."""
+    lone = without_vertices(meshes, bboxes).agg(F.min("obj_key").alias("first"), F.count("*").alias("n")).first()
+    if lone["n"]:
+        raise ValueError(f"{lone['n']} meshes without vertices, first {lone['first']}")
+
+
 def with_translate(bboxes: DataFrame) -> DataFrame:
     return bboxes.withColumn("obj_filename", F.concat("obj_key", F.lit(".obj"))).withColumn("translate", F.array("xmin", "ymin", "zmin"))
 

@@ -21,12 +21,18 @@ def merge_object(old: DataFrame, new: DataFrame, order: Sequence[str], key: str
     return old.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
-def object_class_rows(files: DataFrame, dedupe: bool = False) -> DataFrame:
-    """One row for each grid file, with an id that is unique but not dense; `dedupe` keeps one of each gmlid and type."""
+def with_ids(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Rows with a first column `id`, unique but not dense, beyond the largest of `existing`; one writer at a time, as with any table of files."""
+    last = None if existing is None else existing.agg(F.max("id")).first()[0]
+    return rows.select((F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)).alias("id"), "*")
+
+
+def object_class_rows(files: DataFrame, dedupe: bool = False, existing: DataFrame | None = None) -> DataFrame:
+    """One row for each grid file, with an id that no row of `existing` has; `dedupe` keeps one of each gmlid and type."""
     rows = files.select("object_type", F.col("polygon_gmlid").alias("gmlid"), "building_gmlid", "class_gmlid", "polygon_gmlid")
     if dedupe:
         rows = rows.dropDuplicates(["gmlid", "object_type"])
-    return rows.select(F.monotonically_increasing_id().alias("id"), "*")
+    return with_ids(rows, existing)
 
 
 def foreign_key_violations(children: DataFrame, parents: DataFrame, key: str = "gmlid") -> DataFrame:

@@ -68,6 +68,11 @@ def run_outcomes(runs: DataFrame) -> DataFrame:
     return runs.groupBy("status").agg(F.count("*").alias("runs"))
 
 
+def failed_runs(ledger: DataFrame) -> DataFrame:
+    """(tile, attempts) of those whose last attempt failed."""
+    return latest_status(ledger).where("status = 'failed'").select("tile", "attempts")
+
+
 def require_ok(outcomes: DataFrame) -> None:
     """Raises where nothing succeeded."""
     if outcomes.where("status = 'ok' and runs > 0").isEmpty():

@@ -41,6 +41,17 @@ def faces(lines: DataFrame) -> DataFrame:
     return found.select("obj_key", F.col("n")[0].alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.size("n") - 2), lambda i: F.struct(F.get("n", i).alias("b"), F.get("n", i + 1).alias("c")))).alias("t")).select("obj_key", "a", "t.b", "t.c").where("a is not null and b is not null and c is not null")
 
 
+def vertex_numbers(lines: DataFrame) -> DataFrame:
+    """(obj_key, vertex_no from 1, x, y, z): lines that can't be read keep their number."""
+    from pyspark.sql import Window as W
+
+    from gridloom.operators import mesh
+
+    place = F.row_number().over(W.partitionBy("obj_key").orderBy("line_no"))
+    numbered = lines.where(F.col("line").startswith("v ")).select("obj_key", "line", place.alias("vertex_no"))
+    return mesh.parse_vertices(numbered).select("obj_key", "vertex_no", "x", "y", "z")
+
+
 def triangles_of_faces(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Triangles with coordinates: `vertices` has obj_key, vertex_no from 1, x, y, z."""
     out = triangles

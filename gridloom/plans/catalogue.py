@@ -75,6 +75,14 @@ def object_bbox(spark, d):
     return mesh.object_bbox(mesh.parse_vertices(V.mesh_text(spark, d)))
 
 
+@query("SELECT obj_key FROM parts WHERE obj_key NOT IN (SELECT obj_key FROM bbox WHERE substring(obj_key, 6)::BIGINT % 11 <> 0)", "parts", "bbox")
+def meshes_without_vertices(spark, d):
+    """Objects of which no vertex line can be read: here every eleventh, whose lines are broken."""
+    broken = F.when(F.substring("obj_key", 6, 20).cast("long") % 11 == 0, F.concat(F.col("line"), F.lit("x"))).otherwise(F.col("line"))
+    lines = V.mesh_text(spark, d).withColumn("line", F.regexp_replace(broken, "^v (.*)x$", "v x $1"))
+    return mesh.without_vertices(V.parts(spark, d).select("obj_key"), mesh.object_bbox(mesh.parse_vertices(lines)))
+
+
 @query("SELECT min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, min(zmin) AS zmin, max(zmax) AS zmax FROM bbox", "bbox")
 def global_bbox(spark, d):
     return mesh.global_bbox(boxes(spark, d))
@@ -181,6 +189,15 @@ def semantic_index(spark, d):
     return semantics.index_entry(V.sidecar(spark, d)).select("obj_filename", "tag", F.col("parent_id")[0].alias("parent_id"), F.col("gml_id")[0].alias("gml_id"), "class")
 
 
+@query("SELECT obj_key || '.obj' AS obj_key, coalesce(building_id, 'UNKNOWN') AS parent_id, coalesce(polygon_gml_id, '') AS gml_id, class FROM sidecar", "sidecar")
+def index_document(spark, d):
+    """Index documents of tiles of 500 objects each, with a coordinate system, written as JSON and read back as rows."""
+    entries = semantics.index_entry(V.sidecar(spark, d))
+    tiled = entries.withColumn("tile", F.call_function("div", F.regexp_extract("obj_filename", r"(\d+)", 1).cast("long"), F.lit(500)))
+    documents = semantics.index_documents(tiled, "tile", "EPSG:25832")
+    return files.index_entries(documents.select(F.col("document").alias("content"))).select("obj_key", "parent_id", "gml_id", "class")
+
+
 @query("SELECT obj_key, coalesce(class, thematic_role, 'WallSurface') AS object_type FROM sidecar", "sidecar")
 def object_type(spark, d):
     entries = semantics.index_entry(V.sidecar(spark, d))
@@ -210,7 +227,7 @@ def index_one_or_many(spark, d):
     p = V.parts(spark, d)
     gml = F.when(F.col("p_size") % 5 == 0, "7").when(F.col("p_size") % 3 == 0, '"g0"').when(F.col("p_size") % 3 == 1, '["g1","h"]').otherwise("[]")
     entry = F.concat(F.lit('"'), "obj_key", F.lit('":{"tag":"{n}WallSurface","parentID":["b_'), "p_brand", F.lit('"],"gmlID":'), gml, F.lit("}"))
-    documents = p.groupBy("p_brand").agg(F.concat(F.lit('{"CRS":{"srsName":"EPSG:25832","srsDimensions":["3"]},'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("content"))
+    documents = p.groupBy("p_brand", F.expr("p_partkey div 1000")).agg(F.concat(F.lit('{"CRS":{"srsName":"EPSG:25832","srsDimensions":["3"]},'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("content"))
     return files.index_entries(documents).select("obj_key", "gml_id", "parent_id")
 
 
@@ -250,25 +267,41 @@ def decode_runs_arrow(spark, d):
 
 
 def grid_files(spark, d) -> DataFrame:
-    """Whole encoded files; headers of some are broken in one way each."""
-    n = F.crc32(F.col("file_key").cast("binary")) % 4
+    """Whole encoded files; headers of some are broken in one way each, and every fifth name has no grid."""
+    n = F.regexp_extract("file_key", r"(\d)\.", 1).cast("int") % 4
     head = (
         F.when(n == 0, f"#binvox 1\ndim {DIM} {DIM} {DIM}\ntranslate 1 2 3\nscale {SCALE}\ndata\n").when(n == 1, f"#binvox 1\ntranslate 1 2.5 -3e0\ndim {DIM} {DIM} {DIM}\n\nscale {SCALE}\ndata\n")
         .when(n == 2, f"#binvox 1\ndim {DIM} {DIM} {DIM}\nscale {SCALE}\ndata\n").otherwise(f"#vox 1\ndim {DIM} {DIM} {DIM}\ntranslate 1 2 3\nscale {SCALE}\ndata\n")
     )
-    return payloads(spark, d).select(F.concat("file_key", F.lit(".obj_32.binvox")).alias("file_name"), F.concat(head.cast("binary"), "payload").alias("content"))
+    ending = F.when(F.substring("file_key", 7, 1) == "5", ".binvox").otherwise(".obj_16.binvox")
+    return payloads(spark, d).select(F.concat("file_key", ending).alias("file_name"), F.concat(head.cast("binary"), "payload").alias("content"))
 
 
-@query()
+FILES = """SELECT file_key, concat(file_key, CASE WHEN substring(file_key, 7, 1) = '5' THEN '.binvox' ELSE '.obj_16.binvox' END) AS file_name, CAST(regexp_extract(file_key, '([0-9])\\.', 1) AS INT) % 4 AS k,
+    CAST(2 * count(*) + CASE WHEN 4 * count(*) % 3 = 0 THEN 1 ELSE 0 END AS INT) AS payload_bytes FROM rle_run GROUP BY file_key"""
+
+
+@query(
+    f"""SELECT file_name, CAST({DIM} AS BIGINT) AS dx, CAST({DIM} AS BIGINT) AS dy, CAST({DIM} AS BIGINT) AS dz, 1.0::DOUBLE AS tx, CASE WHEN k = 0 THEN 2.0 ELSE 2.5 END::DOUBLE AS ty,
+    CASE WHEN k = 0 THEN 3.0 ELSE -3.0 END::DOUBLE AS tz, {SCALE}::DOUBLE AS scale, payload_bytes FROM ({FILES}) WHERE k < 2""",
+    "rle_run",
+)
 def grid_header(spark, d):
-    return grids.headers(grid_files(spark, d)).where("status = 'ok'").select("file_name", "dx", "dy", "dz", "translate", "scale", F.length("payload").alias("payload_bytes"))
+    moved = [F.col("translate")[i].alias(f"t{a}") for i, a in enumerate("xyz")]
+    return grids.headers(grid_files(spark, d)).where("status = 'ok'").select("file_name", "dx", "dy", "dz", *moved, "scale", F.length("payload").alias("payload_bytes"))
 
 
-@query()
+@query(f"SELECT file_name, CASE k WHEN 2 THEN 'missing_translate' WHEN 3 THEN 'bad_magic' ELSE 'ok' END AS status FROM ({FILES})", "rle_run")
 def grid_header_status(spark, d):
     return grids.headers(grid_files(spark, d)).select("file_name", "status")
 
 
+@query(f"SELECT file_name, CASE WHEN ends_with(file_name, '.obj_16.binvox') THEN file_key ELSE file_name END AS obj_key, CAST(CASE WHEN ends_with(file_name, '.obj_16.binvox') THEN 16 ELSE {DIM} END AS INT) AS grid FROM ({FILES}) WHERE k < 2", "rle_run")
+def grid_by_name_or_header(spark, d):
+    """The grid in a file's name, else the header's first dimension."""
+    return grids.named_grids(grids.headers(grid_files(spark, d)).where("status = 'ok'")).select("file_name", "obj_key", "grid")
+
+
 OFFSETS = "SELECT file_key, run_no, value, n, CAST(coalesce(sum(n) OVER (PARTITION BY file_key ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_cells FROM rle_run"
 
 
@@ -339,6 +372,23 @@ def voxel_id_collisions(spark, d):
     return voxels.id_collisions(voxel_rows(spark, d))
 
 
+WIDE = "SELECT p_brand AS obj_key, CAST(p_partkey % 7 AS INT) AS ix, CAST(p_partkey // 7 % 3 AS INT) AS iy, CAST(p_size % 5 + 500 * (p_size % 2) AS INT) AS iz FROM parts"
+
+
+@query(
+    f"""SELECT obj_key, (2 * CAST(ix AS BIGINT) + 1) * 100000000 + (2 * iy + 1) * 1000 + 2 * iz + 1 AS voxel_position, CAST(count(*) AS BIGINT) AS cells
+    FROM (SELECT DISTINCT * FROM ({WIDE})) GROUP BY ALL HAVING count(*) > 1""",
+    "parts",
+)
+def voxel_id_collisions_wide(spark, d):
+    """Cells of grids beyond 500 an axis, where ids do collide: (iy, iz + 500) and (iy + 1, iz)."""
+    cells = V.parts(spark, d).select(
+        F.col("p_brand").alias("obj_key"), (F.col("p_partkey") % 7).cast("int").alias("ix"), F.expr("cast(p_partkey div 7 % 3 as int) AS iy"), (F.col("p_size") % 5 + F.col("p_size") % 2 * 500).cast("int").alias("iz"),
+    ).distinct()
+    one = F.lit(1.0)
+    return voxels.id_collisions(cells.withColumn("voxel_position", X.voxel_position(F.col("ix"), F.col("iy"), F.col("iz"), one, one, one)))
+
+
 @query("SELECT obj_key, ix, iy, iz, points FROM cells", "cells")
 def voxelize_points(spark, d):
     return voxelize.voxelize_points(V.mesh_vertex(spark, d).select("obj_key", "x", "y", "z"), cubes(spark, d))
@@ -475,6 +525,11 @@ def batch_summary(spark, d):
     return tiles.batch_summary(V.ledger(spark, d), tile_names(spark, d))
 
 
+@query(f"SELECT tile, attempts FROM ({LATEST}) WHERE status = 'failed'", "ledger")
+def failed_runs(spark, d):
+    return tiles.failed_runs(V.ledger(spark, d))
+
+
 @query("SELECT status, CAST(count(*) AS BIGINT) AS runs FROM tile_event GROUP BY status", "tile_event")
 def run_outcomes(spark, d):
     return tiles.run_outcomes(V.tile_event(spark, d))

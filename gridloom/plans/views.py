@@ -52,8 +52,10 @@ def meshes(spark, sf_dir) -> DataFrame:
 def rle_run(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window as W
 
-    place = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("file_key"), place.alias("run_no"), (F.col("p_size") % 3).alias("value"), F.col("p_size").alias("n"))
+    # files of bounded size: their number grows with the table
+    keyed = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat_ws(".", "p_brand", F.expr("p_partkey div 1000")).alias("file_key"))
+    place = F.row_number().over(W.partitionBy("file_key").orderBy("p_partkey")) - 1
+    return keyed.select("file_key", place.alias("run_no"), (F.col("p_size") % 3).alias("value"), F.col("p_size").alias("n"))
 
 
 def tile_event(spark, sf_dir) -> DataFrame:
@@ -76,7 +78,7 @@ SQL = {
         CASE WHEN p_size % 4 = 0 THEN concat('Ifc', p_type) END AS class FROM part WHERE p_partkey % 17 <> 0""",
     "parts": "SELECT concat('part_', p_partkey) AS obj_key, p_partkey, p_brand, p_size, p_retailprice FROM part",
     "meshes": "SELECT concat('part_', p_partkey) AS obj_key FROM part WHERE p_partkey % 5 <> 0",
-    "rle_run": "SELECT p_brand AS file_key, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS run_no, p_size % 3 AS value, p_size AS n FROM part",
+    "rle_run": "SELECT concat(p_brand, '.', p_partkey // 1000) AS file_key, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) - 1 AS run_no, p_size % 3 AS value, p_size AS n FROM part",
     "tile_event": "SELECT concat('tile_', user_id) AS tile, event_id, ts, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status FROM events",
     "ledger": "SELECT *, row_number() OVER (PARTITION BY tile ORDER BY ts, event_id) AS attempt FROM tile_event",
     "bbox": "SELECT obj_key, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax, CAST(count(*) AS BIGINT) AS n_vertices FROM mesh_vertex GROUP BY obj_key",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +17,21 @@ def write_csv(rows: DataFrame, path: str) -> None:
     voxels.csv_rows(rows).select(*schemas.CSV_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
-def voxel_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(*[c.split()[0] for c in schemas.VOXEL.split(", ")])
+def voxel_columns(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The voxel table's columns, with ids beyond those of `existing`; a null position is an error."""
+    names = [c.split()[0] for c in schemas.VOXEL.split(", ")][1:]
+    placed = F.coalesce("voxel_position", F.raise_error(F.lit("voxel_position is null")).cast("long"))
+    return tables.with_ids(rows.withColumn("voxel_position", placed).select(*names), existing)
 
 
 def append_voxels(rows: DataFrame, table: str) -> None:
-    voxel_columns(rows).write.mode("append").saveAsTable(table)
+    spark = rows.sparkSession
+    voxel_columns(rows, spark.table(table) if spark.catalog.tableExists(table) else None).write.mode("append").saveAsTable(table)
 
 
 def write_jdbc(rows: DataFrame, url: str, table: str, batch_rows: int = 50_000, **properties: str) -> None:
-    """To an external database in batches, by one connection a partition; geometry goes as hex text."""
-    voxel_columns(rows).withColumn("vox_geom", F.hex("vox_geom")).write.mode("append").option("batchsize", batch_rows).jdbc(url, table, properties=properties)
+    """To an external database in batches, by one connection a partition; geometry goes as hex text, ids are the database's."""
+    voxel_columns(rows).drop("id").withColumn("vox_geom", F.hex("vox_geom")).write.mode("append").option("batchsize", batch_rows).jdbc(url, table, properties=properties)
 
 
 def clustered_write(rows: DataFrame, path: str, size: float) -> None:
@@ -43,10 +48,14 @@ def route(rows: DataFrame, output: str, csv_path: str | None = None, table: str
         raise ValueError("text output needs a path")
     if output in ("table", "both") and not table:
         raise ValueError("table output needs a table name")
+    if output == "both":
+        rows = rows.persist(StorageLevel.DISK_ONLY)  # both forms from one evaluation
     if output in ("csv", "both"):
         write_csv(rows, csv_path)
     if output in ("table", "both"):
         append_voxels(rows, table)
+    if output == "both":
+        rows.unpersist()
 
 
 def create_schema(spark: SparkSession, database: str = "default", srid: int | None = None) -> None:

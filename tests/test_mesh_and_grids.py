@@ -123,6 +123,30 @@ def test_headers(spark, tmp_path):
     assert (ok.dx, ok.dy, ok.dz, ok.translate, ok.scale, bytes(ok.payload)) == (2, 3, 4, [1.0, 2.5, -30.0], 0.5, b"\x01\x02data\n")
 
 
+def test_long_headers(spark):
+    head = b"#binvox 1\n" + b"\n" * 6000 + b"dim 2 3 4\ntranslate 1 2.5 -3e1\nscale 0.5\ndata\n"
+    row = grids.headers(spark.createDataFrame([("a_7.binvox", bytearray(head + b"\x01\x18"))], "file_name string, content binary")).first()
+    assert (row.status, row.dy, bytes(row.payload)) == ("ok", 3, b"\x01\x18")
+
+
+def test_jobs_over_folders(spark, tmp_path):
+    from gridloom.plans import jobs
+
+    corners = [(x, y, z) for x in (0, 4) for y in (0, 4) for z in (0, 4)]
+    quads = ["1 2 4 3", "5 6 8 7", "1 2 6 5", "3 4 8 7", "1 3 7 5", "2 4 8 6"]
+    (tmp_path / "a.obj").write_text("# cube\n" + "".join(f"v {x} {y} {z}\n" for x, y, z in corners) + "".join(f"f {q}\n" for q in quads))
+    (tmp_path / "a.json").write_text('{"building_id": "b1", "polygon_gml_id": "p1", "thematic_role": "RoofSurface"}')
+    (tmp_path / "a.obj_2.binvox").write_bytes(b"#binvox 1\ndim 2 2 2\ntranslate 0 0 0\nscale 4\ndata\n\x01\x01\x00\x07")
+    rows = jobs.from_meshes(spark, str(tmp_path), target=0.5).collect()
+    assert len(rows) == 8**3 - 6**3 and {(r.building_gmlid, r.object_type) for r in rows} == {("b1", "RoofSurface")}
+    assert min((r.x, r.y, r.z) for r in rows) == (0.25, 0.25, 0.25)
+    one = jobs.from_grids(spark, str(tmp_path)).collect()
+    assert [(r.ix, r.iy, r.iz, r.x, r.y, r.z, r.gmlid) for r in one] == [(0, 0, 0, 1.0, 1.0, 1.0, "p1")]
+    (tmp_path / "b.obj").write_text("# nothing\n")
+    with pytest.raises(ValueError, match="without vertices, first b"):
+        jobs.from_meshes(spark, str(tmp_path), target=0.5)
+
+
 def test_file_key(spark):
     df = spark.createDataFrame([("a.b.obj_64.binvox",), ("a_64.binvox",), ("x",)], "n string")
     k, g = grids.file_key(F.col("n"))

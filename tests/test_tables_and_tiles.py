@@ -32,6 +32,14 @@ def test_object_class_append_and_dedupe(spark):
     assert tables.object_class_rows(f).count() == 2 and tables.object_class_rows(f, dedupe=True).count() == 1
 
 
+def test_ids_stay_unique_over_appends(spark):
+    f = spark.range(6).selectExpr("concat('t', id) AS object_type", "'p' AS polygon_gmlid", "'b' AS building_gmlid", "'c' AS class_gmlid").repartition(3)
+    first = tables.object_class_rows(f)
+    second = tables.object_class_rows(f, existing=first)
+    ids = [r.id for r in first.collect()] + [r.id for r in second.collect()]
+    assert len(set(ids)) == 12
+
+
 def voxel(spark):
     row = (100001001, 1, 1.5, 690800.0, 12345678.5, "g", "b", "c", "p", "Roof")
     df = spark.createDataFrame([row], "voxel_position long, k int, x double, y double, z double, gmlid string, building_gmlid string, class_gmlid string, polygon_gmlid string, object_type string")
@@ -45,6 +53,10 @@ def test_routes(spark, tmp_path):
     sinks.create_schema(spark, "city", 25832)
     sinks.route(voxel(spark), "both", str(tmp_path / "csv"), "city.voxel")
     assert spark.table("city.voxel").count() == 1
+    sinks.append_voxels(voxel(spark), "city.voxel")
+    assert spark.table("city.voxel").select("id").distinct().count() == 2
+    with pytest.raises(Exception, match="voxel_position is null"):
+        sinks.append_voxels(voxel(spark).withColumn("voxel_position", F.lit(None).cast("long")), "city.voxel")
     parts = [list(csv.reader(open(p))) for p in glob.glob(f"{tmp_path}/csv/part-*.csv")]
     assert max(parts, key=len) == [["voxel_position", "vox_geom", "gmlid", "building_gmlid", "class_gmlid", "polygon_gmlid", "object_type", "X", "Y", "Z"], ["100001001", "0101", "g", "b", "c", "p", "Roof", "1.5", "690800", "12345678.5"]]
     for output, path, table in (("csv", None, None), ("table", None, None), ("both", str(tmp_path), None), ("other", None, None)):
