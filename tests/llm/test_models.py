@@ -200,7 +200,7 @@ def test_labelled_samples(spark):
     df = spark.createDataFrame([("token=abcdefghijklmnop some ordinary words here",), (None,)], "text string")
     rows = secrets.labelled_samples(df, strings=50).collect()
     plain = {r.token for r in rows if r.random == 0}
-    assert {"ordinary"} <= plain and not any("abcdefghijklmnop" in t for t in plain) and any("ordinary" in t and "words" in t for t in plain)
+    assert {"ordinary"} <= plain and not any("abcdefghijklmnop" in t for t in plain) and any("ordinary" in t.lower() and "words" in t.lower() for t in plain)
     drawn = [r.token for r in rows if r.random == 1]
     assert len(set(drawn)) == 50 and all(16 <= len(t) <= 48 for t in drawn)
     assert drawn == [r.token for r in secrets.random_strings(spark, 50).collect()]
