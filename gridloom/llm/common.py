@@ -52,14 +52,32 @@ def crc_of_id(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def _moves(left: DataFrame, turn: int) -> DataFrame:
+    """(node, to): the node of first rank among each node and its neighbours.
+
+    Even turns rank by degree, most first, and then by a hash, odd ones by the hash alone, which is a
+    new one each turn. `left` holds every edge once either way round.
+    """
+    by_degree = turn % 2 == 0
+    mark = lambda degree, c: F.struct((-degree).alias("degree"), F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("to"))
+    known = left.withColumn("degree", F.lit(0).cast("long"))
+    if by_degree:
+        degrees = stage(left.groupBy("src").agg(F.count("*").alias("degree")), "degrees")
+        known = left.join(degrees.withColumnRenamed("src", "dst"), "dst")
+    least = known.groupBy("src").agg(F.min(mark(F.col("degree"), "dst")).alias("near"), F.count("*").alias("own"))
+    own = F.col("own") if by_degree else F.lit(0).cast("long")
+    return least.select(F.col("src").alias("node"), F.least("near", mark(own, "src"))["to"].alias("to"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) long edges -> (node, component): component is the smallest node reachable.
 
-    Contraction: each round every node moves to the node of least hash among itself and its
-    neighbours, the hash being a new one each round, and edges are drawn between the nodes that are
-    left. The node of greatest hash in a component always goes, so rounds end by themselves, and on
-    average a fixed share goes whatever the shape and the ids, so they are about the logarithm of
-    the largest component and their tables shrink. Moves are then followed back from the last round.
+    Contraction: each round every node moves to the node of first rank among itself and its
+    neighbours, and edges are drawn between the nodes that are left. Every other round ranks by
+    degree, so that a star goes at once; the rounds between rank by a new hash. The node of last rank
+    in a component always goes, so rounds end by themselves, and in a round by hash a fixed share goes
+    on average whatever the shape and the ids, so they are about the logarithm of the largest
+    component and their tables shrink. Moves are then followed back from the last round.
     A node of high degree is one row with partial minima; edges and members then meet such rows in
     joins of written tables, where adaptive execution may split the rows of a hub or a giant component.
     Self edges are allowed and keep a lone node; null ends are dropped.
@@ -69,9 +87,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = both.select(F.col("src").alias("node")).distinct()
     left, moves = both.where("src <> dst"), []
     while not left.isEmpty():
-        mark = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
-        least = left.groupBy("src").agg(F.min(mark("dst")).alias("near"))
-        moved = stage(least.select(F.col("src").alias("node"), F.least("near", mark("src"))["to"].alias("to")), "moves")
+        moved = stage(_moves(left, len(moves)), "moves")
         moves.append(moved)
         ends = lambda name: moved.select(F.col("node").alias(name), F.col("to").alias(f"{name}_to"))  # noqa: B023, E731
         drawn = left.join(ends("src"), "src").join(ends("dst"), "dst").where("src_to <> dst_to")
@@ -85,3 +101,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rooted = stage(nodes.join(roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")), "roots")
     smallest = stage(rooted.groupBy("root").agg(F.min("node").alias("component")), "smallest")
     return stage(rooted.join(smallest, "root").select("node", "component"), "labels")
+
+
+def joined_components(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of connected_components() after further (src, dst) edges: only components that these touch are searched again."""
+    ends = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
+    placed = edges.join(ends("src"), "src", "left").join(ends("dst"), "dst", "left")
+    between = placed.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst"))
+    merged = connected_components(between)
+    known = parts.join(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    fresh = merged.join(parts.select("node"), "node", "left_anti").select("node", "component")
+    return known.select("node", F.coalesce("whole", "component").alias("component")).unionByName(fresh)

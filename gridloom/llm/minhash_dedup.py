@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import connected_components, stage
+from gridloom.llm.common import connected_components, joined_components, stage
 
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -280,7 +280,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     # among the others of a bucket
     others = opened.where("component <> main and parts > 2").select("key", "id", "component")
     second = stage(_searched(near, far, "main", shingles, block, threshold, False, sketches).unionByName(_searched(others, others, "key", shingles, block, threshold, True, sketches)), "links")
-    final = connected_components(first.unionByName(second).unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+    final = joined_components(parts, second)
 
     named = texts.select("d1", "d2", F.col("id").alias("exact_id")).join(final.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left")
     known = sketched.select("id", "d1", "d2").join(named, ["d1", "d2"]).select("id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
