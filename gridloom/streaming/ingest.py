@@ -32,17 +32,36 @@ def record(spark: SparkSession, path: str, outcomes: list[tuple[str, int, str]])
     rows.select("tile", "attempt", "ts", "status").coalesce(1).write.mode("append").parquet(path)
 
 
-def process(spark: SparkSession, arrivals: DataFrame, ledger_path: str, work: Callable[[DataFrame, str], None], max_attempts: int = 2) -> dict[str, str]:
+def process(
+    spark: SparkSession,
+    arrivals: DataFrame,
+    ledger_path: str,
+    work: Callable[[DataFrame, str], None],
+    max_attempts: int = 2,
+    together: Callable[[DataFrame], None] | None = None,
+) -> dict[str, str]:
     """Runs `work(rows of a tile, tile)` for each new tile, again once after a failure, and goes on after both.
 
-    The names of the tiles in one micro-batch come to the driver, which starts one job for each; rows
-    never do. A finished tile is skipped, whichever name form it comes by.
+    `together(rows of all new tiles)`, where given, comes first and does the whole batch in one job, whatever
+    its number of tiles; it has to replace what an earlier try wrote (as `save_tile_outputs` does). Only
+    where it fails are its tiles worked on one by one. The names of the tiles in one micro-batch come to
+    the driver; rows never do. A finished tile is skipped, whichever name form it comes by.
     """
     done = tiles.latest_status(ledger(spark, ledger_path)).where("status = 'ok'")
     named = arrivals.select("tile").distinct().withColumn("kind", F.lit("folder"))
+    new = tiles.next_tiles(tiles.pending(named, done))
+    names = [row["tile"] for row in new.toLocalIterator()]
+    if together is not None and names:
+        try:
+            together(arrivals.join(new.select("tile"), "tile", "left_semi").select(*arrivals.columns))
+        except Exception:  # noqa: BLE001  the tiles are then told apart below
+            pass
+        else:
+            record(spark, ledger_path, [(tile, 1, "ok") for tile in names])
+            return dict.fromkeys(names, "ok")
     results = {}
-    for row in tiles.next_tiles(tiles.pending(named, done)).toLocalIterator():
-        tile, outcomes = row["tile"], []
+    for tile in names:
+        outcomes = []
         for attempt in range(1, max_attempts + 1):
             try:
                 work(arrivals.where(F.col("tile") == tile), tile)
@@ -55,12 +74,12 @@ def process(spark: SparkSession, arrivals: DataFrame, ledger_path: str, work: Ca
     return results
 
 
-def ingest_tiles(spark: SparkSession, source: str, schema: str, ledger_path: str, checkpoint: str, work: Callable[[DataFrame, str], None], max_attempts: int = 2) -> StreamingQuery:
-    """Takes up all files that arrived under `source/tile=.../` since the last call, then ends."""
+def ingest_tiles(spark: SparkSession, source: str, schema: str, ledger_path: str, checkpoint: str, work: Callable[[DataFrame, str], None], max_attempts: int = 2, together: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Takes up all files that arrived under `source/tile=.../` since the last call, then ends. `work` and `together` are those of `process`."""
     stream = spark.readStream.schema(f"{schema}, tile string").parquet(source)
 
     def batch(rows: DataFrame, _: int) -> None:
-        process(rows.sparkSession, rows.persist(), ledger_path, work, max_attempts)
+        process(rows.sparkSession, rows.persist(), ledger_path, work, max_attempts, together)
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

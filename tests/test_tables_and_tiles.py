@@ -152,6 +152,31 @@ def test_ingest_resumes_retries_and_goes_on(spark, tmp_path):
     assert [r.tile for r in tiles.to_retry(ingest.ledger(spark, book), 3).collect()] == ["bad"]
 
 
+def test_a_batch_of_tiles_is_one_job_and_replaces_what_it_wrote(spark, tmp_path):
+    out, book = str(tmp_path / "out"), str(tmp_path / "ledger")
+    batches, single = [], []
+
+    def together(rows):
+        sinks.save_tile_outputs(rows, out)
+        batches.append(rows.count())
+        if rows.where("tile = 'bad'").count():
+            raise RuntimeError("after the write")
+
+    def work(rows, tile):
+        single.append(tile)
+        if tile == "bad":
+            raise RuntimeError(tile)
+        sinks.save_tile_outputs(rows, out)
+
+    rows = lambda *names: spark.createDataFrame([(n, t) for t in names for n in (1, 2)], "n int, tile string")
+    assert ingest.process(spark, rows("a", "b"), book, work, together=together) == {"a": "ok", "b": "ok"}
+    assert batches == [4] and single == []
+    assert ingest.process(spark, rows("a", "c", "bad"), book, work, together=together) == {"bad": "failed", "c": "ok"}
+    assert batches == [4, 4] and sorted(single) == ["bad", "bad", "c"]
+    assert spark.read.parquet(out).where("tile != 'bad'").count() == 6
+    assert ingest.process(spark, rows("a"), book, work, together=together) == {}
+
+
 def test_observed_counts(spark, tmp_path):
     rows, seen = ingest.observed(spark.createDataFrame([("a",), ("a",), ("b",)], "obj_key string"), "t1")
     rows.write.parquet(str(tmp_path / "o"))
