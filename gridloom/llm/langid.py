@@ -20,10 +20,6 @@ from gridloom.llm.common import stage, unused
 UND = "und"
 #: Runs of letters (numerals of the kinds No and Nl also match and are sorted out later).
 RUN = re.compile(r"[^\W\d_]+")
-#: Words up to this length share one forward pass; each longer one has a pass of its own.
-DENSE = 120
-#: Keeps forward sums in range: about one over a character's usual probability.
-SCALE = 12.0
 
 
 def load_pieces(model_file: str) -> dict[str, int]:
@@ -71,106 +67,78 @@ def edges_of(word: str, known: dict[str, int], unknown: int) -> list[int]:
     return edges
 
 
-def by_end(edges: list[int], *others: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Starts, ends and pieces of edges, and arrays beside them, in the order of their ends."""
-    e = np.array(edges, dtype=np.int64)
-    end = (e >> 26) + (e >> 18 & 255)
-    order = np.argsort(end, kind="stable")
-    e = e[order]
-    return e >> 26, end[order], e & (1 << 18) - 1, *(o[order] for o in others)
+def of_like_length(words: list[str], cells: int = 400_000) -> Iterator[list[int]]:
+    """Places of words, shortest first, in groups whose number times the longest word stays bounded; a longer word is a group of its own."""
+    group: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if group and (len(group) + 1) * (len(words[i]) + 2) > cells:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
+def summed_log(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log of the sums of exponentials of stretches of rows; `first` has where each stretch begins."""
+    top = np.maximum.reduceat(x, first)
+    sizes = np.diff(np.append(first, len(x)))
+    return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, sizes, axis=0)), first))
 
 
 class Lattices:
-    """All segmentation edges of some words of at most DENSE characters, grouped by the position where they end."""
+    """All segmentation edges of some words, taken up by the position where they end.
+
+    Sums are kept as logarithms, each taken around its largest term, so that words of any length and
+    pieces of any probability stay in the range of doubles.
+    """
 
     def __init__(self, words: list[str], known: dict[str, int], unknown: int):
         edges = [edges_of(w, known, unknown) for w in words]
-        word = np.repeat(np.arange(len(words)), [len(own) for own in edges])
-        self.start, self.end, self.piece, self.word = by_end([x for own in edges for x in own], word)
+        e = np.array([x for own in edges for x in own], dtype=np.int64)
+        self.word = np.repeat(np.arange(len(words)), [len(own) for own in edges])
+        self.start, self.piece = e >> 26, e & (1 << 18) - 1
+        self.end = self.start + (e >> 18 & 255)
         self.lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        last = int(self.lengths.max(initial=0))
-        self.cuts = np.searchsorted(self.end, np.arange(1, last + 2))
-        self.last = last
-
-    def forward(self, probabilities: np.ndarray) -> np.ndarray:
-        """alpha[word, position, language]: scaled probability of the word up to there."""
-        alpha = np.zeros((len(self.lengths), self.last + 1, probabilities.shape[1]))
-        alpha[:, 0] = 1.0
-        for b in range(1, self.last + 1):
-            s = slice(self.cuts[b - 1], self.cuts[b])
-            grown = alpha[self.word[s], self.start[s]] * probabilities[self.piece[s]] * (SCALE ** (b - self.start[s]))[:, None]
-            np.add.at(alpha[:, b], self.word[s], grown)
-        return alpha
-
-    def log_probability(self, probabilities: np.ndarray) -> np.ndarray:
-        total = self.forward(probabilities)[np.arange(len(self.lengths)), self.lengths]
-        return np.log(np.maximum(total, 1e-300)) - (self.lengths * np.log(SCALE))[:, None]
-
-    def expected(self, probabilities: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts of one language, over all segmentations (forward and backward)."""
-        alpha = self.forward(probabilities[:, None])[:, :, 0]
-        beta = np.zeros_like(alpha)
-        at = np.arange(len(self.lengths))
-        beta[at, self.lengths] = 1.0
-        for b in range(self.last, 0, -1):
-            s = slice(self.cuts[b - 1], self.cuts[b])
-            back = beta[self.word[s], b] * probabilities[self.piece[s]] * SCALE ** (b - self.start[s])
-            np.add.at(beta, (self.word[s], self.start[s]), back)
-        total = np.maximum(alpha[at, self.lengths], 1e-300)
-        weight = counts[self.word] / total[self.word] * alpha[self.word, self.start] * probabilities[self.piece] * SCALE ** (self.end - self.start) * beta[self.word, self.end]
-        return np.bincount(self.piece, weight, minlength=len(probabilities))
-
-
-def summed_log(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials over the first axis."""
-    top = x.max(0)
-    return top + np.log(np.exp(x - top).sum(0))
-
-
-class LongWord:
-    """The lattice of one word of any length, in logarithms, so that nothing leaves the range of doubles."""
-
-    def __init__(self, word: str, known: dict[str, int], unknown: int):
-        self.length = len(word) + 1
-        self.start, self.end, self.piece = by_end(edges_of(word, known, unknown))
-        self.cuts = np.searchsorted(self.end, np.arange(1, self.length + 2))
+        self.last = int(self.lengths.max(initial=0))
+
+    def steps(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each position in `at` in turn: the edges there, a word's together, and where each word begins."""
+        order = np.lexsort((self.word, at))
+        cuts = np.searchsorted(at[order], np.arange(self.last + 2))
+        for b in range(self.last + 1):
+            own = order[cuts[b] : cuts[b + 1]]
+            if len(own):
+                word = self.word[own]
+                yield b, own, np.flatnonzero(np.append(True, word[1:] != word[:-1]))
 
     def forward(self, log_p: np.ndarray) -> np.ndarray:
-        """Log probability of the word up to each position, one column a language."""
-        alpha = np.zeros((self.length + 1, log_p.shape[1]))
-        for b in range(1, self.length + 1):
-            s = slice(self.cuts[b - 1], self.cuts[b])
-            alpha[b] = summed_log(alpha[self.start[s]] + log_p[self.piece[s]])
+        """alpha[word, position, language]: log probability of the word up to there."""
+        alpha = np.zeros((len(self.lengths), self.last + 1, log_p.shape[1]))
+        for b, own, first in self.steps(self.end):
+            alpha[self.word[own[first]], b] = summed_log(alpha[self.word[own], self.start[own]] + log_p[self.piece[own]], first)
         return alpha
 
     def log_probability(self, log_p: np.ndarray) -> np.ndarray:
-        return self.forward(log_p)[-1]
-
-    def expected(self, log_p: np.ndarray, count: float) -> np.ndarray:
-        """Expected piece counts of one language."""
-        start, end, piece = self.start, self.end, self.piece
-        alpha = self.forward(log_p[:, None])[:, 0]
-        beta = np.full(self.length + 1, -np.inf)
-        beta[-1] = 0.0
-        by_start = np.argsort(start, kind="stable")
-        cuts = np.searchsorted(start[by_start], np.arange(self.length + 1))
-        for a in range(self.length - 1, -1, -1):
-            own = by_start[cuts[a] : cuts[a + 1]]
-            beta[a] = summed_log(beta[end[own]] + log_p[piece[own]])
-        weight = count * np.exp(alpha[start] + log_p[piece] + beta[end] - alpha[-1])
-        return np.bincount(piece, weight, minlength=len(log_p))
+        return self.forward(log_p)[np.arange(len(self.lengths)), self.lengths]
+
+    def expected(self, log_p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected piece counts of one language, over all segmentations (forward and backward)."""
+        log_p = log_p[:, None]
+        alpha = self.forward(log_p)[:, :, 0]
+        at = np.arange(len(self.lengths))
+        beta = np.zeros((len(self.lengths), self.last + 1, 1))
+        for a, own, first in reversed(list(self.steps(self.start))):
+            beta[self.word[own[first]], a] = summed_log(beta[self.word[own], self.end[own]] + log_p[self.piece[own]], first)
+        share = alpha[self.word, self.start] + log_p[self.piece, 0] + beta[self.word, self.end, 0] - alpha[at, self.lengths][self.word]
+        return np.bincount(self.piece, counts[self.word] * np.exp(share), minlength=len(log_p))
 
 
 def expected_counts(words: list[str], counts: np.ndarray, known: dict[str, int], probabilities: np.ndarray) -> np.ndarray:
     """Expected piece counts of words of any length in one language."""
-    unknown = len(probabilities) - 1
-    short = np.array([len(w) <= DENSE for w in words], dtype=bool)
-    total = np.zeros(len(probabilities))
-    if short.any():
-        total += Lattices([w for w in words if len(w) <= DENSE], known, unknown).expected(probabilities, counts[short])
-    for w, c in zip(words, counts.tolist(), strict=True):
-        if len(w) > DENSE:
-            total += LongWord(w, known, unknown).expected(np.log(probabilities), c)
+    total, log_p = np.zeros(len(probabilities)), np.log(probabilities)
+    for group in of_like_length(words):
+        total += Lattices([words[i] for i in group], known, len(probabilities) - 1).expected(log_p, counts[group])
     return total
 
 
@@ -179,18 +147,15 @@ class Identifier:
 
     def __init__(self, pieces: dict[str, int], languages: list[str], probabilities: np.ndarray):
         self.pieces, self.languages, self.probabilities = pieces, languages, probabilities
-        self.known = beginnings(pieces)
+        self.known, self.log_p = beginnings(pieces), np.log(probabilities)
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), one row a word; words that hold no letter have zeros."""
         out = np.zeros((len(words), len(self.languages)))
-        letters = np.array([any(map(str.isalpha, w)) for w in words], dtype=bool)
-        short = np.flatnonzero(letters & np.array([len(w) <= DENSE for w in words], dtype=bool))
-        if len(short):
-            out[short] = Lattices([words[i] for i in short], self.known, len(self.pieces)).log_probability(self.probabilities)
-        for i in np.flatnonzero(letters):
-            if len(words[i]) > DENSE:
-                out[i] = LongWord(words[i], self.known, len(self.pieces)).log_probability(np.log(self.probabilities))
+        lettered = [i for i, w in enumerate(words) if any(map(str.isalpha, w))]
+        for group in of_like_length([words[i] for i in lettered], 1_600_000 // len(self.languages)):
+            own = [lettered[i] for i in group]
+            out[own] = Lattices([words[i] for i in own], self.known, len(self.pieces)).log_probability(self.log_p)
         return out
 
 

@@ -39,46 +39,64 @@ def all_segmentations(word, pieces, p):
     return total
 
 
+def recursion(word, pieces, p):
+    """Log probability of a word by exact fractions, for one language."""
+    from fractions import Fraction
+
+    w, exact = "▁" + word, [Fraction(x) for x in p.tolist()]
+    longest = max(map(len, pieces))
+    plain = [Fraction(1)]
+    for b in range(1, len(w) + 1):
+        found = [(a, pieces.get(w[a:b], len(pieces) if b == a + 1 else None)) for a in range(max(0, b - longest), b)]
+        plain.append(sum((plain[a] * exact[k] for a, k in found if k is not None), Fraction(0)))
+    return math.log(plain[-1].numerator) - math.log(plain[-1].denominator)
+
+
 def test_forward_sums_all_segmentations():
     pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "c"])}
     p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1))
     words = ["", "a", "ab", "abab", "abaXba", "ccc", "X"]
-    got = langid.Lattices(words, langid.beginnings(pieces), len(pieces)).log_probability(p[:, None])[:, 0]
+    got = langid.Lattices(words, langid.beginnings(pieces), len(pieces)).log_probability(np.log(p)[:, None])[:, 0]
     for w, v in zip(words, got, strict=True):
         assert math.isclose(v, math.log(all_segmentations("▁" + w, pieces, p)), rel_tol=1e-9)
 
 
 def test_words_of_any_length_count_whole():
-    """Beyond the length that shares a pass: equal to the pass of short words, and to a plain recursion."""
+    """Every length equals exact fractions, alone and beside words of other lengths."""
     pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "c"])}
     p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1), size=2).T
-    known, rng = langid.beginnings(pieces), random.Random(1)
-    for n in (0, 1, 7, 119):
-        word = "".join(rng.choice("abcX") for _ in range(n))
-        assert np.allclose(langid.LongWord(word, known, 9).log_probability(np.log(p)), langid.Lattices([word], known, 9).log_probability(p)[0])
-        assert np.allclose(langid.LongWord(word, known, 9).expected(np.log(p[:, 0]), 3.0), langid.Lattices([word], known, 9).expected(p[:, 0], np.array([3.0])))
+    rng = random.Random(1)
+    model = langid.Identifier(pieces, ["x", "y"], p)
+    words = ["".join(rng.choice("abcX") for _ in range(n)) for n in (1, 7, 40, 119, 120, 121, 147, 1000)]
+    together = model.words(words)
+    for w, found in zip(words, together, strict=True):
+        assert np.allclose(found, model.words([w])[0], rtol=1e-12)
+        assert np.allclose(found, [recursion(w, pieces, p[:, k]) for k in range(2)], rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [20, 40, 60, 80, 100, 119, 121, 200])
+def test_characters_outside_the_vocabulary_never_leave_the_range(n):
+    """Long runs of unknown letters, 1e-6 in one language and 1e-7 in the other: odds and expected counts are exact."""
+    pieces = {"▁": 0, "a": 1}
+    p = np.array([[0.5, 0.5], [0.5 - 1e-6, 0.5 - 1e-7], [1e-6, 1e-7]])
     model = langid.Identifier(pieces, ["x", "y"], p)
-    for n in (121, 147, 5000):
-        word = "".join(rng.choice("abcX") for _ in range(n))
-        w, plain = "▁" + word, [[1.0, 1.0]]
-        logs = np.zeros(2)
-        for b in range(1, len(w) + 1):
-            total = np.zeros(2)
-            for a in range(max(0, b - 3), b):
-                k = pieces.get(w[a:b], 9 if b == a + 1 else None)
-                if k is not None:
-                    total += plain[a] * p[k]
-            plain.append(total)
-            if total.min() < 1e-100:  # keeps the recursion in range
-                logs += np.log(total)
-                for c in range(max(0, b - 3), b + 1):
-                    plain[c] = plain[c] / total
-        assert np.allclose(model.words([word])[0], logs + np.log(plain[-1]), rtol=1e-9)
+    both = model.words(["д" * n, "a" * n])
+    assert math.isclose(both[0, 0] - both[0, 1], n * math.log(10), rel_tol=1e-9)
+    assert np.allclose(both[1], [math.log(0.5) + n * math.log(0.5 - q) for q in (1e-6, 1e-7)], rtol=1e-12)
+    assert np.allclose(langid.expected_counts(["д" * n, "aд" * n, "a"], np.array([3.0, 2.0, 1.0]), model.known, p[:, 0]), [6, 2 * n + 1, 3 * n + 2 * n])
+
+
+def test_groups_hold_every_word_once_and_are_bounded():
+    words = ["a" * n for n in (5, 1, 900, 3, 3, 20, 0)]
+    groups = list(langid.of_like_length(words, 50))
+    assert sorted(i for g in groups for i in g) == list(range(len(words)))
+    assert all(len(g) == 1 or len(g) * (max(len(words[i]) for i in g) + 2) <= 50 for g in groups)
+    assert list(langid.of_like_length([])) == []
 
 
 def test_expected_counts_sum_to_what_words_hold():
     pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab"])}
-    counts = langid.Lattices(["ab"], langid.beginnings(pieces), len(pieces)).expected(np.full(5, 0.2), np.array([10.0]))
+    counts = langid.Lattices(["ab"], langid.beginnings(pieces), len(pieces)).expected(np.log(np.full(5, 0.2)), np.array([10.0]))
     one, two = 0.2 * 0.2, 0.2 * 0.2 * 0.2
     share = one / (one + two)
     assert np.allclose(counts, [10, 10 * (1 - share), 10 * (1 - share), 10 * share, 0])
@@ -119,6 +137,51 @@ def test_copies_leave_a_language_its_sample(spark, tokenizers):
 # ---- toxicity
 
 
+def test_sample_is_bounded_however_often_rows_repeat(spark):
+    """3,000 rows of two ids and 40 others: at most 10 texts, one for each id; long texts and null ids are left out."""
+    repeated = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5).alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(2, 42).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.repeat(F.lit("x"), 5000)).otherwise("short").alias("text"), F.lit(None).cast("string").alias("lang"))
+    labels = spark.range(42).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    docs = repeated.unionByName(others).unionByName(spark.createDataFrame([(None, "t", "en")], "doc_id long, text string, lang string"))
+    rows = toxicity.sample(docs, labels, 10, 1000).collect()
+    assert len(rows) == 10 and sum(r.toxic for r in rows) == 3 and len({r.doc_id for r in rows}) == 10
+    everything = {r.doc_id: r for r in toxicity.sample(docs, labels.unionByName(labels), 10_000, 1000).collect()}
+    assert set(everything) == set(range(42)) - {7} and everything[0].text == "text 0" and everything[1].text == "text 0"
+    assert {r.doc_id: r.text for r in toxicity.sample(docs.orderBy(F.desc("text")), labels, 10_000, 1000).collect()} == {k: r.text for k, r in everything.items()}
+
+
+def plain_responses(model, slots):
+    """Every filter over every window, one by one."""
+    best = []
+    for kernel, bias in zip(model.kernels, model.bias, strict=True):
+        width = len(kernel)
+        rows = [model.one[a] + model.two[b] for a, b in slots.tolist()]
+        rows += [np.zeros(rows[0].shape, dtype=np.float32)] * max(0, width - len(rows))
+        for f in range(kernel.shape[2]):
+            best.append(max(sum(float(rows[i + j] @ kernel[j][:, f]) for j in range(width)) for i in range(len(rows) - width + 1)) + float(bias[f]))
+    return np.array(best)
+
+
+def test_filters_equal_plain_windows():
+    rng = np.random.default_rng(3)
+    model = toxicity.Classifier(6, 4, (1, 2, 3), 5, 1)
+    model.bias = [rng.normal(0, 1, 5).astype(np.float32) for _ in model.widths]
+    for n in (1, 2, 3, 17):
+        slots = rng.integers(0, 64, (n, 2))
+        assert np.allclose(model.responses(slots)[0], plain_responses(model, slots), atol=1e-4)
+        assert np.allclose(model.pooled(slots), np.maximum(plain_responses(model, slots), 0), atol=1e-4)
+
+
+def test_stretches_miss_no_window(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.Classifier(6, 4, (1, 2, 3), 5, 1)
+    slots = rng.integers(0, 64, (57, 2))
+    whole = model.pooled(slots)
+    for stretch in (5, 8, 31, 57, 60):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        assert np.allclose(model.pooled(slots), whole, atol=1e-5)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
