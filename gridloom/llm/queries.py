@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, embedding_dedup, langid, minhash_dedup, ngram_lm, packing, secrets, toxicity, url_filter, warc
+from gridloom.llm import decontaminate, embedding_dedup, langid, lexical_search, minhash_dedup, ngram_lm, packing, secrets, toxicity, url_filter, warc
 from gridloom.llm.common import crc_of_id, table
 
 
@@ -86,6 +86,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best rows of `documents` for each row of `benchmark`; nulls, empty texts, repeated rows and empty tables as in lexical_search.search()."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_scores": op9_lm_scores,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 #: DuckDB twins of the queries that SQL can express; the others have brute-force twins in the tests.
@@ -130,4 +136,21 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id < original THEN original END AS refers_to, url_key, warc_date,
             row_number() OVER (PARTITION BY url_key ORDER BY warc_date, page_id) - 1 AS history_no
         FROM k""",
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark WHERE item_id IS NOT NULL),
+        s AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0),
+        f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+        w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM s) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f GROUP BY t),
+        m AS (SELECT r, doc_id, 100 - 90 + (90 * len(ts) * (SELECT docs FROM s)) // (SELECT terms FROM s) AS m FROM d WHERE len(ts) > 0),
+        p AS (
+            SELECT item_id, m.r, m.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM q JOIN w USING (t) JOIN f USING (t) JOIN m ON m.r = f.r GROUP BY item_id, m.r, m.doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+        FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10""",
 }
