@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, embedding_dedup, langid, lexical_search, minhash_dedup, ngram_lm, packing, secrets, toxicity, url_filter, warc
+from gridloom.llm import decontaminate, embedding_dedup, filter_audit, langid, lexical_search, minhash_dedup, ngram_lm, packing, secrets, toxicity, url_filter, warc
 from gridloom.llm.common import crc_of_id, table
 
 
@@ -91,6 +91,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over `documents` in all 120 orders, by source; nulls, repeated rows and empty tables as in filter_audit.audit()."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -103,6 +108,7 @@ QUERIES = {
     "op9_lm_scores": op9_lm_scores,
     "op10_url_filter": op10_url_filter,
     "op11_lexical_search": op11_lexical_search,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: DuckDB twins of the queries that SQL can express; the others have brute-force twins in the tests.
@@ -153,4 +159,32 @@ ORACLES: dict[str, str] = {
             FROM q JOIN w USING (t) JOIN f USING (t) JOIN m ON m.r = f.r GROUP BY item_id, m.r, m.doc_id)
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
         FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        first AS (SELECT text, min(doc_id) AS first FROM words GROUP BY text),
+        mark AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        doc AS (
+            SELECT part, coalesce(m.quality = 1, false) AS good, coalesce(m.toxic = 1, false) AS bad,
+                (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+                + (CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) > 2 * length(d.text) THEN 4 ELSE 0 END)
+                + (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN coalesce(d.doc_id > f.first, false) THEN 16 ELSE 0 END) AS mask
+            FROM words d JOIN first f ON f.text = d.text LEFT JOIN mark m ON m.doc_id = d.doc_id),
+        cell AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM doc GROUP BY part, mask),
+        letter(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        walk(prefix, applied, bit, letter) AS (
+            SELECT letter, 0, bit, letter FROM letter
+            UNION ALL
+            SELECT w.prefix || l.letter, w.applied | w.bit, l.bit, l.letter FROM walk w JOIN letter l ON ((w.applied | w.bit) & l.bit) = 0),
+        met AS (
+            SELECT part, prefix, letter, CAST(sum(CASE WHEN mask & (applied | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+                CAST(sum(CASE WHEN mask & bit <> 0 AND mask & applied = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+                CAST(sum(CASE WHEN mask & bit <> 0 AND mask & applied <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                CAST(sum(CASE WHEN mask & bit <> 0 AND mask & applied = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                CAST(sum(CASE WHEN mask & bit <> 0 AND mask & applied = 0 THEN bad ELSE 0 END) AS BIGINT) AS toxic_lost
+            FROM cell, walk GROUP BY part, prefix, letter)
+        SELECT part, o.prefix AS filter_order, CAST(length(m.prefix) AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM met m JOIN (SELECT prefix FROM walk WHERE length(prefix) = 5) o ON starts_with(o.prefix, m.prefix)""",
 }
