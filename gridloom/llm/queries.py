@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, embedding_dedup, filter_audit, langid, lexical_search, minhash_dedup, ngram_lm, packing, secrets, toxicity, url_filter, warc
+from gridloom.llm import decontaminate, embedding_dedup, filter_audit, langid, lexical_search, minhash_dedup, ngram_lm, packing, quality_rules, secrets, toxicity, url_filter, warc
 from gridloom.llm.common import crc_of_id, table
 
 
@@ -96,6 +96,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict for each row of `documents`; nulls, empty texts, repeated rows and empty tables as in quality_rules.judge()."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("own.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -109,6 +115,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_lexical_search": op11_lexical_search,
     "op12_filter_audit": op12_filter_audit,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 #: DuckDB twins of the queries that SQL can express; the others have brute-force twins in the tests.
@@ -187,4 +194,26 @@ ORACLES: dict[str, str] = {
         SELECT part, o.prefix AS filter_order, CAST(length(m.prefix) AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
             CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
         FROM met m JOIN (SELECT prefix FROM walk WHERE length(prefix) = 5) o ON starts_with(o.prefix, m.prefix)""",
+    "op13_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        raw AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        line AS (SELECT r, trim(regexp_replace(lower(unnest(ls)), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
+        host AS (SELECT host, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'r' || r)) AS total FROM d GROUP BY host),
+        often AS (
+            SELECT host, line FROM line JOIN d USING (r) JOIN host USING (host)
+            GROUP BY host, line, total HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'r' || r)) > greatest(10, total * 0.01)),
+        lost AS (SELECT r, sum(len(string_split(line, ' '))) AS n FROM line JOIN d USING (r) JOIN often USING (host, line) GROUP BY r),
+        triple AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS n FROM triple) WHERE n > 1),
+        rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + unnest([0, 1, 2]) AS i FROM again) GROUP BY r),
+        m AS (
+            SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
+            FROM d JOIN raw USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (removed_words > 0 AND (n_words - removed_words < 50 OR (n_words - removed_words) * 2 < n_words)) AS kept, removed_words
+        FROM m""",
 }
