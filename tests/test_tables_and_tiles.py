@@ -121,35 +121,110 @@ def test_pending_names_and_errors(spark):
         tiles.require_ok(tiles.run_outcomes(spark.createDataFrame([("failed",)], "status string")))
 
 
+class Inbox:
+    """A source folder, a ledger and a run over both."""
+
+    def __init__(self, spark, tmp_path):
+        self.spark, self.source, self.book, self.checkpoint = spark, str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "ckpt")
+        self.serial = 0
+
+    def arrive(self, *names):
+        for t in names:
+            self.serial += 1
+            self.spark.createDataFrame([(self.serial,), (-self.serial,)], "n int").coalesce(1).write.mode("append").parquet(f"{self.source}/tile={t}")
+
+    def run(self, work, **settings):
+        q = ingest.ingest_tiles(self.spark, self.source, "n int", self.book, self.checkpoint, work, **settings)
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    def latest(self):
+        return {r.tile: (r.status, r.attempts) for r in tiles.latest_status(ingest.ledger(self.spark, self.book)).collect()}
+
+
 def test_ingest_resumes_retries_and_goes_on(spark, tmp_path):
-    source, book, done = str(tmp_path / "in"), str(tmp_path / "ledger"), []
-    tries = {"bad": 0, "flaky": 0}
+    """Three runs: a tile that fails is taken up again without its files being touched, until it succeeds; a new file of a finished tile is reported."""
+    box, done, tries, mended = Inbox(spark, tmp_path), [], {"bad": 0, "flaky": 0}, []
 
     def work(rows, tile):
         if tile in tries:
             tries[tile] += 1
-            if tile == "bad" or tries[tile] == 1:
-                raise RuntimeError(tile)
+            if tile == "bad" and not mended or tries[tile] == 1:
+                raise RuntimeError(f"no luck with {tile}")
         done.append((tile, rows.count()))
 
-    def arrive(*names):
-        for t in names:
-            spark.createDataFrame([(1,), (2,)], "n int").coalesce(1).write.mode("append").parquet(f"{source}/tile={t}")
+    box.arrive("a", "bad", "flaky")
+    box.run(work)
+    assert sorted(done) == [("a", 2), ("flaky", 2)] and tries == {"bad": 2, "flaky": 2}
+    errors = {(r.tile, r.attempt): r.error for r in ingest.ledger(spark, box.book).where("status = 'failed'").collect()}
+    assert errors == {("bad", 1): "RuntimeError: no luck with bad", ("bad", 2): "RuntimeError: no luck with bad", ("flaky", 1): "RuntimeError: no luck with flaky"}
+    box.arrive("b", "a", "bad")
+    box.run(work)
+    # the new file of `bad` comes to a tile that isn't finished: both of its files count from now on
+    assert sorted(done) == [("a", 2), ("b", 2), ("flaky", 2)] and tries["bad"] == 6
+    assert box.latest() == {"a": ("ok", 1), "bad": ("failed", 6), "flaky": ("ok", 2), "b": ("ok", 1)}
+    assert [r.tile for r in tiles.to_retry(ingest.ledger(spark, box.book), 7).collect()] == ["bad"]
+    late = ingest.late_files(spark, box.book).collect()
+    assert [r.tile for r in late] == ["a"] and "/tile=a/part-" in late[0].path
+    mended.append(True)
+    box.run(work)  # nothing new has arrived
+    assert sorted(done) == [("a", 2), ("b", 2), ("bad", 4), ("flaky", 2)] and box.latest()["bad"] == ("ok", 7)
+    box.run(work)
+    assert len(done) == 4
+
+
+def test_tiles_are_given_up_and_opened_again(spark, tmp_path):
+    box, done = Inbox(spark, tmp_path), []
 
-    def run():
-        q = ingest.ingest_tiles(spark, source, "n int", book, str(tmp_path / "ckpt"), work)
-        q.awaitTermination(120)
-        assert q.exception() is None
+    def work(rows, tile):
+        done.append((tile, rows.count()))
+        if tile == "bad":
+            raise RuntimeError(tile)
 
-    arrive("a", "bad", "flaky")
-    run()
-    assert sorted(done) == [("a", 2), ("flaky", 2)] and tries == {"bad": 2, "flaky": 2}
-    arrive("b", "a")
-    run()
-    assert sorted(done) == [("a", 2), ("b", 2), ("flaky", 2)]
-    latest = {r.tile: (r.status, r.attempts) for r in tiles.latest_status(ingest.ledger(spark, book)).collect()}
-    assert latest == {"a": ("ok", 1), "bad": ("failed", 2), "flaky": ("ok", 2), "b": ("ok", 1)}
-    assert [r.tile for r in tiles.to_retry(ingest.ledger(spark, book), 3).collect()] == ["bad"]
+    box.arrive("a", "bad")
+    for _ in range(3):
+        box.run(work, max_attempts=1, give_up=2)
+    assert done.count(("bad", 2)) == 2 and box.latest()["bad"] == ("failed", 2)
+    box.arrive("a")
+    box.run(work, max_attempts=1, give_up=2, reopen=True)
+    assert done[-1] == ("a", 4) and box.latest()["a"] == ("ok", 2) and ingest.late_files(spark, box.book).count() == 0
+
+
+def test_a_repeated_batch_repeats_no_finished_tile(spark, tmp_path):
+    """A crash between a batch's work and its commit: the batch runs again, goes on, and takes its own files for no late ones."""
+    box, done = Inbox(spark, tmp_path), []
+    box.arrive("a", "b", "c")
+    # what the first micro-batch had written when it was cut off
+    files = spark.read.parquet(box.source).select("tile", F.col("_metadata.file_path").alias("path"))
+    ingest.note_files(spark, files, box.book, "stream-0")
+    ingest.record(spark, box.book, [("a", 1, "ok", None), ("b", 1, "ok", None)], "stream-0")
+    box.run(lambda rows, tile: done.append((tile, rows.count())))
+    assert done == [("c", 2)] and ingest.late_files(spark, box.book).count() == 0
+    assert ingest.noted_files(spark, box.book).count() == 3
+
+
+def test_failing_tiles_are_isolated_in_few_runs(spark, tmp_path):
+    runs, out = [], {}
+
+    def run(names):
+        runs.append(list(names))
+        if {"t013", "t050"} & set(names):
+            raise ValueError(len(names))
+
+    ingest.isolated([f"t{i:03}" for i in range(64)], run, lambda names, error: out.update(dict.fromkeys(names, error)))
+    assert {n for n, e in out.items() if e} == {"t013", "t050"} and out["t013"] == "ValueError: 1" and len(out) == 64
+    assert len(runs) <= 1 + 2 * 2 * 6
+    ingest.isolated([], run, None)
+
+
+def test_many_files_come_in_several_batches(spark, tmp_path):
+    """A tile whose files fall in several micro-batches: it is worked on with what has arrived, and the rest is reported."""
+    box, done = Inbox(spark, tmp_path), []
+    box.arrive("a", "b", "a")
+    box.run(lambda rows, tile: done.append((tile, rows.count())), max_files=1)
+    assert sorted(done) == [("a", 2), ("b", 2)] and [r.tile for r in ingest.late_files(spark, box.book).collect()] == ["a"]
+    box.run(lambda rows, tile: done.append((tile, rows.count())), max_files=1)
+    assert len(done) == 2
 
 
 def test_a_batch_of_tiles_is_one_job_and_replaces_what_it_wrote(spark, tmp_path):
@@ -172,7 +247,7 @@ def test_a_batch_of_tiles_is_one_job_and_replaces_what_it_wrote(spark, tmp_path)
     assert ingest.process(spark, rows("a", "b"), book, work, together=together) == {"a": "ok", "b": "ok"}
     assert batches == [4] and single == []
     assert ingest.process(spark, rows("a", "c", "bad"), book, work, together=together) == {"bad": "failed", "c": "ok"}
-    assert batches == [4, 4] and sorted(single) == ["bad", "bad", "c"]
+    assert batches == [4, 4, 2, 2, 2] and single == []  # both, each half, and the failed one again
     assert spark.read.parquet(out).where("tile != 'bad'").count() == 6
     assert ingest.process(spark, rows("a"), book, work, together=together) == {}
 
