@@ -58,20 +58,29 @@ def cell_of(index: Column, dy: Column, dz: Column) -> tuple[Column, Column, Colu
     return F.call_function("div", index, plane).cast("int"), F.call_function("div", rest, dz.cast("long")).cast("int"), (rest % dz).cast("int")
 
 
-def voxel_position(ix: Column, iy: Column, iz: Column, sx: Column, sy: Column, sz: Column) -> Column:
-    """i * 10^8 + j * 10^3 + k, where each is index * factor + 1 and factor is the size in half smallest sizes.
+#: Fixed weights of the three indices in a voxel's position.
+POSITION_WEIGHTS = (100_000_000, 1_000, 1)
 
-    A size that isn't positive and finite has factor 0. Ids are unique inside small grids only:
-    k may need four digits, which then run into j's.
-    """
+
+def position_factors(sx: Column, sy: Column, sz: Column) -> tuple[Column, Column, Column]:
+    """Each size in half smallest sizes, rounded; 0 where it isn't positive and finite."""
     edge = F.least(sx, sy, sz) * 0.5
 
-    def part(index: Column, size: Column) -> Column:
+    def factor(size: Column) -> Column:
         ratio = F.try_divide(size, edge)
-        factor = F.coalesce(F.when(F.isnan(ratio) | (F.abs(ratio) == float("inf")), 0.0).otherwise(F.round(ratio)), F.lit(0.0)).cast("long")
-        return index.cast("long") * factor + 1
+        return F.coalesce(F.when(F.isnan(ratio) | (F.abs(ratio) == float("inf")), 0.0).otherwise(F.round(ratio)), F.lit(0.0)).cast("long")
+
+    return factor(sx), factor(sy), factor(sz)
 
-    return part(ix, sx) * 100_000_000 + part(iy, sy) * 1_000 + part(iz, sz)
+
+def voxel_position(ix: Column, iy: Column, iz: Column, sx: Column, sy: Column, sz: Column) -> Column:
+    """i * 10^8 + j * 10^3 + k, where each is index * factor + 1 with the factors of position_factors().
+
+    Ids are unique inside small grids only: k may need four digits, which then run into j's
+    (see voxels.colliding_offsets).
+    """
+    parts = [(i.cast("long") * f + 1) * w for i, f, w in zip((ix, iy, iz), position_factors(sx, sy, sz), POSITION_WEIGHTS, strict=True)]
+    return parts[0] + parts[1] + parts[2]
 
 
 def namespaced_tag(role: Column) -> Column:

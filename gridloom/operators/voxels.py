@@ -67,6 +67,42 @@ def id_collisions(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("obj_key", "voxel_position").agg(F.count("*").alias("cells")).where("cells > 1")
 
 
+def colliding_offsets(grids: DataFrame) -> DataFrame:
+    """All columns of `grids` (with sx, sy, sz and the cells an axis gx, gy, gz) and dx, dy, dz: every index offset between cells that share a position.
+
+    Two cells share one if and only if 10^8 fx dx + 10^3 fy dy + fz dz = 0 for the factors f of the
+    sizes, so offsets follow from the sizes alone. One of each pair of opposite offsets is given, the
+    one whose first nonzero part is positive. For each dx that the other axes can make up for, dy runs
+    through its range and dz is what is left, if whole and inside the grid; where fz is 0, all dz do.
+    An axis of factor 0 doesn't count in a position, so all of its offsets collide. Grids have up to 2048
+    cells an axis: a dx is at most 4095 rows, and dx is 0 but for sizes that differ some 50-fold.
+    """
+    fx, fy, fz = X.position_factors(F.col("sx"), F.col("sy"), F.col("sz"))
+    wx, wy, wz = X.POSITION_WEIGHTS
+    div = lambda a, b: F.floor(F.try_divide(a.cast("double"), b.cast("double")))
+    shaped = grids.withColumns({"_x": fx * wx, "_y": fy * wy, "_z": fz * wz, **{f"_n{a}": F.col(f"g{a}").cast("long") - 1 for a in "xyz"}})
+    # how far the other two axes reach
+    most = F.when(F.col("_x") == 0, F.col("_nx")).otherwise(F.least(F.col("_nx"), div(F.col("_y") * F.col("_ny") + F.col("_z") * F.col("_nz"), F.col("_x"))))
+    swept = shaped.where("_nx >= 0 and _ny >= 0 and _nz >= 0").withColumn("dx", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))))
+    swept = swept.withColumn("dy", F.explode(F.sequence(F.when(F.col("dx") > 0, -F.col("_ny")).otherwise(F.lit(0).cast("long")), F.col("_ny"))))
+    rest = F.col("_x") * F.col("dx") + F.col("_y") * F.col("dy")
+    ahead = (F.col("dx") > 0) | (F.col("dy") > 0)
+    whole = swept.where((F.col("_z") > 0) & ahead).withColumn("dz", F.call_function("div", -rest, F.col("_z"))).where((F.col("dz") * F.col("_z") == -rest) & (F.abs("dz") <= F.col("_nz")))
+    free = swept.where((F.col("_z") == 0) & (rest == 0)).withColumn("dz", F.explode(F.sequence(F.when(ahead, -F.col("_nz")).otherwise(F.lit(0).cast("long")), F.col("_nz")))).where(ahead | (F.col("dz") > 0))
+    return whole.unionByName(free).select(*grids.columns, *[F.col(f"d{a}").cast("int").alias(f"d{a}") for a in "xyz"])
+
+
+def colliding_pairs(cells: DataFrame, offsets: DataFrame, key: str = "obj_key") -> DataFrame:
+    """(key, ix, iy, iz, jx, jy, jz): pairs of cells of one object that share a position, by the offsets of its grid.
+
+    `cells` has each cell once, `offsets` has `key`, dx, dy and dz; an object without offsets has no
+    pairs and is not searched. Cells meet by place, so a position is never a group.
+    """
+    moved = cells.join(offsets.select(key, "dx", "dy", "dz"), key).select(key, "ix", "iy", "iz", *[(F.col(f"i{a}") + F.col(f"d{a}")).alias(f"j{a}") for a in "xyz"])
+    other = cells.select(key, *[F.col(f"i{a}").alias(f"j{a}") for a in "xyz"])
+    return moved.join(other, [key, "jx", "jy", "jz"]).select(key, "ix", "iy", "iz", "jx", "jy", "jz")
+
+
 def csv_rows(voxels: DataFrame) -> DataFrame:
     """Voxel rows (with object_type) in the ten columns of the text form: geometry as hex, coordinates as plain decimals."""
     text = {a.upper(): X.plain_decimal(F.col(a)) for a in "xyz"}

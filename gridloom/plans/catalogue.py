@@ -372,21 +372,51 @@ def voxel_id_collisions(spark, d):
     return voxels.id_collisions(voxel_rows(spark, d))
 
 
-WIDE = "SELECT p_brand AS obj_key, CAST(p_partkey % 7 AS INT) AS ix, CAST(p_partkey // 7 % 3 AS INT) AS iy, CAST(p_size % 5 + 500 * (p_size % 2) AS INT) AS iz FROM parts"
+#: Cells of grids of 2048 an axis, by the first digit of the brand: cubes for even digits, cells four times as high for odd ones.
+WIDE = """SELECT DISTINCT substring(p_brand, 1, 7) AS obj_key, CAST(p_partkey % 7 AS INT) AS ix, CAST(p_partkey // 7 % 3 AS INT) AS iy,
+    CAST(p_size % 3 + CASE WHEN CAST(substring(p_brand, 7, 1) AS INT) % 2 = 0 THEN 1000 ELSE 250 END * (p_size % 2) AS INT) AS iz,
+    CASE WHEN CAST(substring(p_brand, 7, 1) AS INT) % 2 = 0 THEN 2 ELSE 8 END AS fz FROM parts"""
+WIDE_IDS = f"SELECT obj_key, (2 * CAST(ix AS BIGINT) + 1) * 100000000 + (2 * iy + 1) * 1000 + fz * iz + 1 AS voxel_position, CAST(count(*) AS BIGINT) AS cells FROM ({WIDE}) GROUP BY ALL HAVING count(*) > 1"
+
+
+def wide_cells(spark, d) -> DataFrame:
+    odd = F.substring("p_brand", 7, 1).cast("int") % 2 == 1
+    return V.parts(spark, d).select(
+        F.substring("p_brand", 1, 7).alias("obj_key"), (F.col("p_partkey") % 7).cast("int").alias("ix"), F.expr("cast(p_partkey div 7 % 3 as int) AS iy"),
+        (F.col("p_size") % 3 + F.when(odd, 250).otherwise(1000) * (F.col("p_size") % 2)).cast("int").alias("iz"), F.lit(1.0).alias("sx"), F.lit(1.0).alias("sy"), F.when(odd, 4.0).otherwise(1.0).alias("sz"),
+    ).distinct()
+
+
+@query(WIDE_IDS, "parts")
+def voxel_id_collisions_wide(spark, d):
+    """Ids of grids so large that they collide: (iy, iz + 1000) and (iy + 1, iz) in cubes, at 250 where cells are four times as high."""
+    cells = wide_cells(spark, d)
+    return voxels.id_collisions(cells.withColumn("voxel_position", X.voxel_position(*[F.col(c) for c in ("ix", "iy", "iz", "sx", "sy", "sz")])))
+
+
+@query(f"SELECT obj_key, voxel_position, CAST(cells * (cells - 1) / 2 AS BIGINT) AS pairs FROM ({WIDE_IDS})", "parts")
+def voxel_id_collisions_predicted(spark, d):
+    """The same collisions from the grids' sizes alone: pairs of cells that lie a colliding offset apart."""
+    cells = wide_cells(spark, d)
+    shapes = cells.select("obj_key", "sx", "sy", "sz").distinct().withColumns({f"g{a}": F.lit(2048) for a in "xyz"})
+    pairs = voxels.colliding_pairs(cells.select("obj_key", "ix", "iy", "iz"), voxels.colliding_offsets(shapes)).join(shapes, "obj_key")
+    placed = pairs.withColumn("voxel_position", X.voxel_position(*[F.col(c) for c in ("ix", "iy", "iz", "sx", "sy", "sz")]))
+    return placed.groupBy("obj_key", "voxel_position").agg(F.count("*").alias("pairs"))
 
 
 @query(
-    f"""SELECT obj_key, (2 * CAST(ix AS BIGINT) + 1) * 100000000 + (2 * iy + 1) * 1000 + 2 * iz + 1 AS voxel_position, CAST(count(*) AS BIGINT) AS cells
-    FROM (SELECT DISTINCT * FROM ({WIDE})) GROUP BY ALL HAVING count(*) > 1""",
-    "parts",
+    """WITH shape AS (SELECT p_partkey, CAST(1 + p_size % 4 AS BIGINT) * 2 AS a, CAST(1 + p_partkey % 3 AS BIGINT) * 2 AS b, 2 AS c, 64 + p_size * 39 AS g FROM part),
+    step AS (SELECT *, unnest(range(1, g)) AS dy FROM shape)
+    SELECT p_partkey, CAST(dy AS INT) AS dy, CAST(-(1000 * b * dy) // a AS INT) AS dz, CAST(g * (g - dy) * (g - (1000 * b * dy) // a) AS BIGINT) AS pairs
+    FROM step WHERE (1000 * b * dy) % a = 0 AND (1000 * b * dy) // a < g"""
 )
-def voxel_id_collisions_wide(spark, d):
-    """Cells of grids beyond 500 an axis, where ids do collide: (iy, iz + 500) and (iy + 1, iz)."""
-    cells = V.parts(spark, d).select(
-        F.col("p_brand").alias("obj_key"), (F.col("p_partkey") % 7).cast("int").alias("ix"), F.expr("cast(p_partkey div 7 % 3 as int) AS iy"), (F.col("p_size") % 5 + F.col("p_size") % 2 * 500).cast("int").alias("iz"),
-    ).distinct()
-    one = F.lit(1.0)
-    return voxels.id_collisions(cells.withColumn("voxel_position", X.voxel_position(F.col("ix"), F.col("iy"), F.col("iz"), one, one, one)))
+def voxel_id_offsets(spark, d):
+    """Offsets at which ids collide in a grid of each part's own sizes, and how many pairs of cells lie so in the full grid."""
+    shape = V.table(spark, d, "part").select(
+        "p_partkey", F.lit(1.0).alias("sx"), (1 + F.col("p_partkey") % 3).cast("double").alias("sy"), (1 + F.col("p_size") % 4).cast("double").alias("sz"), *[(64 + F.col("p_size") * 39).alias(f"g{a}") for a in "xyz"],
+    )
+    left = lambda a: F.col(f"g{a}").cast("long") - F.abs(F.col(f"d{a}"))
+    return voxels.colliding_offsets(shape).select("p_partkey", "dy", "dz", (left("x") * left("y") * left("z")).alias("pairs"))
 
 
 @query("SELECT obj_key, ix, iy, iz, points FROM cells", "cells")
