@@ -55,11 +55,12 @@ def headers(files: DataFrame) -> DataFrame:
         F.when(~head.startswith("#binvox"), "bad_magic").when(cut == "", "missing_data").when(~fits, "bad_header")
         .when(last("dim").isNull(), "missing_dim").when(last("translate").isNull(), "missing_translate").when(last("scale").isNull(), "missing_scale").otherwise("ok")
     )
-    shown = files.select("file_name", status.alias("status"), dims.alias("d"), moved.alias("t"), F.regexp_extract(last("scale"), FLOAT, 0).alias("s"), F.length(cut).alias("at"), "content")
+    tile = [c for c in files.columns if c == "tile"]
+    shown = files.select(*tile, "file_name", status.alias("status"), dims.alias("d"), moved.alias("t"), F.regexp_extract(last("scale"), FLOAT, 0).alias("s"), F.length(cut).alias("at"), "content")
     ok = F.col("status") == "ok"
     number = lambda c: F.when(ok, c)
     return shown.select(
-        "file_name", "status", *[number(F.try_element_at("d", F.lit(k + 1)).try_cast("bigint")).alias(n) for k, n in enumerate(("dx", "dy", "dz"))],
+        *tile, "file_name", "status", *[number(F.try_element_at("d", F.lit(k + 1)).try_cast("bigint")).alias(n) for k, n in enumerate(("dx", "dy", "dz"))],
         number(F.transform("t", lambda x: x.cast("double"))).alias("translate"), number(F.col("s").try_cast("double")).alias("scale"),
         number(F.expr("substring(content, at + 1)")).alias("payload"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import expressions as X
+from gridloom.operators.keys import object_key, tile_key
 
 
 def _tokens(line):
@@ -27,20 +28,21 @@ def swap_axes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.when(F.col("line").startswith("v ") & (F.size(t) >= 3), F.rtrim(swapped)).otherwise(F.col("line")))
 
 
-def object_bbox(vertices: DataFrame, key: str = "obj_key") -> DataFrame:
-    """Least and largest coordinates and the number of vertices of each object.
+def object_bbox(vertices: DataFrame) -> DataFrame:
+    """Least and largest coordinates and the number of vertices of each object (of each tile, where rows have one).
 
     NaN components don't count, though their vertex does; an axis of NaN alone is null. Partial
     minima leave one row for each object and task, so objects of any size are safe.
     """
     clean = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
     sides = [f(clean(a)).alias(f"{a}{n}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))]
-    return vertices.groupBy(key).agg(*sides, F.count("*").alias("n_vertices"))
+    return vertices.groupBy(*object_key(vertices)).agg(*sides, F.count("*").alias("n_vertices"))
 
 
 def without_vertices(meshes: DataFrame, bboxes: DataFrame) -> DataFrame:
     """Meshes (obj_key) of which no vertex was read."""
-    return meshes.join(bboxes.where("n_vertices > 0").select("obj_key"), "obj_key", "left_anti")
+    key = object_key(meshes, bboxes)
+    return meshes.join(bboxes.where("n_vertices > 0").select(*key), key, "left_anti")
 
 
 def require_vertices(meshes: DataFrame, bboxes: DataFrame) -> None:
@@ -55,26 +57,31 @@ def with_translate(bboxes: DataFrame) -> DataFrame:
 
 
 def global_bbox(bboxes: DataFrame) -> DataFrame:
-    return bboxes.agg(*[f(f"{a}{n}").alias(f"{a}{n}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+    """The box around all objects, or around those of each tile."""
+    return bboxes.groupBy(*tile_key(bboxes)).agg(*[f(f"{a}{n}").alias(f"{a}{n}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
 
 
 def grid_mapping(bboxes: DataFrame, target: float = X.DEFAULT_VOXEL_SIZE) -> DataFrame:
     """(obj_key, obj_filename, grid): cells for each axis so that none is larger than the target size."""
-    return bboxes.select("obj_key", F.concat("obj_key", F.lit(".obj")).alias("obj_filename"), X.grid_size(X.max_dimension(), target).alias("grid"))
+    return bboxes.select(*object_key(bboxes), F.concat("obj_key", F.lit(".obj")).alias("obj_filename"), X.grid_size(X.max_dimension(), target).alias("grid"))
 
 
 def grid_histogram(mapping: DataFrame) -> DataFrame:
-    """Files and percentage of each grid size; the total comes from the few grouped rows."""
-    counted = mapping.groupBy("grid").agg(F.count("*").alias("files"))
-    total = counted.agg(F.sum("files").alias("total"))
-    return counted.join(F.broadcast(total)).select("grid", "files", (F.col("files") * 100.0 / F.col("total")).alias("percent"))
+    """Files and percentage of each grid size, in each tile where there are tiles; the total comes from the few grouped rows."""
+    tile = tile_key(mapping)
+    counted = mapping.groupBy(*tile, "grid").agg(F.count("*").alias("files"))
+    total = counted.groupBy(*tile).agg(F.sum("files").alias("total"))
+    both = counted.join(total, tile) if tile else counted.join(F.broadcast(total))  # one row
+    return both.select(*tile, "grid", "files", (F.col("files") * 100.0 / F.col("total")).alias("percent"))
 
 
 def grid_lookup(meshes: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Each mesh with its grid; those without take the largest known, or 256 where none is."""
-    fallback = mapping.agg(F.coalesce(F.max("grid"), F.lit(X.FALLBACK_GRID)).alias("_fallback"))  # one row
-    joined = meshes.join(mapping.select("obj_key", "grid"), "obj_key", "left").join(F.broadcast(fallback))
-    return joined.withColumn("grid", F.coalesce("grid", "_fallback")).drop("_fallback")
+    """Each mesh with its grid; those without take the largest known (in their tile, where there are tiles), or 256 where none is."""
+    key, tile = object_key(meshes, mapping), tile_key(meshes)
+    fallback = mapping.groupBy(*tile).agg(F.max("grid").alias("_fallback"))
+    known = meshes.join(mapping.select(*key, "grid"), key, "left")
+    joined = known.join(fallback, tile, "left") if tile else known.join(F.broadcast(fallback))  # one row
+    return joined.withColumn("grid", F.coalesce("grid", "_fallback", F.lit(X.FALLBACK_GRID))).drop("_fallback")
 
 
 def grid_documents(mapping: DataFrame, tile: str, target: float) -> DataFrame:

@@ -7,9 +7,11 @@ cell is the box from its index to its index + 1.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import expressions as X
+from gridloom.operators.keys import object_key
 
 
 def cell_index(x: Column, origin: Column, size: Column, grid: Column) -> Column:
@@ -20,45 +22,65 @@ def cell_index(x: Column, origin: Column, size: Column, grid: Column) -> Column:
 
 def voxelize_points(vertices: DataFrame, grids: DataFrame) -> DataFrame:
     """(obj_key, ix, iy, iz, points): cells that hold a vertex. `grids` has obj_key, grid, scale, ox, oy, oz."""
-    placed = vertices.join(grids, "obj_key")
+    key = object_key(vertices, grids)
+    placed = vertices.join(grids, key)
     size = X.voxel_size(F.col("scale"), F.col("grid"))
-    cells = placed.select("obj_key", *[cell_index(F.col(a), F.col(f"o{a}"), size, F.col("grid")).alias(f"i{a}") for a in "xyz"])
-    return cells.groupBy("obj_key", "ix", "iy", "iz").agg(F.count("*").alias("points"))
+    cells = placed.select(*key, *[cell_index(F.col(a), F.col(f"o{a}"), size, F.col("grid")).alias(f"i{a}") for a in "xyz"])
+    return cells.groupBy(*key, "ix", "iy", "iz").agg(F.count("*").alias("points"))
+
+
+#: Lines of one stretch where a table tells only their number.
+BLOCK_LINES = 100_000
+
+
+def _drawn(lines: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Vertex and face lines with their block, the vertex lines before each block, and the key of a block.
+
+    Two levels, as for runs: blocks of an object get the prefix of their counts in a window of one row a
+    block, lines get theirs inside their block. No window holds a whole large mesh.
+    """
+    key = object_key(lines)
+    block = F.col("block") if "block" in lines.columns else F.call_function("div", F.col("line_no").cast("long"), F.lit(BLOCK_LINES))
+    own = lines.withColumn("block", block).withColumn("is_vertex", F.col("line").startswith("v ")).where(F.col("is_vertex") | F.col("line").startswith("f "))
+    counts = own.groupBy(*key, "block").agg(F.count_if("is_vertex").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return own, counts.select(*key, "block", before.alias("before")), [*key, "block"]
 
 
 def faces(lines: DataFrame) -> DataFrame:
     """(obj_key, a, b, c) vertex numbers from 1 of `f` lines: fans of longer faces; `a/b/c` keeps a; negative numbers count back.
 
-    `lines` has obj_key, line_no and line. Vertex lines before a face are counted in a window of the object.
+    `lines` has obj_key, line_no and line, and may have a block: lines of an object are then in order of
+    block and line_no. Vertex lines before a face are counted in its block and in the blocks before.
     """
-    from pyspark.sql import Window as W
-
-    seen = F.sum(F.col("line").startswith("v ").cast("int")).over(W.partitionBy("obj_key").orderBy("line_no"))
-    own = lines.where(F.col("line").startswith("v ") | F.col("line").startswith("f ")).withColumn("seen", seen).where(F.col("line").startswith("f "))
+    own, before, at = _drawn(lines)
+    inside = F.sum(F.col("is_vertex").cast("int")).over(W.partitionBy(*at).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    own = own.withColumn("inside", inside).where("not is_vertex").join(before, at).withColumn("seen", F.col("before") + F.col("inside"))
     tokens = F.filter(F.split(F.substring("line", 3, 2**31 - 1), "[ \\t\\r\\f]+"), lambda t: t != "")
-    numbers = F.transform(tokens, lambda t: F.substring_index(t, "/", 1).try_cast("int"))
-    found = own.select("obj_key", F.transform(numbers, lambda n: F.when(n < 0, F.col("seen") + 1 + n).otherwise(n)).alias("n")).where("size(n) >= 3")
-    return found.select("obj_key", F.col("n")[0].alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.size("n") - 2), lambda i: F.struct(F.get("n", i).alias("b"), F.get("n", i + 1).alias("c")))).alias("t")).select("obj_key", "a", "t.b", "t.c").where("a is not null and b is not null and c is not null")
+    numbers = F.transform(tokens, lambda t: F.substring_index(t, "/", 1).try_cast("long"))
+    key = at[:-1]
+    found = own.select(*key, F.transform(numbers, lambda n: F.when(n < 0, F.col("seen") + 1 + n).otherwise(n)).alias("n")).where("size(n) >= 3")
+    return found.select(*key, F.col("n")[0].alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.size("n") - 2), lambda i: F.struct(F.get("n", i).alias("b"), F.get("n", i + 1).alias("c")))).alias("t")).select(*key, "a", "t.b", "t.c").where("a is not null and b is not null and c is not null")
 
 
 def vertex_numbers(lines: DataFrame) -> DataFrame:
-    """(obj_key, vertex_no from 1, x, y, z): lines that can't be read keep their number."""
-    from pyspark.sql import Window as W
-
+    """(obj_key, vertex_no from 1, x, y, z): lines that can't be read keep their number. `lines` as in faces()."""
     from gridloom.operators import mesh
 
-    place = F.row_number().over(W.partitionBy("obj_key").orderBy("line_no"))
-    numbered = lines.where(F.col("line").startswith("v ")).select("obj_key", "line", place.alias("vertex_no"))
-    return mesh.parse_vertices(numbered).select("obj_key", "vertex_no", "x", "y", "z")
+    own, before, at = _drawn(lines)
+    place = F.row_number().over(W.partitionBy(*at).orderBy("line_no"))
+    numbered = own.where("is_vertex").withColumn("inside", place).join(before, at).select(*at[:-1], "line", (F.col("before") + F.col("inside")).alias("vertex_no"))
+    return mesh.parse_vertices(numbered).select(*at[:-1], "vertex_no", "x", "y", "z")
 
 
 def triangles_of_faces(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Triangles with coordinates: `vertices` has obj_key, vertex_no from 1, x, y, z."""
+    key = object_key(vertices, triangles)
     out = triangles
     for k, corner in enumerate("abc"):
-        own = vertices.select("obj_key", F.col("vertex_no").alias(corner), *[F.col(a).alias(f"{a}{k}") for a in "xyz"])
-        out = out.join(own, ["obj_key", corner])
-    return out.select("obj_key", *[f"{a}{k}" for k in range(3) for a in "xyz"])
+        own = vertices.select(*key, F.col("vertex_no").alias(corner), *[F.col(a).alias(f"{a}{k}") for a in "xyz"])
+        out = out.join(own, [*key, corner])
+    return out.select(*key, *[f"{a}{k}" for k in range(3) for a in "xyz"])
 
 
 def _span(low: Column, high: Column, grid: Column) -> tuple[Column, Column]:
@@ -107,11 +129,12 @@ def voxelize_surface(triangles: DataFrame, grids: DataFrame, split_above: int =
     first, so a huge triangle isn't one task's work. Grids without extent have the one cell 0, 0, 0.
     Triangles with a NaN or infinite corner, and objects without grid, give nothing.
     """
-    joined = triangles.join(grids, "obj_key")
+    key = object_key(triangles, grids)
+    joined = triangles.join(grids, key)
     size = F.col("scale") / F.col("grid")
-    flat = joined.where("not scale > 0").select("obj_key", *[F.lit(0).alias(f"i{a}") for a in "xyz"]).distinct()
+    flat = joined.where("not scale > 0").select(*key, *[F.lit(0).alias(f"i{a}") for a in "xyz"]).distinct()
     names = [f"{a}{k}" for k in range(3) for a in "xyz"]
-    cells = joined.where("scale > 0").select("obj_key", "grid", *[((F.col(f"{a}{k}") - F.col(f"o{a}")) / size).alias(f"{a}{k}") for k in range(3) for a in "xyz"])
+    cells = joined.where("scale > 0").select(*key, "grid", *[((F.col(f"{a}{k}") - F.col(f"o{a}")) / size).alias(f"{a}{k}") for k in range(3) for a in "xyz"])
     finite = F.lit(True)
     for c in names:
         finite = finite & ~F.isnan(c) & (F.abs(F.col(c)) < 1e15)
@@ -125,7 +148,7 @@ def voxelize_surface(triangles: DataFrame, grids: DataFrame, split_above: int =
     turned = lambda k, i: F.when(F.col("depth") == 2, F.col(f"{'xyz'[i]}{k}")).when(F.col("depth") == 1, F.col(f"{'zxy'[i]}{k}")).otherwise(F.col(f"{'yzx'[i]}{k}"))
     # one struct through a generator: later filters then don't repeat all this arithmetic
     laid = F.struct(*[turned(k, i).alias(f"{a}{k}") for k in range(3) for i, a in enumerate("uvw")])
-    own = cells.select("obj_key", "grid", "depth", F.inline(F.array(laid)))
+    own = cells.select(*key, "grid", "depth", F.inline(F.array(laid)))
     grid = F.col("grid")
     spans = {}
     for a in "uvw":
@@ -136,10 +159,10 @@ def voxelize_surface(triangles: DataFrame, grids: DataFrame, split_above: int =
     own = own.select("*", F.inline(F.array(measured))).withColumns(_normal())
     # few bytes of triangles become many candidates: they are dealt out to a fixed number of tasks, which isn't merged again
     tasks = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = own.repartition(tasks, "obj_key", *[f"{a}{k}" for k in range(3) for a in "uvw"])
+    own = own.repartition(tasks, *key, *[f"{a}{k}" for k in range(3) for a in "uvw"])
     columns = (F.col("u_to") - F.col("u_from") + 1) * (F.col("v_to") - F.col("v_from") + 1)
     small = own.where(columns <= split_above).withColumn("u", F.explode(F.sequence("u_from", "u_to")))
-    large = own.where(columns > split_above).withColumn("u", F.explode(F.sequence("u_from", "u_to"))).repartition("obj_key", "u", *[f"{a}{k}" for k in range(3) for a in "uvw"])
+    large = own.where(columns > split_above).withColumn("u", F.explode(F.sequence("u_from", "u_to"))).repartition(*key, "u", *[f"{a}{k}" for k in range(3) for a in "uvw"])
     swept = small.unionByName(large).withColumn("v", F.explode(F.sequence("v_from", "v_to")))
     at = F.col("w0") - F.try_divide(F.col("nu") * (F.col("u") + 0.5 - F.col("u0")) + F.col("nv") * (F.col("v") + 0.5 - F.col("v0")), F.col("nw"))
     reach = F.try_divide(F.abs("nu") + F.abs("nv"), F.abs("nw") * 2) + 1e-6
@@ -149,4 +172,4 @@ def voxelize_surface(triangles: DataFrame, grids: DataFrame, split_above: int =
     candidates = bounded.withColumn("w", F.explode(F.sequence("w_low", "w_high")))
     hit = candidates.where(_overlaps())
     back = lambda i: F.when(F.col("depth") == 2, F.col("uvw"[i])).when(F.col("depth") == 1, F.col("vwu"[i])).otherwise(F.col("wuv"[i])).cast("int")
-    return hit.select("obj_key", *[back(i).alias(f"i{a}") for i, a in enumerate("xyz")]).distinct().unionByName(flat)
+    return hit.select(*key, *[back(i).alias(f"i{a}") for i, a in enumerate("xyz")]).distinct().unionByName(flat)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import expressions as X
+from gridloom.operators.keys import object_key
 
 
 def voxel_origin(grids: DataFrame, bboxes: DataFrame) -> DataFrame:
     """Adds ox, oy, oz: the centre of the object's box less half the scale, or the header's translation with y and z exchanged."""
-    boxes = bboxes.select("obj_key", *[X.centre(F.col(f"{a}min"), F.col(f"{a}max")).alias(f"_{a}") for a in "xyz"])
-    joined = grids.join(boxes, "obj_key", "left")
+    key = object_key(grids, bboxes)
+    boxes = bboxes.select(*key, *[X.centre(F.col(f"{a}min"), F.col(f"{a}max")).alias(f"_{a}") for a in "xyz"])
+    joined = grids.join(boxes, key, "left")
     moved = X.unswapped(F.col("translate"))
     return joined.withColumns({f"o{a}": F.coalesce(F.col(f"_{a}") - F.col("scale") * 0.5, moved[k]) for k, a in enumerate("xyz")}).drop("_x", "_y", "_z")
 
@@ -19,7 +21,7 @@ def voxel_origin(grids: DataFrame, bboxes: DataFrame) -> DataFrame:
 def cube_of_bbox(bboxes: DataFrame, target: float) -> DataFrame:
     """(obj_key, scale, grid, ox, oy, oz): the cube around the box's centre with the box's largest side, and its cells an axis."""
     scaled = bboxes.withColumn("scale", X.max_dimension())
-    return scaled.select("obj_key", "scale", X.grid_size(F.col("scale"), target).alias("grid"), *[(X.centre(F.col(f"{a}min"), F.col(f"{a}max")) - F.col("scale") * 0.5).alias(f"o{a}") for a in "xyz"])
+    return scaled.select(*object_key(bboxes), "scale", X.grid_size(F.col("scale"), target).alias("grid"), *[(X.centre(F.col(f"{a}min"), F.col(f"{a}max")) - F.col("scale") * 0.5).alias(f"o{a}") for a in "xyz"])
 
 
 def world_coordinates(cells: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def counts(cells: DataFrame, key: str = "file_key") -> DataFrame:
 
 def id_collisions(voxels: DataFrame) -> DataFrame:
     """Positions that several cells of one object share."""
-    return voxels.groupBy("obj_key", "voxel_position").agg(F.count("*").alias("cells")).where("cells > 1")
+    return voxels.groupBy(*object_key(voxels), "voxel_position").agg(F.count("*").alias("cells")).where("cells > 1")
 
 
 def colliding_offsets(grids: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import expressions as X
 from gridloom.operators import grids, mesh, semantics, tables, tiles, voxelize, voxels
+from gridloom.plans import jobs
 from gridloom.plans import views as V
 from gridloom.plans.views import DIM, SCALE, TARGET, TRANSLATE, with_views
 from gridloom.sources import files
@@ -36,18 +37,9 @@ def cubes(spark: SparkSession, d: str) -> DataFrame:
     return voxels.cube_of_bbox(boxes(spark, d), TARGET)
 
 
-def typed_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of the meshes' points with ids, type, origin and sizes."""
-    cube = cubes(spark, d)
-    cells = voxelize.voxelize_points(V.mesh_vertex(spark, d).select("obj_key", "x", "y", "z"), cube)
-    side = V.sidecar(spark, d)
-    named = voxels.ids_and_type(V.parts(spark, d).select("obj_key"), side, semantics.index_entry(side))
-    placed = cube.withColumns(voxels.sizes(F.col("scale"), F.col("grid"))).join(named, "obj_key")
-    return cells.join(placed, "obj_key")
-
-
 def voxel_rows(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.voxel_rows(typed_cells(spark, d))
+    """Voxel rows of the meshes' points with ids and type."""
+    return jobs.voxels_of_points(V.mesh_vertex(spark, d), V.sidecar(spark, d), TARGET)
 
 
 def voxels_per_building(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +336,7 @@ def voxel_origin(spark, d):
 
 @query("SELECT obj_key, ix, iy, iz, x, y, z FROM voxels", "voxels")
 def voxel_world_coords(spark, d):
-    return voxels.world_coordinates(typed_cells(spark, d)).select("obj_key", "ix", "iy", "iz", "x", "y", "z")
+    return voxel_rows(spark, d).select("obj_key", "ix", "iy", "iz", "x", "y", "z")
 
 
 @query("SELECT obj_key, voxel_position, gmlid, building_gmlid, class_gmlid, polygon_gmlid FROM voxels", "voxels")
@@ -459,6 +451,36 @@ def voxels_all_tiles(spark, d):
     return east.unionByName(west).select("tile", "obj_key", "voxel_position")
 
 
+#: Parts as objects of three tiles, so that each name is in each tile.
+TILED = "CAST(substring(obj_key, 6) AS BIGINT) % 3 AS t, CAST(substring(obj_key, 6) AS BIGINT) // 3 AS o"
+
+
+def in_tiles(rows: DataFrame) -> DataFrame:
+    """Rows of parts under the names of three tiles' objects: part 3 o + t is object o of tile t."""
+    part = F.substring("obj_key", 6, 20).cast("long")
+    return rows.withColumns({"tile": F.concat(F.lit("tile_"), part % 3), "obj_key": F.concat(F.lit("obj_"), F.call_function("div", part, F.lit(3)))})
+
+
+@query(f"SELECT concat('tile_', t) AS tile, concat('obj_', o) AS obj_key, voxel_position, gmlid, building_gmlid, object_type, x, y, z FROM (SELECT *, {TILED} FROM voxels)", "voxels")
+def voxels_of_tiles(spark, d):
+    """The job over tiles whose objects have the same names: boxes, grids, ids and types go by tile and name."""
+    rows = jobs.voxels_of_points(in_tiles(V.mesh_vertex(spark, d)), in_tiles(V.sidecar(spark, d)), TARGET)
+    return rows.select("tile", "obj_key", "voxel_position", "gmlid", "building_gmlid", "object_type", "x", "y", "z")
+
+
+@query(f"SELECT concat('tile_', t) AS tile, concat('obj_', o) AS obj_key, coalesce(grid, max(grid) OVER (PARTITION BY t), 256) AS grid FROM (SELECT p.obj_key, grid, CAST(substring(p.obj_key, 6) AS BIGINT) % 3 AS t, CAST(substring(p.obj_key, 6) AS BIGINT) // 3 AS o FROM parts p LEFT JOIN cube c ON p.obj_key = c.obj_key)", "parts", "cube")
+def grid_lookup_of_tiles(spark, d):
+    """Grids of tiles; an object without mesh takes the largest grid of its own tile."""
+    mapping = mesh.grid_mapping(mesh.object_bbox(in_tiles(V.mesh_vertex(spark, d))), TARGET)
+    return mesh.grid_lookup(in_tiles(V.parts(spark, d).select("obj_key")), mapping)
+
+
+@query(f"SELECT concat('tile_', t) AS tile, concat('obj_', o) AS obj_key, building_gmlid, class_gmlid, polygon_gmlid, object_type FROM (SELECT *, {TILED} FROM typed)", "typed")
+def semantics_of_tiles(spark, d):
+    """Ids and types of tiles' objects, each from the sidecar and index entry of its own tile."""
+    return jobs.named(in_tiles(V.parts(spark, d).select("obj_key")), in_tiles(V.sidecar(spark, d)))
+
+
 # ---- tables
 
 

@@ -1,4 +1,8 @@
-"""Whole jobs over folders: meshes, sidecars and encoded grids in, voxel rows out."""
+"""Whole jobs over folders: meshes, sidecars and encoded grids in, voxel rows out.
+
+With `tiles` each folder inside the given one is a tile: rows bear its name, and objects of equal names in
+two tiles are two objects throughout.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +11,50 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import expressions as X
 from gridloom.operators import grids, mesh, semantics, voxelize, voxels
+from gridloom.operators.keys import object_key, tile_key
 from gridloom.sources import files
 
 
-def _named(spark: SparkSession, keys: DataFrame, folder: str) -> DataFrame:
-    side = files.scan_sidecars(spark, folder).where("status = 'parsed'")
-    return voxels.ids_and_type(keys, side, semantics.index_entry(side))
+def named(keys: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """The rows of `keys` with ids and type of their object."""
+    return voxels.ids_and_type(keys, sidecars, semantics.index_entry(sidecars))
+
+
+def voxels_of_points(points: DataFrame, sidecars: DataFrame, target: float = X.DEFAULT_VOXEL_SIZE, srid: int = X.DEFAULT_SRID) -> DataFrame:
+    """Voxel rows of all cells that hold a vertex, placed by each object's own box and named by its sidecar."""
+    key = object_key(points, sidecars)
+    cube = voxels.cube_of_bbox(mesh.object_bbox(points), target)
+    cells = voxelize.voxelize_points(points.select(*key, "x", "y", "z"), cube)
+    placed = named(cube.withColumns(voxels.sizes(F.col("scale"), F.col("grid"))), sidecars)
+    return voxels.voxel_rows(cells.join(placed, key), srid)
+
 
+def from_meshes(spark: SparkSession, folder: str, target: float = X.DEFAULT_VOXEL_SIZE, srid: int = X.DEFAULT_SRID, tiles: bool = False) -> DataFrame:
+    """Voxel rows of the surfaces of all meshes in a folder, named by the sidecars beside them. A mesh without vertices is an error.
 
-def from_meshes(spark: SparkSession, folder: str, target: float = X.DEFAULT_VOXEL_SIZE, srid: int = X.DEFAULT_SRID) -> DataFrame:
-    """Voxel rows of the surfaces of all meshes in a folder, named by the sidecars beside them. A mesh without vertices is an error."""
-    lines = files.mesh_lines(files.text_files(spark, folder, "*.obj"))
-    points = mesh.parse_vertices(lines.where(F.col("line").startswith("v ")))
-    boxes = mesh.object_bbox(points)
-    mesh.require_vertices(lines.select("obj_key").distinct(), boxes)
+    Meshes are read in parts and numbered by prefix sums over these, so a mesh of any size is many tasks' work.
+    """
+    lines = files.scan_mesh(spark, folder, tiles)
+    key = object_key(lines)
+    boxes = mesh.object_bbox(mesh.parse_vertices(lines))
+    mesh.require_vertices(files.mesh_names(spark, folder, tiles), boxes)
     cube = voxels.cube_of_bbox(boxes, target)
-    numbered = voxelize.vertex_numbers(lines)
-    cells = voxelize.voxelize_surface(voxelize.triangles_of_faces(numbered, voxelize.faces(lines)), cube)
-    placed = cube.withColumns(voxels.sizes(F.col("scale"), F.col("grid"))).join(_named(spark, cube.select("obj_key"), folder), "obj_key")
-    return voxels.voxel_rows(cells.join(placed, "obj_key"), srid)
+    cells = voxelize.voxelize_surface(voxelize.triangles_of_faces(voxelize.vertex_numbers(lines), voxelize.faces(lines)), cube)
+    side = files.scan_sidecars(spark, folder, tiles).where("status = 'parsed'")
+    placed = named(cube.withColumns(voxels.sizes(F.col("scale"), F.col("grid"))), side)
+    return voxels.voxel_rows(cells.join(placed, key), srid)
 
 
-def from_grids(spark: SparkSession, folder: str, srid: int = X.DEFAULT_SRID) -> DataFrame:
+def from_grids(spark: SparkSession, folder: str, srid: int = X.DEFAULT_SRID, tiles: bool = False) -> DataFrame:
     """Voxel rows of all encoded grids in a folder, placed by the meshes beside them, else by their headers; broken files are left out."""
-    read = grids.named_grids(grids.headers(files.scan_grids(spark, folder)).where("status = 'ok'"))
-    shape = read.select(F.col("file_name").alias("file_key"), "obj_key", "dx", "dy", "dz", "scale", "translate")
-    runs = grids.decode_runs(read.select(F.col("file_name").alias("file_key"), "payload")).join(shape.select("file_key", "dy", "dz"), "file_key")
+    read = grids.named_grids(grids.headers(files.scan_grids(spark, folder, tiles)).where("status = 'ok'"))
+    tile = tile_key(read)
+    read = read.withColumn("file_key", F.concat_ws("/", *tile, "file_name"))
+    shape = read.select(*tile, "file_key", "obj_key", "dx", "dy", "dz", "scale", "translate")
+    runs = grids.decode_runs(read.select("file_key", "payload")).join(shape.select("file_key", "dy", "dz"), "file_key")
     cells = grids.occupied_cells(runs, F.col("dy"), F.col("dz"))
-    boxes = mesh.object_bbox(mesh.parse_vertices(files.scan_mesh(spark, folder)))
+    boxes = mesh.object_bbox(mesh.parse_vertices(files.scan_mesh(spark, folder, tiles)))
     sizes = {f"s{a}": F.coalesce(X.voxel_size(F.col("scale"), F.col(f"d{a}")), F.lit(0.0)) for a in "xyz"}
-    placed = voxels.voxel_origin(shape, boxes).withColumns(sizes).join(_named(spark, shape.select("obj_key").distinct(), folder), "obj_key")
+    side = files.scan_sidecars(spark, folder, tiles).where("status = 'parsed'")
+    placed = named(voxels.voxel_origin(shape, boxes).withColumns(sizes), side)
     return voxels.voxel_rows(cells.join(placed, "file_key"), srid)

@@ -24,16 +24,40 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def text_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """(path, content), one row a file; folders inside are not entered."""
-    return spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def tile_of(path: Column, folder: str) -> Column:
+    """The first folder of a path below `folder`; null for a file that lies there itself."""
+    root = folder.removeprefix("file:").rstrip("/") + "/"
+    below = F.call_function("substring_index", path, F.lit(root), F.lit(-1))
+    return F.when(below.contains("/"), F.substring_index(below, "/", 1))
 
 
-def scan_mesh(spark: SparkSession, folder: str) -> DataFrame:
-    """Mesh lines where the order doesn't matter: lines are split by the reader, so large files are read in parts."""
-    lines = spark.read.option("pathGlobFilter", "*.obj").option("lineSep", "\n").text(folder)
-    name = F.col("_metadata.file_name")
-    return lines.select(stem(name).alias("obj_key"), name.alias("obj_filename"), F.regexp_replace("value", r"\r$", "").alias("line"))
+def listed(files: DataFrame, path: Column, folder: str, tiles: bool) -> DataFrame:
+    """Files of a folder, or with their tile those of all folders in it."""
+    return files.withColumn("tile", tile_of(path, folder)).where("tile is not null") if tiles else files
+
+
+def text_files(spark: SparkSession, folder: str, glob: str, tiles: bool = False) -> DataFrame:
+    """(path, content), one row a file; folders inside are not entered, or with `tiles` each is a tile."""
+    read = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", tiles).text(folder, wholetext=True)
+    return listed(read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), F.col("path"), folder, tiles)
+
+
+def mesh_names(spark: SparkSession, folder: str, tiles: bool = False) -> DataFrame:
+    """(obj_key) of all mesh files; contents are not read. Spark's file sources leave out files without a byte."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.obj").option("recursiveFileLookup", tiles).load(folder).select("path")
+    return listed(read, F.col("path"), folder, tiles).select(*(["tile"] if tiles else []), stem(base_name(F.col("path"))).alias("obj_key"))
+
+
+def scan_mesh(spark: SparkSession, folder: str, tiles: bool = False) -> DataFrame:
+    """(obj_key, obj_filename, block, line_no, line) of mesh files, with tile where each folder inside is one.
+
+    Lines are split by the reader, so a large file is read in parts: `block` is where a part begins in its
+    file, and line_no rises inside a part. Together they order the lines of a file, without counting them.
+    """
+    read = spark.read.option("pathGlobFilter", "*.obj").option("recursiveFileLookup", tiles).option("lineSep", "\n").text(folder)
+    lines = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    name = base_name(F.col("path"))
+    return listed(lines, F.col("path"), folder, tiles).select(*(["tile"] if tiles else []), stem(name).alias("obj_key"), name.alias("obj_filename"), "block", "line_no", "line")
 
 
 def mesh_lines(files: DataFrame) -> DataFrame:
@@ -58,17 +82,19 @@ def sidecars(files: DataFrame) -> DataFrame:
     good = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
     for k in kinds:
         good = good & k
-    shown = own.select(stem(name).alias("obj_key"), known.alias("known"), whole.alias("extra"), good.alias("good"))
-    return shown.select("obj_key", *[F.when(F.col("good"), F.col(f"known.{c}")).alias(c) for c in texts], "extra", F.when(F.col("good"), "parsed").otherwise("failed").alias("status"))
+    tile = [c for c in files.columns if c == "tile"]
+    shown = own.select(*tile, stem(name).alias("obj_key"), known.alias("known"), whole.alias("extra"), good.alias("good"))
+    return shown.select(*tile, "obj_key", *[F.when(F.col("good"), F.col(f"known.{c}")).alias(c) for c in texts], "extra", F.when(F.col("good"), "parsed").otherwise("failed").alias("status"))
 
 
-def scan_sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    return sidecars(text_files(spark, folder, "*.json"))
+def scan_sidecars(spark: SparkSession, folder: str, tiles: bool = False) -> DataFrame:
+    return sidecars(text_files(spark, folder, "*.json", tiles))
 
 
-def scan_grids(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.binvox").load(folder)
-    return files.select(base_name(F.col("path")).alias("file_name"), "content")
+def scan_grids(spark: SparkSession, folder: str, tiles: bool = False) -> DataFrame:
+    """(file_name, content), with tile where each folder inside is one; whole files, so up to 2 GB each (ranges.scan_grid_ranges beyond that)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.binvox").option("recursiveFileLookup", tiles).load(folder)
+    return listed(files, F.col("path"), folder, tiles).select(*(["tile"] if tiles else []), base_name(F.col("path")).alias("file_name"), "content")
 
 
 def index_entries(documents: DataFrame) -> DataFrame:
