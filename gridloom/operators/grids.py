@@ -34,7 +34,7 @@ def named_grids(read: DataFrame) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(file_name, status, dx, dy, dz, translate, scale, payload) of (file_name, content) rows.
+    """(file_name, status, dx, dy, dz, translate, scale, payload_at, payload) of (file_name, content) rows; payload_at is where the payload begins.
 
     status is ok, bad_magic, bad_header for a line of another kind or with unreadable values, or
     missing_data, missing_dim, missing_translate, missing_scale. Of a repeated field the last counts.
@@ -62,7 +62,7 @@ def headers(files: DataFrame) -> DataFrame:
     return shown.select(
         *tile, "file_name", "status", *[number(F.try_element_at("d", F.lit(k + 1)).try_cast("bigint")).alias(n) for k, n in enumerate(("dx", "dy", "dz"))],
         number(F.transform("t", lambda x: x.cast("double"))).alias("translate"), number(F.col("s").try_cast("double")).alias("scale"),
-        number(F.expr("substring(content, at + 1)")).alias("payload"),
+        number(F.col("at").cast("long")).alias("payload_at"), number(F.expr("substring(content, at + 1)")).alias("payload"),
     )
 
 
@@ -70,15 +70,17 @@ def decode_runs(payloads: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     """(file_key, run_no, value, n) of (file_key, payload) rows; a trailing odd byte is left out.
 
     Payloads are cut into chunks, which are dealt out before they are expanded: a large file is as
-    many rows as it has chunks.
+    many rows as it has chunks. A file may come in several payloads: `first_run`, where there is such a
+    column, is the number of a payload's first run, and all but the last are of even length.
     """
     size = chunk_bytes - chunk_bytes % 2
-    pieces = payloads.select("file_key", "payload", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("payload") / size), F.lit(1)) - 1)).alias("chunk"))
-    cut = pieces.select("file_key", "chunk", F.expr(f"substring(payload, cast(chunk * {size} as int) + 1, {size})").alias("bytes")).where(F.length("bytes") > 1)
-    dealt = cut.repartition("file_key", "chunk")
+    first = F.col("first_run") if "first_run" in payloads.columns else F.lit(0)
+    pieces = payloads.select("file_key", first.cast("long").alias("first_run"), "payload", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("payload") / size), F.lit(1)) - 1)).alias("chunk"))
+    cut = pieces.select("file_key", (F.col("first_run") + F.col("chunk") * (size // 2)).alias("first_run"), F.expr(f"substring(payload, cast(chunk * {size} as int) + 1, {size})").alias("bytes")).where(F.length("bytes") > 1)
+    dealt = cut.repartition("file_key", "first_run")
     byte = lambda at: F.conv(F.hex(F.substring("bytes", at, F.lit(1))), 16, 10).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.call_function("div", F.length("bytes"), F.lit(2)) - 1), lambda i: F.struct(byte((i * 2 + 1).cast("int")).alias("value"), byte((i * 2 + 2).cast("int")).alias("n")))
-    return dealt.select("file_key", "chunk", F.posexplode(pairs).alias("i", "run")).select("file_key", (F.col("chunk") * (size // 2) + F.col("i")).alias("run_no"), "run.value", "run.n")
+    return dealt.select("file_key", "first_run", F.posexplode(pairs).alias("i", "run")).select("file_key", (F.col("first_run") + F.col("i")).alias("run_no"), "run.value", "run.n")
 
 
 def decode_runs_arrow(payloads: DataFrame) -> DataFrame:

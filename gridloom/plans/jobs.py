@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import expressions as X
 from gridloom.operators import grids, mesh, semantics, voxelize, voxels
 from gridloom.operators.keys import object_key, tile_key
-from gridloom.sources import files
+from gridloom.sources import files, ranges
 
 
 def named(keys: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -45,13 +45,23 @@ def from_meshes(spark: SparkSession, folder: str, target: float = X.DEFAULT_VOXE
     return voxels.voxel_rows(cells.join(placed, key), srid)
 
 
-def from_grids(spark: SparkSession, folder: str, srid: int = X.DEFAULT_SRID, tiles: bool = False) -> DataFrame:
-    """Voxel rows of all encoded grids in a folder, placed by the meshes beside them, else by their headers; broken files are left out."""
-    read = grids.named_grids(grids.headers(files.scan_grids(spark, folder, tiles)).where("status = 'ok'"))
+def from_grids(spark: SparkSession, folder: str, srid: int = X.DEFAULT_SRID, tiles: bool = False, range_bytes: int | None = ranges.RANGE_BYTES) -> DataFrame:
+    """Voxel rows of all encoded grids in a folder, placed by the meshes beside them, else by their headers; broken files are left out.
+
+    Files of any size are read in byte ranges; with None they are read whole by Spark's own reader, for stores
+    that it alone reaches.
+    """
+    if range_bytes is None:
+        read = grids.named_grids(grids.headers(files.scan_grids(spark, folder, tiles)).where("status = 'ok'"))
+        read = read.withColumn("file_key", F.concat_ws("/", *tile_key(read), "file_name"))
+        payloads = read.select("file_key", "payload")
+    else:
+        headed, parts = ranges.scan_grid_ranges(spark, folder, range_bytes, tiles)
+        read = grids.named_grids(headed.where("status = 'ok'").withColumnRenamed("path", "file_key"))
+        payloads = parts.withColumnRenamed("path", "file_key")
     tile = tile_key(read)
-    read = read.withColumn("file_key", F.concat_ws("/", *tile, "file_name"))
     shape = read.select(*tile, "file_key", "obj_key", "dx", "dy", "dz", "scale", "translate")
-    runs = grids.decode_runs(read.select("file_key", "payload")).join(shape.select("file_key", "dy", "dz"), "file_key")
+    runs = grids.decode_runs(payloads).join(shape.select("file_key", "dy", "dz"), "file_key")
     cells = grids.occupied_cells(runs, F.col("dy"), F.col("dz"))
     boxes = mesh.object_bbox(mesh.parse_vertices(files.scan_mesh(spark, folder, tiles)))
     sizes = {f"s{a}": F.coalesce(X.voxel_size(F.col("scale"), F.col(f"d{a}")), F.lit(0.0)) for a in "xyz"}
