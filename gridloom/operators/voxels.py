@@ -47,19 +47,6 @@ def in_box(voxels: DataFrame, low: tuple[float, float, float], high: tuple[float
     return voxels.where(inside[0] & inside[1] & inside[2])
 
 
-def coarse_cell(voxels: DataFrame, size: float) -> DataFrame:
-    """Adds cx and cy to cluster files by: floor(x / size), floor(y / size)."""
-    return voxels.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-
-
-def in_clustered_box(voxels: DataFrame, size: float, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
-    """`in_box` over a table partitioned by cx and cy: partitions outside are not read."""
-    import math
-
-    near = F.col("cx").between(math.floor(low[0] / size), math.floor(high[0] / size)) & F.col("cy").between(math.floor(low[1] / size), math.floor(high[1] / size))
-    return in_box(voxels.where(near), low, high)
-
-
 def counts(cells: DataFrame, key: str = "file_key") -> DataFrame:
     return cells.groupBy(key).agg(F.count("*").alias("voxels"))
 

@@ -10,7 +10,7 @@ from gridloom.operators import grids, mesh, semantics, tables, tiles, voxelize,
 from gridloom.plans import jobs
 from gridloom.plans import views as V
 from gridloom.plans.views import DIM, SCALE, TARGET, TRANSLATE, with_views
-from gridloom.sources import files
+from gridloom.sources import files, layout, shared
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -431,14 +431,32 @@ def voxelize_surface(spark, d):
     return voxelize.voxelize_surface(triangles(spark, d), cubes(spark, d))
 
 
+def clustered_voxels(spark, d) -> str:
+    """A folder of this call's own with all voxel rows along the curve and their manifest."""
+    path = shared.new_folder(spark, "voxels")
+    layout.write_clustered(voxel_rows(spark, d).select("obj_key", "voxel_position", "gmlid", "building_gmlid", "class_gmlid", "object_type", "x", "y", "z"), path, rows_per_file=50_000)
+    return path
+
+
 @query("SELECT obj_key, voxel_position, building_gmlid FROM voxels WHERE building_gmlid = 'Brand#12'", "voxels")
 def voxels_by_building(spark, d):
-    return voxels.by_id(voxel_rows(spark, d), "building_gmlid", "Brand#12").select("obj_key", "voxel_position", "building_gmlid")
+    return layout.read_id(spark, clustered_voxels(spark, d), "building_gmlid", "Brand#12").select("obj_key", "voxel_position", "building_gmlid")
 
 
 @query("SELECT obj_key, voxel_position, x, y, z FROM voxels WHERE x BETWEEN 10 AND 30 AND y BETWEEN 20 AND 60 AND z BETWEEN 0 AND 8", "voxels")
 def voxels_in_bbox(spark, d):
-    return voxels.in_box(voxel_rows(spark, d), (10.0, 20.0, 0.0), (30.0, 60.0, 8.0)).select("obj_key", "voxel_position", "x", "y", "z")
+    return layout.read_box(spark, clustered_voxels(spark, d), (10.0, 20.0, 0.0), (30.0, 60.0, 8.0)).select("obj_key", "voxel_position", "x", "y", "z")
+
+
+@query(
+    """SELECT CAST(count(*) AS BIGINT) AS voxels, CAST(count(*) FILTER (WHERE x BETWEEN 10 AND 40 AND y BETWEEN 20 AND 90 AND z BETWEEN 0 AND 8) AS BIGINT) AS inside FROM voxels""",
+    "voxels",
+)
+def voxel_count_in_box(spark, d):
+    """Counts from the manifest; only files on the box's border are read."""
+    path = clustered_voxels(spark, d)
+    inside = layout.count_in_box(spark, path, (10.0, 20.0, 0.0), (40.0, 90.0, 8.0))
+    return spark.read.parquet(f"{path}/boxes").agg(F.sum("rows").alias("voxels")).withColumn("inside", F.lit(inside).cast("long"))
 
 
 @query(

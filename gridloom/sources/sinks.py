@@ -34,12 +34,6 @@ def write_jdbc(rows: DataFrame, url: str, table: str, batch_rows: int = 50_000,
     voxel_columns(rows).drop("id").withColumn("vox_geom", F.hex("vox_geom")).write.mode("append").option("batchsize", batch_rows).jdbc(url, table, properties=properties)
 
 
-def clustered_write(rows: DataFrame, path: str, size: float) -> None:
-    """Files by coarse cell, sorted by building, so that boxes prune folders and ids prune row groups."""
-    placed = voxels.coarse_cell(rows, size)
-    placed.repartition("cx", "cy").sortWithinPartitions("cx", "cy", "building_gmlid").write.mode("overwrite").partitionBy("cx", "cy").parquet(path)
-
-
 def route(rows: DataFrame, output: str, csv_path: str | None = None, table: str | None = None) -> None:
     """Writes the form asked for; a missing destination is an error, never silently nothing."""
     if output not in FORMATS:
@@ -48,14 +42,15 @@ def route(rows: DataFrame, output: str, csv_path: str | None = None, table: str
         raise ValueError("text output needs a path")
     if output in ("table", "both") and not table:
         raise ValueError("table output needs a table name")
-    if output == "both":
-        rows = rows.persist(StorageLevel.DISK_ONLY)  # both forms from one evaluation
-    if output in ("csv", "both"):
-        write_csv(rows, csv_path)
-    if output in ("table", "both"):
-        append_voxels(rows, table)
-    if output == "both":
-        rows.unpersist()
+    kept = rows.persist(StorageLevel.DISK_ONLY) if output == "both" else rows  # both forms from one evaluation
+    try:
+        if output in ("csv", "both"):
+            write_csv(kept, csv_path)
+        if output in ("table", "both"):
+            append_voxels(kept, table)
+    finally:
+        if output == "both":
+            kept.unpersist()
 
 
 def create_schema(spark: SparkSession, database: str = "default", srid: int | None = None) -> None:

@@ -76,15 +76,6 @@ def test_schema_gains_missing_columns(spark):
     sinks.reset_tables(spark, "town")
 
 
-def test_clustered_files_prune(spark, tmp_path):
-    df = spark.createDataFrame([(float(i), float(i % 7), 1.0, "b") for i in range(50)], "x double, y double, z double, building_gmlid string")
-    sinks.clustered_write(df, str(tmp_path / "v"), 10.0)
-    read = spark.read.parquet(str(tmp_path / "v"))
-    near = voxels.in_clustered_box(read, 10.0, (12.0, 0.0, 0.0), (15.0, 9.0, 9.0))
-    assert sorted(r.x for r in near.collect()) == [12.0, 13.0, 14.0, 15.0]
-    assert "PartitionFilters: [isnotnull(cx" in near._jdf.queryExecution().toString()
-
-
 def test_versions_tiles_and_store(spark, tmp_path):
     old = spark.createDataFrame([("a", "1", "c", "p")], OBJECT)
     new = spark.createDataFrame([("a", "2", "c", "p", 1)], OBJECT + ", seq int")
