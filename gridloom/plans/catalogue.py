@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom import schemas
 from gridloom.functions import expressions as X
 from gridloom.operators import grids, mesh, semantics, tables, tiles, voxelize, voxels
 from gridloom.plans import jobs
 from gridloom.plans import views as V
 from gridloom.plans.views import DIM, SCALE, TARGET, TRANSLATE, with_views
-from gridloom.sources import files, layout, shared
+from gridloom.sources import files, keyed, layout, shared
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -509,9 +510,11 @@ def object_batches(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def objects(spark, d) -> DataFrame:
-    first, second = object_batches(spark, d)
-    old = tables.last_by_key(first, "gmlid", ["seq"]).drop("seq")
-    return tables.merge_object(old, second, ["seq"])
+    """The object table after two batches of upserts."""
+    table = keyed.KeyedTable(spark, shared.new_folder(spark, "objects"), schemas.OBJECT, buckets=8)
+    for rows in object_batches(spark, d):
+        table.upsert(rows, ["seq"])
+    return table.read()
 
 
 OBJECTS = """SELECT polygon_gmlid AS gmlid, building_gmlid, class_gmlid, polygon_gmlid FROM (SELECT t.*, row_number() OVER (PARTITION BY polygon_gmlid ORDER BY p_partkey % 2 DESC, p_partkey DESC) AS rn
@@ -523,6 +526,24 @@ def object_upsert(spark, d):
     return objects(spark, d)
 
 
+@query(OBJECTS, "typed", "parts")
+def object_merge(spark, d):
+    """The same upsert as one query over two tables at hand."""
+    first, second = object_batches(spark, d)
+    return tables.merge_object(tables.last_by_key(first, "gmlid", ["seq"]).drop("seq"), second, ["seq"])
+
+
+@query(f"SELECT * FROM ({OBJECTS}) WHERE building_gmlid <> 'Brand#12'", "typed", "parts")
+def object_table_compacted(spark, d):
+    """Two upserts, a deletion and a compaction."""
+    table = keyed.KeyedTable(spark, shared.new_folder(spark, "objects"), schemas.OBJECT, buckets=8)
+    for rows in object_batches(spark, d):
+        table.upsert(rows, ["seq"])
+    table.delete(table.read().where("building_gmlid = 'Brand#12'"))
+    table.compact(2)
+    return table.read()
+
+
 @query("SELECT DISTINCT object_type, polygon_gmlid AS gmlid FROM typed", "typed")
 def object_class_rows(spark, d):
     named = voxels.ids_and_type(V.parts(spark, d).select("obj_key"), V.sidecar(spark, d), semantics.index_entry(V.sidecar(spark, d)))

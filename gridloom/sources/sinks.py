@@ -76,27 +76,39 @@ def with_all_columns(rows: DataFrame, schema: str) -> DataFrame:
     return empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns)
 
 
-def merge_into_version(old: DataFrame, new: DataFrame, order: list[str], path: str, version: int) -> DataFrame:
-    """Upsert written to a new version folder; readers of the old one are undisturbed."""
-    target = f"{path}/v={version}"
-    tables.merge_object(old, new, order).write.mode("overwrite").parquet(target)
-    return old.sparkSession.read.parquet(target)
-
-
 def save_tile_outputs(rows: DataFrame, path: str) -> None:
     """Replaces the folders of the tiles in `rows` (column tile) and no others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(path)
 
 
-def load_or_build(spark: SparkSession, path: str, parameters: str, build) -> DataFrame:
-    """The stored result for these parameters, or `build()` stored and read back. Other parameters are another store."""
+def fingerprint(files: DataFrame) -> str:
+    """One text for a set of files (path, length, modificationTime), whatever their order: it changes with any of them."""
+    each = F.xxhash64("path", "length", "modificationTime")
+    row = files.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(each), F.lit(0)).alias("x"), F.coalesce(F.sum(each.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()
+    return f"{row['n']}:{row['x']}:{row['s']}"
+
+
+def load_or_build(spark: SparkSession, path: str, parameters: str, build, inputs: DataFrame | None = None) -> DataFrame:
+    """The stored result for these parameters and input files, or `build()` stored and read back.
+
+    `inputs` lists the files that `build` reads (path, length, modificationTime, as Spark's `binaryFile` source
+    gives them): other parameters, or a file that is new, gone or changed, are another store. Each build goes to a
+    folder of its own, which a note of one row names once it is whole: what was cut off is never read.
+    """
     import hashlib
+    import uuid
 
     from pyspark.errors import AnalysisException
 
-    target = f"{path}/{hashlib.sha256(parameters.encode()).hexdigest()[:16]}"
+    key = hashlib.sha256(f"{parameters}\n{'' if inputs is None else fingerprint(inputs)}".encode()).hexdigest()[:16]
+    note = f"{path}/notes/{key}"
     try:
-        return spark.read.parquet(target)
+        folder = spark.read.schema("folder string").parquet(note).first()
     except AnalysisException:
-        build().write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target)
+        folder = None
+    if folder is None:
+        name = f"data/{key}-{uuid.uuid4().hex}"
+        build().write.parquet(f"{path}/{name}")
+        spark.createDataFrame([(name,)], "folder string").coalesce(1).write.mode("overwrite").parquet(note)
+        folder = (name,)
+    return spark.read.parquet(f"{path}/{folder[0]}")

@@ -16,7 +16,10 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gridloom import schemas
 from gridloom.operators import tiles
+from gridloom.sources.keyed import KeyedTable
 
+#: Columns of standing counts, by their key.
+COUNTS = "count_key string, tile string, obj_key string, voxels long"
 #: Characters of an error's text that the ledger keeps.
 ERROR_LENGTH = 500
 
@@ -206,6 +209,24 @@ def ingest_tiles(
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def standing_counts(spark: SparkSession, source: str, schema: str, counts: KeyedTable, checkpoint: str, max_files: int | None = None) -> StreamingQuery:
+    """Takes up all files that arrived under `source/tile=.../` since the last call and brings voxels a tile and object up to date, then ends.
+
+    The counts so far are keyed state of the stream, kept in its checkpoint, so a run reads new files only,
+    also after a restart. Each micro-batch upserts the counts that it changed; a batch that is repeated after a
+    crash writes the same numbers again. `counts` has the key count_key, tile, obj_key and voxels (COUNTS).
+    """
+    stream = spark.readStream.schema(f"{schema}, tile string")
+    rows = (stream.option("maxFilesPerTrigger", max_files) if max_files else stream).parquet(source)
+    counted = rows.groupBy("tile", "obj_key").agg(F.count("*").alias("voxels"))
+
+    def batch(changed: DataFrame, _: int) -> None:
+        counts.upsert(changed.withColumn("count_key", F.to_json(F.struct("tile", "obj_key"))))
+        counts.compact()
+
+    return counted.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def observed(rows: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
     """The rows, and counts of them that fill in while they are written."""
     seen = Observation(name)

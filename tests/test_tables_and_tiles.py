@@ -76,19 +76,42 @@ def test_schema_gains_missing_columns(spark):
     sinks.reset_tables(spark, "town")
 
 
-def test_versions_tiles_and_store(spark, tmp_path):
-    old = spark.createDataFrame([("a", "1", "c", "p")], OBJECT)
-    new = spark.createDataFrame([("a", "2", "c", "p", 1)], OBJECT + ", seq int")
-    assert sinks.merge_into_version(old, new, ["seq"], str(tmp_path / "o"), 2).first().building_gmlid == "2"
+def test_tile_outputs_replace_their_own_folders(spark, tmp_path):
     df = lambda t, n: spark.createDataFrame([(t, n)], "tile string, n int")
-    for t, n in (("a", 1), ("b", 1), ("a", 5)):
-        sinks.save_tile_outputs(df(t, n), str(tmp_path / "t"))
+    for rows in (df("a", 1).union(df("b", 1)), df("a", 5)):
+        sinks.save_tile_outputs(rows, str(tmp_path / "t"))
     assert {(r.tile, r.n) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 5), ("b", 1)}
-    calls = []
-    build = lambda: calls.append(1) or df("x", 1)
-    for parameters in ("size=0.5", "size=0.5", "size=1"):
-        sinks.load_or_build(spark, str(tmp_path / "s"), parameters, build)
-    assert len(calls) == 2
+
+
+def test_store_follows_parameters_and_inputs(spark, tmp_path):
+    """Built again for other parameters and for a new, changed or removed input; a build that was cut off is never read."""
+    calls, folder = [], tmp_path / "in"
+    folder.mkdir()
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([(len(calls),)], "n int")
+
+    def load(parameters="size=0.5"):
+        inputs = spark.read.format("binaryFile").load(str(folder)).select("path", "length", "modificationTime")
+        return sinks.load_or_build(spark, str(tmp_path / "s"), parameters, build, inputs).first().n
+
+    (folder / "a.obj").write_text("v 1 2 3")
+    assert [load(), load(), load("size=1"), load()] == [1, 1, 2, 1]
+    (folder / "b.obj").write_text("v 1 2 3")
+    assert [load(), load()] == [3, 3]
+    (folder / "a.obj").write_text("v 1 2 4 5")
+    assert [load(), load()] == [4, 4]
+    (folder / "b.obj").unlink()
+    assert [load(), load()] == [5, 5]
+
+    def broken():
+        return spark.range(10).select(F.when(F.col("id") > 5, F.raise_error(F.lit("cut off")).cast("int")).otherwise(1).alias("n"))
+
+    with pytest.raises(Exception, match="cut off"):
+        sinks.load_or_build(spark, str(tmp_path / "s"), "other", broken)
+    spark.range(1).write.parquet(str(tmp_path / "s" / "data" / "left-behind"))
+    assert sinks.load_or_build(spark, str(tmp_path / "s"), "other", build).first().n == 6
 
 
 def test_inventory(spark, tmp_path):
