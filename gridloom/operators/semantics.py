@@ -21,14 +21,14 @@ def index_entry(sidecars: DataFrame) -> DataFrame:
     )
 
 
-def index_documents(entries: DataFrame, group: str, srs_name: str | None = None, dimensions: Sequence[str] = ("3",)) -> DataFrame:
-    """(group, document): index documents as JSON, one for each value of `group`, the coordinate system first where it is named.
+def index_documents(entries: DataFrame, group: str, srid: int | None = None, dimensions: Sequence[str] = ("3",)) -> DataFrame:
+    """(group, document): index documents as JSON, one for each value of `group`, the coordinate system `EPSG:srid` first where there is one.
 
     Entries are those of index_entry(), by file name; a document is one text, so a group is a tile.
     """
     entry = F.concat(F.to_json(F.struct("obj_filename")).substr(F.lit(17), F.length(F.to_json(F.struct("obj_filename"))) - 17), F.lit(":"), F.to_json(F.struct("tag", F.col("parent_id").alias("parentID"), F.col("gml_id").alias("gmlID"), "class")))
     held = entries.select(group, "obj_filename", entry.alias("entry")).groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("obj_filename", "entry"))), lambda s: s["entry"]).alias("entries"))
-    crs = F.array(F.concat(F.lit('"CRS":'), F.to_json(F.struct(F.lit(srs_name).alias("srsName"), F.array(*map(F.lit, dimensions)).alias("srsDimensions"))))) if srs_name else F.array().cast("array<string>")
+    crs = F.array(F.concat(F.lit('"CRS":'), F.to_json(F.struct(X.crs_name(F.lit(srid)).alias("srsName"), F.array(*map(F.lit, dimensions)).alias("srsDimensions"))))) if srid is not None else F.array().cast("array<string>")
     return held.select(group, F.concat(F.lit("{"), F.array_join(F.concat(crs, F.col("entries")), ","), F.lit("}")).alias("document"))
 
 

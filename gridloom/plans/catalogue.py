@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom import schemas
 from gridloom.functions import expressions as X
-from gridloom.operators import grids, mesh, semantics, tables, tiles, voxelize, voxels
+from gridloom.operators import documents, grids, mesh, semantics, tables, tiles, voxelize, voxels
 from gridloom.plans import jobs
 from gridloom.plans import views as V
 from gridloom.plans.views import DIM, SCALE, TARGET, TRANSLATE, with_views
@@ -104,8 +104,8 @@ def grid_lookup(spark, d):
 def grid_document(spark, d):
     """Documents of tiles of 500 objects each, written as JSON and read back as rows."""
     mapped = mesh.grid_mapping(boxes(spark, d), TARGET).withColumn("tile", F.call_function("div", F.substring("obj_key", 6, 20).cast("long"), F.lit(500)))
-    documents = mesh.grid_documents(mapped, "tile", TARGET)
-    read = documents.select("tile", F.from_json("document", "target_voxel_size double, total_files bigint, grid_distribution map<string,int>, grid_mapping map<string,int>").alias("j"))
+    written = mesh.grid_documents(mapped, "tile", TARGET)
+    read = written.select("tile", F.from_json("document", "target_voxel_size double, total_files bigint, grid_distribution map<string,int>, grid_mapping map<string,int>").alias("j"))
     return read.select("tile", F.explode("j.grid_mapping").alias("obj_filename", "grid"), F.col("j.total_files").alias("total_files"))
 
 
@@ -182,13 +182,29 @@ def semantic_index(spark, d):
     return semantics.index_entry(V.sidecar(spark, d)).select("obj_filename", "tag", F.col("parent_id")[0].alias("parent_id"), F.col("gml_id")[0].alias("gml_id"), "class")
 
 
-@query("SELECT obj_key || '.obj' AS obj_key, coalesce(building_id, 'UNKNOWN') AS parent_id, coalesce(polygon_gml_id, '') AS gml_id, class FROM sidecar", "sidecar")
+TAG = f"concat(CASE WHEN coalesce(thematic_role, 'WallSurface') IN {X.BUILDING_ROLES} THEN '{X.BUILDING_NAMESPACE}' ELSE '{X.CONSTRUCTION_NAMESPACE}' END, coalesce(thematic_role, 'WallSurface'))"
+
+
+@query(f"SELECT CAST(substring(obj_key, 6) AS BIGINT) // 500 AS tile, 'EPSG:25832' AS crs, obj_key || '.obj' AS obj_key, {TAG} AS tag, coalesce(building_id, 'UNKNOWN') AS parent_id, coalesce(polygon_gml_id, '') AS gml_id, class FROM sidecar", "sidecar")
 def index_document(spark, d):
     """Index documents of tiles of 500 objects each, with a coordinate system, written as JSON and read back as rows."""
     entries = semantics.index_entry(V.sidecar(spark, d))
     tiled = entries.withColumn("tile", F.call_function("div", F.regexp_extract("obj_filename", r"(\d+)", 1).cast("long"), F.lit(500)))
-    documents = semantics.index_documents(tiled, "tile", "EPSG:25832")
-    return files.index_entries(documents.select(F.col("document").alias("content"))).select("obj_key", "parent_id", "gml_id", "class")
+    written = semantics.index_documents(tiled, "tile", 25832)
+    read = written.select("tile", F.get_json_object("document", "$.CRS.srsName").alias("crs"), F.col("document").alias("content"))
+    return files.index_entries(read).select("tile", "crs", "obj_key", "tag", "parent_id", "gml_id", "class")
+
+
+@query(
+    """SELECT CAST(substring(obj_key, 6) AS INT) // 700 AS tile, concat(obj_key, '.obj') AS obj_filename, grid FROM cube""",
+    "cube",
+)
+def grid_document_lines(spark, d):
+    """Documents of tiles in lines of 64 entries, written as text files and read back."""
+    mapped = mesh.grid_mapping(boxes(spark, d), TARGET).withColumn("tile", F.call_function("div", F.substring("obj_key", 6, 20).cast("long"), F.lit(700)))
+    path = shared.new_folder(spark, "grid_documents")
+    documents.write_documents(documents.grid_document_lines(mapped, "tile", TARGET, chunk=64), path, "tile")
+    return documents.read_entries(spark, path).select("tile", F.col("name").alias("obj_filename"), F.col("value").cast("int").alias("grid"))
 
 
 @query("SELECT obj_key, coalesce(class, thematic_role, 'WallSurface') AS object_type FROM sidecar", "sidecar")
@@ -220,8 +236,8 @@ def index_one_or_many(spark, d):
     p = V.parts(spark, d)
     gml = F.when(F.col("p_size") % 5 == 0, "7").when(F.col("p_size") % 3 == 0, '"g0"').when(F.col("p_size") % 3 == 1, '["g1","h"]').otherwise("[]")
     entry = F.concat(F.lit('"'), "obj_key", F.lit('":{"tag":"{n}WallSurface","parentID":["b_'), "p_brand", F.lit('"],"gmlID":'), gml, F.lit("}"))
-    documents = p.groupBy("p_brand", F.expr("p_partkey div 1000")).agg(F.concat(F.lit('{"CRS":{"srsName":"EPSG:25832","srsDimensions":["3"]},'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("content"))
-    return files.index_entries(documents).select("obj_key", "gml_id", "parent_id")
+    written = p.groupBy("p_brand", F.expr("p_partkey div 1000")).agg(F.concat(F.lit('{"CRS":{"srsName":"EPSG:25832","srsDimensions":["3"]},'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("content"))
+    return files.index_entries(written.select("content")).select("obj_key", "gml_id", "parent_id")
 
 
 # ---- encoded grids

@@ -98,10 +98,12 @@ def scan_grids(spark: SparkSession, folder: str, tiles: bool = False) -> DataFra
 
 
 def index_entries(documents: DataFrame) -> DataFrame:
-    """(obj_key, tag, parent_id, gml_id, class) of index documents in `content`; the CRS entry and entries that don't fit are left out."""
+    """(obj_key, tag, parent_id, gml_id, class) of index documents in `content`, with the documents' other columns; the CRS entry and entries that don't fit are left out."""
     entry = F.col("entry")
-    entries = documents.select(F.explode(F.from_json("content", "map<string,variant>")).alias("obj_key", "entry")).where("obj_key <> 'CRS'")
+    own = [c for c in documents.columns if c != "content"]
+    entries = documents.select(*own, F.explode(F.from_json("content", "map<string,variant>")).alias("obj_key", "entry")).where("obj_key <> 'CRS'")
     shown = entries.select(
+        *own,
         "obj_key",
         F.try_variant_get(entry, "$.tag", "string").alias("tag"),
         F.try_variant_get(entry, "$.parentID", "variant").alias("parent"),
@@ -111,7 +113,7 @@ def index_entries(documents: DataFrame) -> DataFrame:
     )
     listed = lambda c: F.schema_of_variant(F.col(c)).isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>")
     fits = F.col("kind").startswith("OBJECT") & F.col("tag").isNotNull() & listed("parent") & listed("gml")
-    return shown.where(fits).select("obj_key", "tag", X.first_of(F.col("parent")).alias("parent_id"), X.first_of(F.col("gml")).alias("gml_id"), "class")
+    return shown.where(fits).select(*own, "obj_key", "tag", X.first_of(F.col("parent")).alias("parent_id"), X.first_of(F.col("gml")).alias("gml_id"), "class")
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
