@@ -10,15 +10,16 @@ from gridloom.operators.keys import object_key, tile_key
 
 
 def _tokens(line):
-    return F.filter(F.split(F.substring(line, 3, 2**31 - 1), "[ \\t\\r\\f]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.substring(line, 3, 2**31 - 1), "[ \\t\\r\\f]+"), "")
 
 
 def parse_vertices(lines: DataFrame) -> DataFrame:
     """Rows of vertex lines with x, y, z; other lines and lines without three leading numbers go."""
-    found = lines.where(F.col("line").startswith("v ")).withColumn("_t", F.slice(_tokens(F.col("line")), 1, 3))
-    good = found.where((F.size("_t") == 3) & F.forall("_t", lambda t: t.rlike(X.NUMBER)))
-    number = lambda k: F.regexp_replace(F.col("_t")[k], r"(?i)^([+-]?)inf$", "$1Infinity").try_cast("double")
-    return good.select(*[c for c in lines.columns if c != "line"], number(0).alias("x"), number(1).alias("y"), number(2).alias("z"))
+    kept = [c for c in lines.columns if c != "line"]
+    # through a generator, so that a line is split once and not again for each number
+    found = lines.where(F.col("line").startswith("v ")).select(*kept, F.inline(F.array(F.struct(F.slice(_tokens(F.col("line")), 1, 3).alias("_t")))))
+    good = found.where((F.size("_t") == 3) & F.array_join("_t", " ").rlike("^" + " ".join([X.NUMBER.removeprefix("^").removesuffix("$")] * 3) + "$"))
+    return good.select(*kept, *[F.col("_t")[k].try_cast("double").alias(a) for k, a in enumerate("xyz")])
 
 
 def swap_axes(lines: DataFrame) -> DataFrame:

@@ -362,15 +362,15 @@ def voxel_table(spark, d):
 
 
 @query(
-    """SELECT voxel_position, gmlid, building_gmlid, class_gmlid, polygon_gmlid, object_type, regexp_replace(CAST(x AS VARCHAR), '\\.0$', '') AS "X",
-    regexp_replace(CAST(y AS VARCHAR), '\\.0$', '') AS "Y", regexp_replace(CAST(z AS VARCHAR), '\\.0$', '') AS "Z" FROM voxels""",
-    "voxels",
+    """SELECT voxel_position, vox_geom, gmlid, building_gmlid, class_gmlid, polygon_gmlid, object_type, regexp_replace(CAST(x AS VARCHAR), '\\.0$', '') AS "X",
+    regexp_replace(CAST(y AS VARCHAR), '\\.0$', '') AS "Y", regexp_replace(CAST(z AS VARCHAR), '\\.0$', '') AS "Z" FROM points""",
+    "points",
 )
 def csv_rows(spark, d):
-    return voxels.csv_rows(voxel_rows(spark, d)).drop("vox_geom")
+    return voxels.csv_rows(voxel_rows(spark, d))
 
 
-@query()
+@query("SELECT obj_key, x, y, z, vox_geom FROM points", "points")
 def voxel_geometry(spark, d):
     """The points' bytes as hex, beside their coordinates."""
     return voxel_rows(spark, d).select("obj_key", "x", "y", "z", F.hex("vox_geom").alias("vox_geom"))

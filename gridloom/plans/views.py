@@ -99,8 +99,16 @@ SQL = {
         oz + (iz + 0.5::DOUBLE) * (CASE WHEN scale > 0 THEN scale / grid ELSE 0 END) AS z,
         CASE WHEN scale > 0 THEN (CAST(ix AS BIGINT) * 2 + 1) * 100000000 + (CAST(iy AS BIGINT) * 2 + 1) * 1000 + CAST(iz AS BIGINT) * 2 + 1 ELSE 100001001 END AS voxel_position,
         polygon_gmlid AS gmlid, building_gmlid, class_gmlid, polygon_gmlid, object_type FROM cells c JOIN typed t ON c.obj_key = t.obj_key""",
+    # every coordinate with the bytes of its double in hex, least byte first: exponent and fraction by arithmetic that is exact for doubles
+    "double_bytes": """SELECT v, concat(substr(h, 15, 2), substr(h, 13, 2), substr(h, 11, 2), substr(h, 9, 2), substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2)) AS le FROM (
+        SELECT v, lpad(hex(CASE WHEN v = 0 THEN 0::UBIGINT ELSE CASE WHEN v < 0 THEN 9223372036854775808::UBIGINT ELSE 0::UBIGINT END
+            + CAST(e + 1023 AS UBIGINT) * 4503599627370496::UBIGINT + CAST((abs(v) / pow(2.0, e) - 1) * 4503599627370496.0::DOUBLE AS UBIGINT) END), 16, '0') AS h FROM (
+        SELECT v, e0 + CASE WHEN abs(v) >= pow(2.0, e0 + 1) THEN 1 WHEN abs(v) < pow(2.0, e0) THEN -1 ELSE 0 END AS e FROM (
+        SELECT v, CASE WHEN v = 0 THEN 0 ELSE CAST(floor(log2(abs(v))) AS INT) END AS e0 FROM (SELECT x AS v FROM voxels UNION SELECT y FROM voxels UNION SELECT z FROM voxels))))""",
+    # points as EWKB with z and SRID 25832
+    "points": """SELECT r.*, concat('01010000A0E8640000', b1.le, b2.le, b3.le) AS vox_geom FROM voxels r JOIN double_bytes b1 ON b1.v = r.x JOIN double_bytes b2 ON b2.v = r.y JOIN double_bytes b3 ON b3.v = r.z""",
 }
-NEEDS = {"ledger": ["tile_event"], "bbox": ["mesh_vertex"], "cube": ["bbox"], "cells": ["mesh_vertex", "cube"], "typed": ["parts", "sidecar"], "voxels": ["cells", "typed"]}
+NEEDS = {"ledger": ["tile_event"], "bbox": ["mesh_vertex"], "cube": ["bbox"], "cells": ["mesh_vertex", "cube"], "typed": ["parts", "sidecar"], "voxels": ["cells", "typed"], "double_bytes": ["voxels"], "points": ["voxels", "double_bytes"]}
 
 
 def with_views(body: str, *names: str) -> str:
