@@ -26,7 +26,10 @@ from gridloom.llm.common import new_folder
 
 #: The end of a text counts as a token; no word can hold a line feed.
 END = b"\n</s>"
-CHUNK = 3_000_000
+#: Tokens that a task sorts and sums at a time; more where that would leave fewer than so many a shard, up to a bound of memory.
+CHUNK, CHUNK_A_SHARD, MOST_CHUNK = 3_000_000, 32, 8_000_000
+#: Ids whose statistics are one file.
+RANGE = 1 << 18
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -149,14 +152,10 @@ class Shards:
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         out = np.zeros(len(keys), dtype=np.int64) if values else np.full(len(keys), -1, dtype=np.int64)
-        cuts = np.searchsorted(self.shard(ranked), np.arange(self.n + 1))
-        for s in range(self.n):
-            lo, hi = cuts[s], cuts[s + 1]
-            if lo == hi:
-                continue
+        for s, lo, hi in stretches(self.shard(ranked)):
+            if self.offsets[s] == self.offsets[s + 1]:
+                continue  # an empty shard has no file
             held = self.files.array(f"{self.prefix}-{s:05d}.keys", "<u8")
-            if not len(held):
-                continue
             at = np.minimum(np.searchsorted(held, ranked[lo:hi]), len(held) - 1)
             hit = held[at] == ranked[lo:hi]
             got = self.files.array(f"{self.prefix}-{s:05d}.{values}", "<u8")[at] if values else self.offsets[s] + at
@@ -164,6 +163,13 @@ class Shards:
         return out
 
 
+def stretches(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of the stretches of equal values in a sorted array: as many steps as there are distinct ones."""
+    if len(values):
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        yield from zip(values[first].tolist(), first.tolist(), np.append(first[1:], len(values)).tolist(), strict=True)
+
+
 def shard_of(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
     """Equal ranges of keys below 2^bits; increases with the key."""
     top = min(bits, 32)
@@ -209,12 +215,17 @@ class Words:
         return self.ids([w for text in group for w in text]), starts
 
 
-def _blobs(keys: np.ndarray, columns: list[np.ndarray], shards: np.ndarray, n: int) -> pd.DataFrame:
-    cuts = np.searchsorted(shards, np.arange(n + 1))
-    rows = [(s, squeeze(keys[lo:hi]), *(plain(c[lo:hi]) for c in columns)) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+def _blobs(keys: np.ndarray, columns: list[np.ndarray | None], shards: np.ndarray) -> pd.DataFrame:
+    """A row for each shard that has keys; a column of None stands for zeros and is empty."""
+    rows = [(s, squeeze(keys[lo:hi]), *(b"" if c is None else plain(c[lo:hi]) for c in columns)) for s, lo, hi in stretches(shards)]
     return pd.DataFrame(rows, columns=["shard", "keys", *(f"c{i}" for i in range(len(columns)))])
 
 
+def chunk_for(shards: int) -> int:
+    """Tokens of a chunk, so that blobs (chunks times shards) grow with the tokens and not with their square."""
+    return min(max(CHUNK, CHUNK_A_SHARD * shards), MOST_CHUNK)
+
+
 def _texts(batches: Iterator[pd.DataFrame], limit: int = 250_000) -> Iterator[list[list[bytes]]]:
     """Token lists of texts, in groups of about `limit` tokens."""
     held, n = [], 0
@@ -229,7 +240,7 @@ def _texts(batches: Iterator[pd.DataFrame], limit: int = 250_000) -> Iterator[li
         yield held
 
 
-def _chunks(arrays: Iterator[np.ndarray], limit: int = CHUNK) -> Iterator[np.ndarray]:
+def _chunks(arrays: Iterator[np.ndarray], limit: int) -> Iterator[np.ndarray]:
     held, n = [], 0
     for a in arrays:
         held.append(a)
@@ -264,9 +275,9 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> Model:
                     table.update((w, xxhash.xxh64_intdigest(w)) for w in new)
                 yield np.fromiter(map(table.__getitem__, words), dtype=np.uint64, count=len(words))
 
-        for every in _chunks(hashed()):
+        for every in _chunks(hashed(), chunk_for(shards)):
             keys, counts = np.unique(every, return_counts=True)
-            yield _blobs(keys, [counts], shard_of(keys, 64, shards), shards)
+            yield _blobs(keys, [counts], shard_of(keys, 64, shards))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         s = int(group["shard"].iloc[0])
@@ -277,17 +288,15 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> Model:
 
     blobs = texts.mapInPandas(count, "shard int, keys binary, c0 binary")
     done = {r["shard"]: r for r in blobs.groupBy("shard").applyInPandas(merge, "shard int, n long, total long").collect()}  # a row a shard
-    for s in set(range(shards)) - done.keys():
-        save(folder, f"word-{s:05d}.keys", np.zeros(0, dtype="<u8"))
-        save(folder, f"word-{s:05d}.counts", np.zeros(0, dtype="<u8"))
     return Model(folder, [done[s]["n"] if s in done else 0 for s in range(shards)], sum(r["total"] for r in done.values()))
 
 
 def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
     """Counts pairs of neighbours, writes them as sorted hash arrays, and what lower order and back-off need for each word."""
-    folder, span, scramble, ranges = model.folder, model.span, Scramble(model.bits), shards
-    model.ranges, model.range_size = ranges, -(-span // ranges)
-    width = model.range_size
+    folder, span, scramble = model.folder, model.span, Scramble(model.bits)
+    # ranges follow the vocabulary: each shard of pairs has a blob for each, of as many words as fit
+    model.ranges = ranges = -(-span // RANGE)
+    model.range_size = width = -(-span // ranges)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(model, Files(folder))
@@ -297,9 +306,9 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
                 ids, starts = words.of(group)
                 yield before_each(ids, starts, model.vocabulary).astype(np.uint64) * np.uint64(span) + ids.astype(np.uint64)
 
-        for every in _chunks(pairs()):
+        for every in _chunks(pairs(), chunk_for(shards)):
             keys, counts = np.unique(scramble.do(every), return_counts=True)
-            yield _blobs(keys, [counts], shard_of(keys, model.bits, shards), shards)
+            yield _blobs(keys, [counts], shard_of(keys, model.bits, shards))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         s = int(group["shard"].iloc[0])
@@ -314,9 +323,8 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
         heads = summed(first, counts, *kinds)
         tails = summed(second, one)
         out = []
-        zero = np.zeros
-        for keys_, columns in ((heads[0], [*heads[1:], zero(len(heads[0]), dtype=np.uint64)]), (tails[0], [zero(len(tails[0]), dtype=np.uint64)] * 4 + [tails[1]])):
-            out.append(_blobs(keys_, columns, (keys_ // np.uint64(width)).astype(np.int64), ranges))
+        for keys_, columns in ((heads[0], [*heads[1:], None]), (tails[0], [None] * 4 + [tails[1]])):
+            out.append(_blobs(keys_, columns, (keys_ // np.uint64(width)).astype(np.int64)))
         table = pd.concat(out, ignore_index=True)
         of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         summary = pd.DataFrame([(-1, b"", b"", b"", b"", b"", b"", s, len(keys), *of)], columns=["shard", "keys", "c0", "c1", "c2", "c3", "c4", "source", "n", "n1", "n2", "n3", "n4"])
@@ -328,7 +336,8 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
         for row in group.itertuples():
             at = (expand(row.keys) - np.uint64(r * width)).astype(np.int64)
             for i in range(5):
-                dense[i, at] += unplain(getattr(row, f"c{i}"))
+                if own := getattr(row, f"c{i}"):
+                    dense[i, at] += unplain(own)
         save(folder, f"stats-{r:05d}.values", dense.astype("<u8").T)
         tail = dense[4]
         return pd.DataFrame([(r, *(int((tail == k).sum()) for k in (1, 2, 3, 4)), int((tail > 2).sum()), int(tail.sum()))], columns=["range", "n1", "n2", "n3", "n4", "more", "total"])
@@ -340,9 +349,6 @@ def count_pairs(texts: DataFrame, model: Model, shards: int) -> None:
     merged = stage(blobs.groupBy("shard").applyInPandas(merge, schema), "pair-stats")
     summaries = merged.where("shard = -1").select("source", "n", "n1", "n2", "n3", "n4").collect()  # a row a shard
     sizes = {r["source"]: r["n"] for r in summaries}
-    for s in set(range(shards)) - sizes.keys():
-        save(folder, f"pair-{s:05d}.keys", np.zeros(0, dtype="<u8"))
-        save(folder, f"pair-{s:05d}.counts", np.zeros(0, dtype="<u8"))
     model.pair_sizes = [sizes.get(s, 0) for s in range(shards)]
     model.pair_discounts = discounts([sum(r[f"n{k}"] for r in summaries) for k in (1, 2, 3, 4)])
     parts = merged.where("shard >= 0").groupBy("shard").applyInPandas(finish, "range int, n1 long, n2 long, n3 long, n4 long, more long, total long").collect()  # a row a range
@@ -367,19 +373,21 @@ class Scorer:
     def gather(self, ids: np.ndarray, name: str, kind: str, size: int, columns: int = 0) -> np.ndarray:
         """Entries of ids from arrays that are cut into equal ranges; ids below 0 give zeros."""
         out = np.zeros((len(ids), columns) if columns else len(ids), dtype=np.int64)
-        which = np.where(ids >= 0, ids // size, -1)
-        for r in np.unique(which[which >= 0]):
-            own = which == r
-            held = self.files.array(f"{name}-{r:05d}.values", kind)
-            out[own] = (held.reshape(-1, columns) if columns else held)[ids[own] - r * size]
+        order = np.argsort(ids, kind="stable")
+        ranked = ids[order]
+        for r, lo, hi in stretches(np.where(ranked >= 0, ranked // size, -1)):
+            if r >= 0:
+                held = self.files.array(f"{name}-{r:05d}.values", kind)
+                out[order[lo:hi]] = (held.reshape(-1, columns) if columns else held)[ranked[lo:hi] - r * size]
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         shards, out = self.words.shards, np.zeros(len(ids), dtype=np.int64)
-        which = np.searchsorted(shards.offsets, ids, side="right") - 1
-        for s in np.unique(which[ids >= 0]):
-            own = (which == s) & (ids >= 0)
-            out[own] = self.files.array(f"word-{s:05d}.counts", "<u8")[ids[own] - shards.offsets[s]]
+        order = np.argsort(ids, kind="stable")
+        ranked = ids[order]
+        for s, lo, hi in stretches(np.where(ranked >= 0, np.searchsorted(shards.offsets, ranked, side="right") - 1, -1)):
+            if s >= 0:
+                out[order[lo:hi]] = self.files.array(f"word-{s:05d}.counts", "<u8")[ranked[lo:hi] - shards.offsets[s]]
         return out
 
     def texts(self, group: list[list[bytes]]) -> list[tuple[int, int, float, float]]:

@@ -357,6 +357,43 @@ def test_counts_beyond_32_bits_are_found():
     assert shards.find(np.array([9, 5, 7], dtype=np.uint64), "counts").tolist() == [2**33, 3, 0]
 
 
+def test_growth_is_linear_in_shards(spark, monkeypatch):
+    """Rows of statistics grow with the shards, not with their square, and any number of shards scores alike."""
+    import gridloom.llm.common as common
+
+    rows, kept = {}, common.stage
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "pair-stats":
+            rows[len(rows)] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "stage", counted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 211}" for k in range(1, 40))) for i in range(200)], "doc_id long, text string")
+    found = []
+    for shards in (8, 64, 1000):
+        model = ngram_lm.train(docs, least_shards=shards)
+        assert len(model.pair_sizes) == shards and model.ranges == 1
+        found.append({r.doc_id: (r.n_known, round(r.score, 9)) for r in ngram_lm.score(docs, model).collect()})
+    assert found[0] == found[1] == found[2]
+    assert list(rows.values())[0] == 3 * 8 and list(rows.values())[1] == 3 * 64 and list(rows.values())[2] <= 3 * 1000
+
+
+def test_ranges_of_statistics_follow_the_vocabulary(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 211}" for k in range(1, 40))) for i in range(60)], "doc_id long, text string")
+    score = lambda model: {r.doc_id: round(r.score, 9) for r in ngram_lm.score(docs, model).collect()}
+    whole = score(ngram_lm.train(docs))
+    monkeypatch.setattr(ngram_lm, "RANGE", 50)
+    model = ngram_lm.train(docs)
+    assert model.ranges > 3 and score(model) == whole
+
+
+def test_chunks_hold_enough_for_each_shard():
+    assert ngram_lm.chunk_for(32) == ngram_lm.CHUNK and ngram_lm.chunk_for(200_000) == 6_400_000 and ngram_lm.chunk_for(10**7) == ngram_lm.MOST_CHUNK
+    assert list(ngram_lm.stretches(np.array([3, 3, 7, 9, 9, 9]))) == [(3, 0, 2), (7, 2, 3), (9, 3, 6)] and list(ngram_lm.stretches(np.array([], dtype=int))) == []
+
+
 def test_other_text_columns_stay(spark):
     model = ngram_lm.train(spark.createDataFrame([("a b",)], "text string"))
     row = ngram_lm.score(spark.createDataFrame([("kept", "a b", "x")], "text string, body string, perplexity string"), model, text="body").first()
