@@ -311,6 +311,19 @@ def grid_by_name_or_header(spark, d):
     return grids.named_grids(grids.headers(grid_files(spark, d)).where("status = 'ok'")).select("file_name", "obj_key", "grid")
 
 
+def grid_folder(spark, d) -> str:
+    """A folder of this call's own: tiles with encoded grids, broken ones too, and sidecars beside every other."""
+    stored = grid_files(spark, d).withColumn("name", F.regexp_replace("file_name", "#", "_"))
+    tile = F.concat(F.lit("tile_"), F.regexp_extract("name", r"_(\d)", 1).cast("int") % 2)
+    held = stored.select(F.concat(tile, F.lit("/"), "name").alias("path"), "content")
+    key = F.regexp_replace("name", r"\.obj_16\.binvox$", "")
+    side = stored.where(F.col("name").endswith(".obj_16.binvox") & (F.octet_length("content") % 2 == 0))
+    text = F.to_json(F.struct(F.concat(F.lit("b_"), key).alias("building_id"), F.concat(F.lit("p_"), key).alias("polygon_gml_id"), F.lit("RoofSurface").alias("thematic_role")))
+    path = shared.new_folder(spark, "grids")
+    files.write_files(held.unionByName(side.select(F.concat(tile, F.lit("/"), key, F.lit(".json")).alias("path"), text.cast("binary").alias("content"))), path)
+    return path
+
+
 OFFSETS = "SELECT file_key, run_no, value, n, CAST(coalesce(sum(n) OVER (PARTITION BY file_key ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_cells FROM rle_run"
 
 
@@ -327,6 +340,23 @@ def occupied_cells(spark, d):
     return grids.occupied_cells(V.rle_run(spark, d), F.lit(DIM), F.lit(DIM))
 
 
+HEADS = f"""SELECT *, length(CASE k WHEN 0 THEN '#binvox 1\ndim {DIM} {DIM} {DIM}\ntranslate 1 2 3\nscale {SCALE}\ndata\n' ELSE '#binvox 1\ntranslate 1 2.5 -3e0\ndim {DIM} {DIM} {DIM}\n\nscale {SCALE}\ndata\n' END) + payload_bytes AS bytes,
+    replace(CASE WHEN ends_with(file_name, '.obj_16.binvox') THEN file_key ELSE file_name END, '#', '_') AS obj_key FROM ({FILES}) WHERE k < 2"""
+
+
+@query(
+    f"""SELECT concat('tile_', CAST(regexp_extract(obj_key, '_([0-9])', 1) AS INT) % 2) AS tile, obj_key, ix, iy, iz, CAST(1.0 + (ix + 0.5) * 0.5 AS DOUBLE) AS x, CAST(CASE WHEN k = 0 THEN 3.0 ELSE -3.0 END + (iy + 0.5) * 0.5 AS DOUBLE) AS y,
+    CAST(CASE WHEN k = 0 THEN 2.0 ELSE 2.5 END + (iz + 0.5) * 0.5 AS DOUBLE) AS z, (2 * ix + 1) * 100000000 + (2 * iy + 1) * 1000 + 2 * iz + 1 AS voxel_position,
+    CASE WHEN named THEN concat('p_', obj_key) ELSE 'UNKNOWN' END AS gmlid, CASE WHEN named THEN concat('b_', obj_key) ELSE 'UNKNOWN' END AS building_gmlid, CASE WHEN named THEN 'RoofSurface' ELSE 'Unknown' END AS object_type
+    FROM (SELECT h.k, obj_key, ends_with(file_name, '.obj_16.binvox') AND bytes % 2 = 0 AS named, CAST(c // {DIM * DIM} AS BIGINT) AS ix, CAST(c % {DIM * DIM} // {DIM} AS BIGINT) AS iy, CAST(c % {DIM} AS BIGINT) AS iz FROM ({HEADS}) h JOIN ({CELLS}) c ON c.file_key = h.file_key)""",
+    "rle_run",
+)
+def voxels_from_grid_files(spark, d):
+    """The whole job over real files: encoded grids and sidecars written to tiles' folders, read in byte ranges, decoded, placed and named."""
+    rows = jobs.from_grids(spark, grid_folder(spark, d), tiles=True, range_bytes=64)
+    return rows.select("tile", "obj_key", *[F.col(f"i{a}").cast("long").alias(f"i{a}") for a in "xyz"], "x", "y", "z", "voxel_position", "gmlid", "building_gmlid", "object_type")
+
+
 @query("SELECT file_key, CAST(sum(n) AS BIGINT) AS voxels FROM rle_run WHERE value <> 0 GROUP BY file_key", "rle_run")
 def voxel_counts(spark, d):
     return voxels.counts(grids.occupied_cells(V.rle_run(spark, d), F.lit(DIM), F.lit(DIM)))

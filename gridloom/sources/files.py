@@ -97,6 +97,36 @@ def scan_grids(spark: SparkSession, folder: str, tiles: bool = False) -> DataFra
     return listed(files, F.col("path"), folder, tiles).select(*(["tile"] if tiles else []), base_name(F.col("path")).alias("file_name"), "content")
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes each (path, content) row as a file below `folder`, from the task that holds it; returns how many.
+
+    A file is written under another name and then moved, so that a repeated task replaces whole files by equal
+    ones. Tasks write by themselves: shared folders, and stores that pyarrow has a file system for.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                local = folder.startswith("/") or folder.startswith("file:")
+                store, base = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(folder)
+                target = f"{base.rstrip('/')}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(part := f"{target}.{uuid.uuid4().hex}") as out:
+                    out.write(bytes(content))
+                store.move(part, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows = files.select("path", F.col("content").cast("binary").alias("content"))
+    return rows.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def index_entries(documents: DataFrame) -> DataFrame:
     """(obj_key, tag, parent_id, gml_id, class) of index documents in `content`, with the documents' other columns; the CRS entry and entries that don't fit are left out."""
     entry = F.col("entry")

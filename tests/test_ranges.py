@@ -56,3 +56,12 @@ def test_job_over_ranges_equals_whole_files(spark, folder):
         row = lambda df: sorted(tuple(r) for r in df.select("obj_key", "ix", "iy", "iz", "x", "y", "z", "voxel_position", *(["tile"] if tiles else [])).collect())  # noqa: B023, E731
         by_range = row(jobs.from_grids(spark, at, tiles=tiles, range_bytes=10))
         assert by_range == row(jobs.from_grids(spark, at, tiles=tiles, range_bytes=None)) and by_range
+
+
+def test_written_files_are_whole_and_replaced(spark, tmp_path):
+    rows = spark.createDataFrame([("t/a b.bin", b"\x00\x01"), ("t/deep/c", b""), ("é#.x", b"xyz")], "path string, content binary").repartition(3)
+    for _ in range(2):
+        assert files.write_files(rows, str(tmp_path / "out")) == 3
+    found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"t/a b.bin": b"\x00\x01", "t/deep/c": b"", "é#.x": b"xyz"}
+    assert files.write_files(rows.limit(0), str(tmp_path / "none")) == 0
