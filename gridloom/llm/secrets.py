@@ -113,19 +113,23 @@ def ordinary(rest: Column) -> Column:
     return F.array_distinct(F.concat(distinct("[A-Za-z][A-Za-z0-9_-]{5,}"), distinct(CANDIDATE), named))
 
 
-def labelled_samples(docs: DataFrame, max_documents: int = 4000, strings: int = 6000) -> DataFrame:
-    """(token, random 0 or 1): drawn random strings, and ordinary tokens of about `max_documents` documents.
+def sample_texts(docs: DataFrame, max_documents: int, max_characters: int) -> DataFrame:
+    """(text): at most `max_documents` different texts of at most `max_characters` characters, those with the least hashes; however often a text is there, it counts once."""
+    held = docs.where(F.length("text") <= max_characters).select(F.xxhash64("text").alias("hash"), "text")
+    last = held.select("hash").distinct().orderBy("hash").limit(max_documents).agg(F.max("hash")).first()[0]
+    return held.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.first("text").alias("text")).select("text")
 
-    The documents are those with the least hashes of their text: a bounded training sample that
-    doesn't depend on the order of rows. What the base patterns catch is no sample of either kind.
-    Null and empty texts give no tokens.
+
+def labelled_samples(docs: DataFrame, max_documents: int = 1000, max_characters: int = 100_000, strings: int = 6000) -> DataFrame:
+    """(token, random 0 or 1): drawn random strings, and ordinary tokens of the sample_texts().
+
+    A bounded training sample that doesn't depend on the order of rows. What the base patterns catch is
+    no sample of either kind. Null and empty texts give no tokens.
     """
-    total = max(1, docs.count())
-    bound = int(-(2**63) + min(1.0, max_documents / total) * (2**64 - 1))
     rest = F.col("text")
     for p in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, p, " ")
-    sample = docs.select("text").where(F.xxhash64("text") <= F.lit(min(bound, 2**63 - 1))).select(rest.alias("rest"))
+    sample = sample_texts(docs, max_documents, max_characters).select(rest.alias("rest"))
     words = sample.select(F.explode(ordinary(F.col("rest"))).alias("token"), F.lit(0).alias("random"))
     return random_strings(docs.sparkSession, strings).unionByName(words)
 

@@ -357,6 +357,17 @@ def test_counts_beyond_32_bits_are_found():
     assert shards.find(np.array([9, 5, 7], dtype=np.uint64), "counts").tolist() == [2**33, 3, 0]
 
 
+def test_secret_sample_is_bounded_however_often_texts_repeat(spark):
+    """A third of all rows is one text: it enters once, and no more than the bound of different texts do."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "one text for all").when(F.col("id") == 4, F.repeat(F.lit("x"), 5000)).otherwise(F.concat(F.lit("text "), F.col("id") % 50)).alias("text"))
+    docs = docs.unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    rows = [r.text for r in secrets.sample_texts(docs, 10, 1000).collect()]
+    assert len(rows) == len(set(rows)) == 10
+    every = {r.text for r in secrets.sample_texts(docs, 10_000, 1000).collect()}
+    assert every == {"one text for all", *(f"text {k}" for k in range(50))} and set(rows) <= every
+    assert secrets.sample_texts(docs.limit(0), 10, 1000).count() == 0
+
+
 def test_growth_is_linear_in_shards(spark, monkeypatch):
     """Rows of statistics grow with the shards, not with their square, and any number of shards scores alike."""
     import gridloom.llm.common as common
