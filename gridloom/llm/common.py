@@ -2,30 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error elsewhere."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (given or own_dir()).rstrip("/")
-
-
-@functools.cache
-def own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from gridloom.sources.shared import new_folder
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
