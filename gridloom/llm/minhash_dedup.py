@@ -206,10 +206,14 @@ def _join_block(group: pd.DataFrame, threshold: float, between: bool, sketches:
     return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
 
 
-def _searched(inner: DataFrame, outer: DataFrame, at: str, shingles: DataFrame, block: int, threshold: float, between: bool, sketches: int) -> DataFrame:
-    """Links between `inner` and `outer` rows (at, id, component) of equal `at`, in pairs of blocks of about `block` rows each."""
+def _sized(inner: DataFrame, outer: DataFrame, at: str, block: int) -> DataFrame:
+    """(at, inner, outer): how many blocks of about `block` rows the two sides of each `at` are."""
     size = lambda rows, name: rows.groupBy(at).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    blocks = size(inner, "inner").join(size(outer, "outer"), at)
+    return size(inner, "inner").join(size(outer, "outer"), at)
+
+
+def _searched(inner: DataFrame, outer: DataFrame, at: str, blocks: DataFrame, shingles: DataFrame, threshold: float, between: bool, sketches: int) -> DataFrame:
+    """Links between `inner` and `outer` rows (at, id, component) of equal `at`, in pairs of the `blocks` that each side is dealt into."""
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = inner.join(blocks, at).select(at, "id", "component", deal("inner").alias("b"), every("outer").alias("c"), F.lit(False).alias("outsider"))
@@ -219,6 +223,70 @@ def _searched(inner: DataFrame, outer: DataFrame, at: str, shingles: DataFrame,
     return groups.groupBy("at").applyInPandas(lambda g: _join_block(g, threshold, between, sketches), "src long, dst long")
 
 
+def _opened(placed: DataFrame, tested: DataFrame) -> DataFrame:
+    """Rows (key, id, component, main, parts) of the keys that hold several components; a key of one pair that was compared already is left out.
+
+    `main` is the key's largest component, `parts` the number of its components.
+    """
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    mixed = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("n"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("parts > 1")
+    mixed = stage(mixed.join(tested, ["lo", "hi", "n"], "left_anti").select("key", F.col("largest.component").alias("main"), "parts"), "mixed")
+    return stage(placed.join(mixed, "key").select("key", "id", "component", "main", "parts"), "open")
+
+
+#: Counters of shingles, by hash: as many whatever the corpus.
+COUNTERS = 1 << 20
+
+
+def shingle_counts(held: DataFrame) -> np.ndarray:
+    """For each counter the number of times that its shingles occur in `held` texts: at least the number of texts that hold any one of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            own += np.bincount((np.frombuffer(b"".join(batch["shingles"]), "<u8") % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(own)
+        yield pd.DataFrame({"slot": at, "n": own[at]})
+
+    summed = held.select("shingles").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+    return counts
+
+
+def rare_prefix(shingles: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of a text's rarest shingles of which any similar text has one among its own rarest.
+
+    All texts rank shingles by counter and then by hash. A similar text shares at least `threshold`
+    of this text's shingles, so it can't lack all of the first n - ceil(threshold * n) + 1. What
+    no other text holds is left out.
+    """
+    n = counts[(shingles % np.uint64(COUNTERS)).astype(np.int64)]
+    first = np.lexsort((shingles, n))[: len(shingles) - int(np.ceil(threshold * len(shingles) - 1e-9)) + 1]
+    return shingles[first[n[first] > 1]]
+
+
+def _by_rare_shingle(held: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, component): `held` texts by the shingles of their rare_prefix(), where these bring several components together.
+
+    Any two similar texts meet in a key. Shingles that bring the same texts together are one key.
+    """
+    counts = shingle_counts(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rare = [rare_prefix(np.frombuffer(s, "<u8"), counts, threshold).view("<i8") for s in batch["shingles"]]
+            sizes = [len(r) for r in rare]
+            yield pd.DataFrame({"key": np.concatenate(rare), "id": np.repeat(batch["id"], sizes), "component": np.repeat(batch["component"], sizes)})
+
+    rare = stage(held.mapInPandas(run, "key long, id long, component long"), "rare")
+    several = rare.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("component").alias("a"), F.max("component").alias("b")
+    )
+    different = stage(several.where("a <> b").groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")), "buckets")
+    return stage(rare.join(different.select("key"), "key"), "placed")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: int = 4, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, exact_id, class_id, kept), one row for each input row.
 
@@ -230,11 +298,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
 
     Equal texts are one row from the start. Of the texts that share sketches, each is first held
     against the one text of its buckets that shares most sketches with others; buckets that still
-    hold several components are then searched in blocks, each member outside the bucket's largest
-    component against all of that component that shares a sketch with it, and these members among
-    each other. A large group of copies thus costs a comparison a text, all pairs of different
-    components in a bucket are compared, and no bucket meets in one task: what is known of a key is
-    one row, written before rows meet it, so that adaptive execution can split a hot key's rows.
+    hold several components are then searched, each member outside the bucket's largest component
+    against all of that component that shares a sketch with it, and these members among each other.
+    A large group of copies thus costs a comparison a text. Where both sides are more than `block`
+    rows, as where many texts hold one passage, they aren't paired block by block: these texts meet
+    once more by the rarest of their shingles, of which similar texts must share one whatever the
+    sketches (rare_prefix), so that texts alike in a passage only don't meet. Either way all similar
+    pairs of a bucket that are in different components are compared, and no bucket meets in one task:
+    what is known of a key is one row, written before rows meet it, so that adaptive execution can
+    split a hot key's rows.
 
     A pair of exactly 0.8 shares no sketch with a chance near 3e-5 (1e-8 for up to 32 shingles).
     `threshold` must be over a half, which texts of one shingle and the kinds of sketches rely on.
@@ -268,18 +340,34 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
 
     placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = stage(placed, "placed")
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    mixed = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("n"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("parts > 1")
     # two texts that were compared already
     tested = edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(2).cast("long").alias("n"))
-    mixed = stage(mixed.join(tested, ["lo", "hi", "n"], "left_anti").select("key", F.col("largest.component").alias("main"), "parts"), "mixed")
-    opened = stage(placed.join(mixed, "key").select("key", "id", "component", "main", "parts"), "open")
+    opened = _opened(placed, tested)
     # against the largest components: whatever buckets a text and a component meet in, they meet in one search
     near = opened.where("component = main").select("main", "id", "component").distinct()
     far = opened.where("component <> main").select("main", "id", "component").distinct()
     # among the others of a bucket
     others = opened.where("component <> main and parts > 2").select("key", "id", "component")
-    second = stage(_searched(near, far, "main", shingles, block, threshold, False, sketches).unionByName(_searched(others, others, "key", shingles, block, threshold, True, sketches)), "links")
+    sides, crowds = stage(_sized(near, far, "main", block), "sides"), stage(_sized(others, others, "key", block), "crowds")
+    # where either way to pair them takes blocks against blocks, texts meet by rare shingles instead
+    plain = "inner = 1 or outer = 1"
+    links = _searched(near, far, "main", sides.where(plain), shingles, threshold, False, sketches).unionByName(
+        _searched(others, others, "key", crowds.where(plain), shingles, threshold, True, sketches)
+    )
+    second = stage(links, "links")
+    hot_sides, hot_crowds = sides.where(f"not ({plain})").select("main"), crowds.where(f"not ({plain})").select("key")
+    met = [rows.join(hot, at).select("id", "component") for rows, hot, at in ((near, hot_sides, "main"), (far, hot_sides, "main"), (others, hot_crowds, "key"))]
+    hot = stage(met[0].unionByName(met[1]).unionByName(met[2]).distinct(), "hot")
+    if not hot.isEmpty():
+        held = stage(shingles.select("id", "shingles").join(hot, "id"), "hot-shingles")
+        again = _opened(_by_rare_shingle(held, threshold), tested)
+        inside = again.where("component = main").select("key", "id", "component")
+        outside = again.where("component <> main").select("key", "id", "component")
+        rest = again.where("component <> main and parts > 2").select("key", "id", "component")
+        further = _searched(inside, outside, "key", _sized(inside, outside, "key", block), shingles, threshold, False, sketches).unionByName(
+            _searched(rest, rest, "key", _sized(rest, rest, "key", block), shingles, threshold, True, sketches)
+        )
+        second = second.unionByName(stage(further, "links"))
     final = joined_components(parts, second)
 
     named = texts.select("d1", "d2", F.col("id").alias("exact_id")).join(final.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left")

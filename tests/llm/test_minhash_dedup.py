@@ -64,6 +64,40 @@ def test_classes_equal_all_pairs(spark, block):
     assert M.classes(df.where("false")).count() == 0
 
 
+def test_similar_texts_share_a_rare_shingle():
+    """Under any counters: those of the texts themselves, all equal, and all unlike."""
+    rng, words, s = random.Random(13), vocabulary(), M.Shingler()
+    for n in (5, 6, 14, 40, 150):
+        for _ in range(40):
+            base = [rng.choice(words) for _ in range(n + 4)]
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, n // 50))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            a, b = s.of(base), s.of(own[: len(own) - rng.randint(0, n // 10)])
+            if not M.aligned(a, b, 0.8):
+                continue
+            slots = (np.concatenate([a, b]) % np.uint64(M.COUNTERS)).astype(int)
+            for counts in (np.bincount(slots, minlength=M.COUNTERS), np.full(M.COUNTERS, 9), np.random.default_rng(n).integers(2, 99, M.COUNTERS)):
+                assert set(M.rare_prefix(a, counts, 0.8).tolist()) & set(M.rare_prefix(b, counts, 0.8).tolist())
+
+
+def test_texts_alike_in_a_passage_only_do_not_meet(spark):
+    rng, words, s = random.Random(17), vocabulary(3000), M.Shingler()
+    passage = [rng.choice(words) for _ in range(100)]
+    texts = [passage + [rng.choice(words) for _ in range(80)] for _ in range(300)]
+    texts += [t[:-3] + [rng.choice(words) for _ in range(3)] for t in texts[:7]]
+    held = spark.createDataFrame([(i, i, bytearray(s.of(t).astype("<u8").tobytes())) for i, t in enumerate(texts)], "id long, component long, shingles binary")
+    met = {}
+    for r in M._by_rare_shingle(held, 0.8).collect():
+        met.setdefault(r.key, set()).add(r.id)
+    pairs = {(a, b) for ids in met.values() for a in ids for b in ids if a < b}
+    assert {(i, 300 + i) for i in range(7)} <= pairs
+    assert len(pairs) < 100  # of 47,000
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in M.classes(df, block=16).collect()}
+    assert got == {i: i if i < 300 else i - 300 for i in range(307)}
+
+
 def test_order_matters():
     s = M.Shingler()
     w = vocabulary()[:200]
