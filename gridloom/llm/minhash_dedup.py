@@ -207,9 +207,10 @@ def _join_block(group: pd.DataFrame, threshold: float, between: bool, sketches:
 
 
 def _sized(inner: DataFrame, outer: DataFrame, at: str, block: int) -> DataFrame:
-    """(at, inner, outer): how many blocks of about `block` rows the two sides of each `at` are."""
-    size = lambda rows, name: rows.groupBy(at).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    return size(inner, "inner").join(size(outer, "outer"), at)
+    """(at, inner, outer, repeats): how many blocks of about `block` rows the two sides of each `at` are, and into how many pairs of blocks a row of it goes on average."""
+    size = lambda rows, name: rows.groupBy(at).agg(F.count("*").alias(f"{name}_rows"), F.ceil(F.count("*") / block).cast("int").alias(name))
+    repeats = F.expr("(inner_rows * outer + outer_rows * inner) / (inner_rows + outer_rows)")
+    return size(inner, "inner").join(size(outer, "outer"), at).select(at, "inner", "outer", repeats.alias("repeats"))
 
 
 def _searched(inner: DataFrame, outer: DataFrame, at: str, blocks: DataFrame, shingles: DataFrame, threshold: float, between: bool, sketches: int) -> DataFrame:
@@ -287,7 +288,7 @@ def _by_rare_shingle(held: DataFrame, threshold: float) -> DataFrame:
     return stage(rare.join(different.select("key"), "key"), "placed")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: int = 4, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: int = 4, block: int = 256, repeats: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, exact_id, class_id, kept), one row for each input row.
 
     class_id is the least id of the texts that links of at least `threshold` connect, exact_id the
@@ -300,10 +301,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     against the one text of its buckets that shares most sketches with others; buckets that still
     hold several components are then searched, each member outside the bucket's largest component
     against all of that component that shares a sketch with it, and these members among each other.
-    A large group of copies thus costs a comparison a text. Where both sides are more than `block`
-    rows, as where many texts hold one passage, they aren't paired block by block: these texts meet
-    once more by the rarest of their shingles, of which similar texts must share one whatever the
-    sketches (rare_prefix), so that texts alike in a passage only don't meet. Either way all similar
+    A large group of copies thus costs a comparison a text. Both sides are dealt into blocks of about
+    `block` rows, but where a row would go into more than `repeats` pairs of blocks, as where many
+    texts hold one passage, texts meet by the rarest of their shingles instead, of which similar
+    texts must share one whatever the sketches (rare_prefix): a row then has one key for about every
+    fifth of its shingles at most, and texts alike in a passage only don't meet. Either way all similar
     pairs of a bucket that are in different components are compared, and no bucket meets in one task:
     what is known of a key is one row, written before rows meet it, so that adaptive execution can
     split a hot key's rows.
@@ -349,13 +351,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, sketches: int = 20, size: i
     # among the others of a bucket
     others = opened.where("component <> main and parts > 2").select("key", "id", "component")
     sides, crowds = stage(_sized(near, far, "main", block), "sides"), stage(_sized(others, others, "key", block), "crowds")
-    # where either way to pair them takes blocks against blocks, texts meet by rare shingles instead
-    plain = "inner = 1 or outer = 1"
+    # where rows would be repeated for too many blocks, texts meet by rare shingles instead
+    plain = F.col("repeats") <= repeats
     links = _searched(near, far, "main", sides.where(plain), shingles, threshold, False, sketches).unionByName(
         _searched(others, others, "key", crowds.where(plain), shingles, threshold, True, sketches)
     )
     second = stage(links, "links")
-    hot_sides, hot_crowds = sides.where(f"not ({plain})").select("main"), crowds.where(f"not ({plain})").select("key")
+    hot_sides, hot_crowds = sides.where(~plain).select("main"), crowds.where(~plain).select("key")
     met = [rows.join(hot, at).select("id", "component") for rows, hot, at in ((near, hot_sides, "main"), (far, hot_sides, "main"), (others, hot_crowds, "key"))]
     hot = stage(met[0].unionByName(met[1]).unionByName(met[2]).distinct(), "hot")
     if not hot.isEmpty():

@@ -51,11 +51,11 @@ def corpus():
     return [(i, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_classes_equal_all_pairs(spark, block):
+@pytest.mark.parametrize("block, repeats", [(256, 32), (3, 32), (3, 1)])
+def test_classes_equal_all_pairs(spark, block, repeats):
     docs = corpus()
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs] + [(900, None, "x", 0), (None, "no id", "x", 0)], "doc_id long, text string, class_id string, kept int")
-    rows = M.classes(df, block=block).collect()
+    rows = M.classes(df, block=block, repeats=repeats).collect()
     assert len(rows) == len(docs) + 2
     got, expected = {r.doc_id: r.class_id for r in rows}, brute(docs)
     assert {i: c for i, c in got.items() if i in expected} == expected
@@ -94,7 +94,7 @@ def test_texts_alike_in_a_passage_only_do_not_meet(spark):
     assert {(i, 300 + i) for i in range(7)} <= pairs
     assert len(pairs) < 100  # of 47,000
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in M.classes(df, block=16).collect()}
+    got = {r.doc_id: r.class_id for r in M.classes(df, block=16, repeats=2).collect()}
     assert got == {i: i if i < 300 else i - 300 for i in range(307)}
 
 
