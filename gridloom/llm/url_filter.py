@@ -31,29 +31,42 @@ ALLOWED = (
     "woodwork knitting cycling hiking orchestra academy institute journal research software hardware robotics farming harvest tracks "
     "additions adventure advice adult-education address roads reads upload grads heads trackwork paper pillow village windmill"
 )
-SYLLABLES = "ba re ti on mo la sen ver hal thi ner os ung che lo pre den mar ska vil tor the and ing her ent".split()
+ONSETS, VOWELS, CODAS = "b br c cl d f g gr h j k l m n p r s st t tr v w z".split(), "a e i o u ai ea ou".split(), ("", "", "l", "n", "r", "s", "t", "m")
 LANGUAGES, ENDINGS = ("en", "de", "fr", "es"), ("org", "net", "com")
 
 
+def invented_name(k: int, syllables: int) -> str:
+    """A name without meaning: each syllable is an onset, a vowel and a coda, picked by strides through the lists."""
+    places = [k * (2 * j + 5) + 11 * j + k // 23 for j in range(syllables)]
+    return "".join(ONSETS[p % len(ONSETS)] + VOWELS[p // 3 % len(VOWELS)] + CODAS[p // 5 % len(CODAS)] for p in places)
+
+
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table, 1 to be blocked: each word above in three forms of host, and invented names of two to four syllables.
+    """The small labelled table, 1 to be blocked: what a URL shows of the words above, in its host or in its path.
 
-    Paths, languages and top-level names fall alike on both classes, so that only hosts and words
-    tell. Hosts are invented.
+    Evidence in the host: each word in three forms of host, above a plain path of language and number. Evidence
+    in the path: each word as a folder and as a page, on a host with an invented name. Evidence in neither: invented
+    names of one to three syllables with plain paths, allowed. Languages, numbers, fronts and ends of hosts and
+    schemes fall alike on both classes. All hosts are invented.
     """
     words = [(w, 1) for own in BLOCKED.values() for w in own.split()] + [(w, 0) for w in ALLOWED.split()]
-    names = []
-    for k in range(240):
-        size, at = 2 + k % 3, 7 * k + 3
-        names.append(("".join(SYLLABLES[(at + 11 * j + k // 26 * (j + 1)) % len(SYLLABLES)] for j in range(size)), 0))
-    rows = []
-    for k, (w, label) in enumerate(words + names):
-        path = ("", f"{LANGUAGES[k % 4]}/{k * 37 % 997}", f"{LANGUAGES[k // 2 % 4]}/{k * 53 % 4999}.html", f"{LANGUAGES[k // 3 % 4]}/{k * 11 % 9973}/")
-        forms = [w] if k >= len(words) else [w, f"my-{w}", f"{w}-online"]
-        for j, host in enumerate(forms):
-            front = ("", "www.", "m.", "blog.")[(k + j) % 4]
-            rows.append((f"{('http', 'https')[(k + j) % 2]}://{front}{host}.example.{ENDINGS[(k + j) % 3]}/{path[(k // 4 + j) % 4]}", label))
-    return rows
+    seen = []  # (host, path, label)
+
+    def plain(k: int) -> str:
+        language = LANGUAGES[k // 2 % 4]
+        return ("", f"{language}/{k * 37 % 997}", f"{language}/{k * 53 % 4999}.html", f"{language}/{k * 11 % 9973}/")[k % 4]
+
+    for k, (w, label) in enumerate(words):
+        for j, host in enumerate((w, f"my-{w}", f"{w}-online")):
+            seen.append((host, plain(3 * k + j), label))
+        seen.append((invented_name(2 * k, 1 + k % 3), f"{w}/{k * 29 % 997}", label))
+        seen.append((invented_name(2 * k + 1, 1 + k % 3), f"{LANGUAGES[k % 4]}/{w}.html", label))
+    seen += [(invented_name(2 * len(words) + k, 1 + k % 3), plain(k), 0) for k in range(240)]
+    rows = {}
+    for k, (host, path, label) in enumerate(seen):
+        front, below = ("", "www.", "m.", "blog.")[k % 4], (".example", "")[k // 4 % 2]
+        rows[f"{('http', 'https')[k // 8 % 2]}://{front}{host}{below}.{ENDINGS[k % 3]}/{path}"] = label
+    return list(rows.items())
 
 
 #: (verdict, host, path)
