@@ -182,6 +182,63 @@ def test_stretches_miss_no_window(monkeypatch):
         assert np.allclose(model.pooled(slots), whole, atol=1e-5)
 
 
+def plain_loss(params, slots, y):
+    """Log loss of one text, window by window and filter by filter, in doubles."""
+    one, two, kernels, bias, out, offset = params
+    rows = [one[a] + two[b] for a, b in slots.tolist()]
+    pooled = []
+    for kernel, shift in zip(kernels, bias, strict=True):
+        for f in range(kernel.shape[2]):
+            pooled.append(max(0.0, shift[f] + max(sum(rows[i + j] @ kernel[j][:, f] for j in range(len(kernel))) for i in range(len(rows) - len(kernel) + 1))))
+    z = float(np.array(pooled) @ out + offset[0])
+    return np.log1p(np.exp(-z)) + (1 - y) * z
+
+
+def slopes(params, slots, y, of, step=1e-6):
+    """Slope of plain_loss() along each entry of the array `of`, by differences."""
+    found = np.zeros(of.shape)
+    for at in np.ndindex(of.shape):
+        kept, ends = of[at], []
+        for sign in (1, -1):
+            of[at] = kept + sign * step
+            ends.append(plain_loss(params, slots, y))
+        of[at] = kept
+        found[at] = (ends[0] - ends[1]) / (2 * step)
+    return found
+
+
+def test_training_follows_slopes_by_differences():
+    bits, size, widths, filters, seed, rate = 4, 3, (1, 2, 3), 2, 7, 0.05
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("aa bb cc dd ee ff".split()) for _ in range(6)) for _ in range(13)]
+    toxic = np.array([i % 2 for i in range(13)])
+    shape = dict(bits=bits, size=size, widths=widths, filters=filters, seed=seed)
+    start, end = (toxicity.train(texts, toxic, [None] * 13, epochs=n, rate=rate, **shape) for n in (0, 1))
+    learn = [i for i in range(13) if i % 5 != 4]
+    slots = [toxicity.Hasher(bits, table_size=10**9).slots(t) for t in texts]
+    doubles = lambda m: [m.one.astype(float), m.two.astype(float), [k.astype(float) for k in m.kernels], [b.astype(float) for b in m.bias], m.out.astype(float), np.array([float(m.offset)])]
+    params = doubles(start)
+    one, two, kernels, bias, out, offset = params
+    trust = []
+    for column in (0, 1):
+        seen = np.array([sum(v in slots[i][:, column] for i in learn) for v in range(1 << bits)])
+        trust.append((np.maximum(seen - 5, 0) / (seen + 30))[:, None])
+    squares = {id(a): np.full(a.shape, 1e-2) for a in (*kernels, out, offset)}
+    for i in np.random.default_rng(seed).permutation(np.array(learn)):
+        own = (params, slots[i], toxic[i])
+        adaptive = [(a, slopes(*own, a) + (1e-4 * a if a is out else 0)) for a in (*kernels, out, offset)]
+        plain = [(a, 0.1 * rate * slopes(*own, a) * t) for a, t in ((one, trust[0]), (two, trust[1]), *((b, 1.0) for b in bias))]
+        for a, g in adaptive:
+            squares[id(a)] += g * g
+            a -= rate * g / np.sqrt(squares[id(a)])
+        for a, change in plain:
+            a -= change
+    flat = lambda p: np.concatenate([x.ravel() for x in (p[0], p[1], *p[2], *p[3], p[4], p[5])])
+    got, before = flat(doubles(end)), flat(doubles(start))
+    assert np.abs(got - before).max() > 0.05  # it did learn
+    assert np.allclose(got, flat(params), atol=2e-3)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
