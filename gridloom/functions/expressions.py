@@ -113,13 +113,30 @@ def tile_name(name: Column) -> Column:
     return F.regexp_replace(name, r"\.gml$", "")
 
 
+def _spread(x: Column, text: Column) -> Column:
+    """A number's text in scientific form as a plain decimal, with as many zeros as its power of ten asks for."""
+    power = F.substring_index(text, "E", -1).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "E", 1), "[-.]", ""), "(?<=.)0+$", "")
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    whole = F.concat(digits, zeros(power + 1 - F.length(digits)))
+    cut = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))
+    plain = F.when(power < 0, F.concat(F.lit("0."), zeros(-power - 1), digits)).when(F.length(digits) <= power + 1, whole).otherwise(cut)
+    return F.concat(F.when(x < 0, "-").otherwise(""), plain)
+
+
 def plain_decimal(x: Column) -> Column:
-    """The shortest text of a double without exponent and without a trailing `.0`."""
+    """The shortest text of a double without exponent and without a trailing `.0`; every digit stays, however small or large the number.
+
+    Java 17 gives some doubles a digit too many: a text of 15 or 16 digits is taken where it reads back as
+    the same double.
+    """
     text = x.cast("string")
-    wide = F.when(F.abs(x) >= 1e8, text.cast("decimal(38,8)").cast("string")).otherwise(text.cast("decimal(38,30)").cast("string"))
-    trimmed = F.regexp_replace(F.when(text.contains("E"), wide).otherwise(text), r"\.?0+$", "")
-    whole = F.regexp_replace(text, r"\.0$", "")
-    shown = F.when(text.contains("E"), F.when(wide.contains("."), trimmed).otherwise(wide)).otherwise(whole)
+    some, more = (F.format_string(f"%.{n}E", x) for n in (14, 15))
+    fewer = F.when(some.cast("double") == x, some).when(more.cast("double") == x, more).otherwise(text)
+    long = F.length(text) > 16
+    # through a list of one, so that the rare long way has the text once and not again for each part
+    spread = F.transform(F.array(F.when(long, fewer).otherwise(text)), lambda t: _spread(x, t))[0]
+    shown = F.when(text.contains("E") | (long & (more.cast("double") == x)), spread).otherwise(F.regexp_replace(text, r"\.0$", ""))
     return F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, F.when(text.startswith("-"), "-0").otherwise("0")).otherwise(shown)
 
 

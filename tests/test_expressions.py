@@ -81,3 +81,14 @@ def test_sizes_and_boxes(spark):
 @pytest.mark.parametrize("v,text", [(690800.0, "690800"), (12345678.5, "12345678.5"), (0.0, "0"), (-0.0, "-0"), (1.5, "1.5"), (1e-7, "0.0000001"), (123456789.25, "123456789.25"), (-20000000.0, "-20000000"), (math.nan, "NaN"), (math.inf, "inf"), (-math.inf, "-inf"), (100.0, "100")])
 def test_plain_decimal(spark, v, text):
     assert one(spark, X.plain_decimal(F.lit(v))) == text
+
+
+@pytest.mark.parametrize(("v", "text"), [(6.938893903907228e-18, "0.000000000000000006938893903907228"), (-8.881784197001252e-16, "-0.0000000000000008881784197001252"), (8e-5, "0.00008"), (1e23, "100000000000000000000000"), (2.5e17, "250000000000000000"), (12345678901.25, "12345678901.25")])
+def test_plain_decimal_keeps_every_digit(spark, v, text):
+    """As text and in the SQL twin, which once gave an exponent."""
+    import duckdb
+
+    from gridloom.plans.catalogue import plain_sql
+
+    assert one(spark, X.plain_decimal(F.lit(v))) == text
+    assert duckdb.execute(f"SELECT {plain_sql('x')} FROM (SELECT {v!r}::DOUBLE AS x)").fetchone()[0] == text
