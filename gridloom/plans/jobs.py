@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import expressions as X
 from gridloom.operators import grids, mesh, semantics, voxelize, voxels
 from gridloom.operators.keys import object_key, tile_key
-from gridloom.sources import files, ranges
+from gridloom.sources import files, ranges, shared
 
 
 def named(keys: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -21,10 +21,15 @@ def named(keys: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def voxels_of_points(points: DataFrame, sidecars: DataFrame, target: float = X.DEFAULT_VOXEL_SIZE, srid: int = X.DEFAULT_SRID) -> DataFrame:
-    """Voxel rows of all cells that hold a vertex, placed by each object's own box and named by its sidecar."""
+    """Voxel rows of all cells that hold a vertex, placed by each object's own box and named by its sidecar.
+
+    Points are dealt out by object once, to as many tasks as their files ask for; boxes, cells and names then
+    need no further shuffle of them, and no task grows with the input.
+    """
     key = object_key(points, sidecars)
+    points = points.select(*key, "x", "y", "z").repartition(shared.tasks_for(points), *key)
     cube = voxels.cube_of_bbox(mesh.object_bbox(points), target)
-    cells = voxelize.voxelize_points(points.select(*key, "x", "y", "z"), cube)
+    cells = voxelize.voxelize_points(points, cube)
     placed = named(cube.withColumns(voxels.sizes(F.col("scale"), F.col("grid"))), sidecars)
     return voxels.voxel_rows(cells.join(placed, key), srid)
 

@@ -6,8 +6,13 @@ import functools
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Input of one task, in bytes as stored, where a shuffle follows whose rows are several times as large.
+TASK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +30,13 @@ def own_dir() -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def tasks_for(rows: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks for a shuffle of `rows`: one for each `task_bytes` of the files they come from, at least as many as there are cores.
+
+    Only lengths of files are read. A fixed number of tasks would make each larger as the input grows.
+    """
+    spark, found = rows.sparkSession, [unquote(f) for f in rows.inputFiles()]
+    size = spark.read.format("binaryFile").load(found).agg(F.sum("length")).first()[0] if found else 0
+    return max(spark.sparkContext.defaultParallelism, -(-(size or 0) // task_bytes))
