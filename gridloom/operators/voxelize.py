@@ -6,12 +6,17 @@ cell is the box from its index to its index + 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import expressions as X
 from gridloom.operators.keys import object_key
+from gridloom.sources import shared
 
 
 def cell_index(x: Column, origin: Column, size: Column, grid: Column) -> Column:
@@ -90,34 +95,94 @@ def _span(low: Column, high: Column, grid: Column) -> tuple[Column, Column]:
     return hold(F.ceil(low) - 1), hold(F.floor(high))
 
 
-def _edges() -> dict[str, Column]:
-    """Edge vectors eu0 .. ew2 of a triangle u0 .. w2: corner k + 1 less corner k."""
-    return {f"e{a}{k}": F.col(f"{a}{(k + 1) % 3}") - F.col(f"{a}{k}") for k in range(3) for a in "uvw"}
+#: Columns of cells, and then candidates, that a task tests at once.
+AT_ONCE = 1 << 18
+
+
+def _stretches(counts: np.ndarray) -> Iterator[slice]:
+    """Slices of consecutive rows with at most AT_ONCE counts each; one row alone may have more."""
+    ends, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+        yield slice(lo, hi)
+        lo = hi
 
 
-def _normal() -> dict[str, Column]:
-    c = F.col
-    return {"nu": c("ev0") * c("ew1") - c("ew0") * c("ev1"), "nv": c("ew0") * c("eu1") - c("eu0") * c("ew1"), "nw": c("eu0") * c("ev1") - c("ev0") * c("eu1")}
+def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as its count, and the place of each copy among those of its row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _overlaps() -> Column:
-    """Separating-axis test of a triangle and the unit cell at (u, v, w): the normal and nine edge products.
+def _overlaps(corners: list[np.ndarray], edges: list[np.ndarray], normal: np.ndarray, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Places of the candidates (triangle `row`, cell (u, v, w)) that pass the separating-axis test: the normal and nine edge products.
 
     The three box axes are settled by the ranges that candidates come from.
     """
     slack = 1e-9
-    p = [[F.col(f"{a}{k}") - (F.col(a) + 0.5) for a in "uvw"] for k in range(3)]
-    n = [F.col(f"n{a}") for a in "uvw"]
-    good = F.abs(n[0] * p[0][0] + n[1] * p[0][1] + n[2] * p[0][2]) <= (F.abs(n[0]) + F.abs(n[1]) + F.abs(n[2])) * 0.5 + slack
+    size = (np.abs(normal[0]) + np.abs(normal[1]) + np.abs(normal[2])) * 0.5 + slack
+    p = corners[0][:, row] - (cell + 0.5)
+    n = normal[:, row]
+    kept = np.flatnonzero(np.abs(n[0] * p[0] + n[1] * p[1] + n[2] * p[2]) <= size[row])
     for k in range(3):
-        e = [F.col(f"e{a}{k}") for a in "uvw"]
         for i in range(3):
             j, m = (i + 1) % 3, (i + 2) % 3
             # axis i crossed with edge k lies in the plane of j and m; both ends of the edge fall on one point there
-            one, other = (p[c][m] * e[j] - p[c][j] * e[m] for c in (k, (k + 2) % 3))
-            radius = (F.abs(e[j]) + F.abs(e[m])) * 0.5 + slack
-            good = good & (F.least(one, other) <= radius) & (F.greatest(one, other) >= -radius)
-    return good
+            own, at = row[kept], cell[:, kept] + 0.5
+            ej, em = edges[k][j][own], edges[k][m][own]
+            one, other = ((corners[c][m][own] - at[m]) * ej - (corners[c][j][own] - at[j]) * em for c in (k, (k + 2) % 3))
+            radius = (np.abs(ej) + np.abs(em)) * 0.5 + slack
+            kept = kept[(np.minimum(one, other) <= radius) & (np.maximum(one, other) >= -radius)]
+    return kept
+
+
+def _cells_of(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, cells): the cells that triangles meet, in bounded stretches. `t` has u0 .. w2, the spans u_from .. w_to and grid."""
+    corners = [np.stack([t[f"{a}{k}"] for a in "uvw"]) for k in range(3)]
+    edges = [corners[(k + 1) % 3] - corners[k] for k in range(3)]
+    e, f = edges[0], edges[1]
+    normal = np.stack([e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]])
+    wide = t["v_to"] - t["v_from"] + 1
+    columns = (t["u_to"] - t["u_from"] + 1) * wide
+
+    def held(cells: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return np.clip(np.nan_to_num(cells, nan=0.0), 0, t["grid"][row] - 1).astype(np.int64)
+
+    for part in _stretches(columns):
+        row, place = _repeated(columns[part])
+        row = row + part.start
+        u, v = t["u_from"][row] + place // wide[row], t["v_from"][row] + place % wide[row]
+        n = normal[:, row]
+        flat = n[2] == 0
+        with np.errstate(all="ignore"):
+            at = corners[0][2][row] - (n[0] * (u + 0.5 - corners[0][0][row]) + n[1] * (v + 0.5 - corners[0][1][row])) / n[2]
+            reach = (np.abs(n[0]) + np.abs(n[1])) / (np.abs(n[2]) * 2) + 1e-6
+            low, high = held(np.ceil(at - reach) - 1, row), held(np.floor(at + reach), row)
+        low = np.where(flat, t["w_from"][row], np.maximum(low, t["w_from"][row]))
+        high = np.where(flat, t["w_to"][row], np.minimum(high, t["w_to"][row]))
+        deep = np.maximum(high - low + 1, 0)
+        for some in _stretches(deep):
+            column, step = _repeated(deep[some])
+            column = column + some.start
+            cell = np.stack([u[column], v[column], low[column] + step])
+            kept = _overlaps(corners, edges, normal, row[column], cell)
+            if len(kept):
+                yield row[column[kept]], cell[:, kept]
+
+
+def _hits(key: list[str]):
+    """Batches of laid-out triangles to batches of the cells that they meet, axes turned back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in key}
+            for row, (u, v, w) in _cells_of(t):
+                depth = t["depth"][row]
+                turned = [np.select([depth == 2, depth == 1], [one, two], three).astype(np.int32) for one, two, three in ((u, v, w), (v, w, u), (w, u, v))]
+                own = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in key], *map(pa.array, turned)], names=[*key, "ix", "iy", "iz"])
+
+    return run
 
 
 def voxelize_surface(triangles: DataFrame, grids: DataFrame, split_above: int = 65_536) -> DataFrame:
@@ -154,22 +219,13 @@ def voxelize_surface(triangles: DataFrame, grids: DataFrame, split_above: int =
     for a in "uvw":
         three = [F.col(f"{a}{k}") for k in range(3)]
         spans |= dict(zip((f"{a}_from", f"{a}_to"), _span(F.least(*three), F.greatest(*three), grid), strict=True))
-    # edges and normal become columns below the sweeps, so that candidates don't compute them again
-    measured = F.struct(*[c.alias(n) for n, c in (spans | _edges()).items()])
-    own = own.select("*", F.inline(F.array(measured))).withColumns(_normal())
-    # few bytes of triangles become many candidates: they are dealt out to a fixed number of tasks, which isn't merged again
-    tasks = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in spans.items()]))))
+    # few bytes of triangles become many candidates: they are dealt out to a number of tasks that grows with the files, which isn't merged again
+    tasks = max(int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions")), shared.tasks_for(triangles))
     own = own.repartition(tasks, *key, *[f"{a}{k}" for k in range(3) for a in "uvw"])
     columns = (F.col("u_to") - F.col("u_from") + 1) * (F.col("v_to") - F.col("v_from") + 1)
-    small = own.where(columns <= split_above).withColumn("u", F.explode(F.sequence("u_from", "u_to")))
-    large = own.where(columns > split_above).withColumn("u", F.explode(F.sequence("u_from", "u_to"))).repartition(*key, "u", *[f"{a}{k}" for k in range(3) for a in "uvw"])
-    swept = small.unionByName(large).withColumn("v", F.explode(F.sequence("v_from", "v_to")))
-    at = F.col("w0") - F.try_divide(F.col("nu") * (F.col("u") + 0.5 - F.col("u0")) + F.col("nv") * (F.col("v") + 0.5 - F.col("v0")), F.col("nw"))
-    reach = F.try_divide(F.abs("nu") + F.abs("nv"), F.abs("nw") * 2) + 1e-6
-    low, high = _span(at - reach, at + reach, grid)
-    flat_plane = F.col("nw") == 0
-    bounded = swept.withColumns({"w_low": F.when(flat_plane, F.col("w_from")).otherwise(F.greatest(low, "w_from")), "w_high": F.when(flat_plane, F.col("w_to")).otherwise(F.least(high, "w_to"))}).where("w_low <= w_high")
-    candidates = bounded.withColumn("w", F.explode(F.sequence("w_low", "w_high")))
-    hit = candidates.where(_overlaps())
-    back = lambda i: F.when(F.col("depth") == 2, F.col("uvw"[i])).when(F.col("depth") == 1, F.col("vwu"[i])).otherwise(F.col("wuv"[i])).cast("int")
-    return hit.select(*key, *[back(i).alias(f"i{a}") for i, a in enumerate("xyz")]).distinct().unionByName(flat)
+    stripes = own.where(columns > split_above).withColumn("u_from", F.explode(F.sequence("u_from", "u_to"))).withColumn("u_to", F.col("u_from"))
+    large = stripes.repartition(*key, "u_from", *[f"{a}{k}" for k in range(3) for a in "uvw"])
+    types = dict(own.dtypes)
+    hit = own.where(columns <= split_above).unionByName(large).mapInArrow(_hits(key), ", ".join([*[f"`{c}` {types[c]}" for c in key], "ix int, iy int, iz int"]))
+    return hit.distinct().unionByName(flat)

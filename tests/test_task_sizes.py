@@ -28,3 +28,23 @@ def test_tasks_follow_the_files(spark, tmp_path, monkeypatch):
 def test_halves_are_made_in_one_pass(spark):
     plan = catalogue.voxels_all_tiles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan
+
+
+def test_cells_of_a_triangle_come_in_stretches(monkeypatch):
+    """However many candidates are tested at once, the cells are the same, and few are at hand at a time."""
+    import numpy as np
+
+    from gridloom.operators import voxelize
+
+    rng = np.random.default_rng(0)
+    t = {f"{a}{k}": rng.uniform(0, 17, 20) for k in range(3) for a in "uvw"}
+    for a in "uvw":
+        three = np.stack([t[f"{a}{k}"] for k in range(3)])
+        t[f"{a}_from"], t[f"{a}_to"] = (np.clip(f, 0, 16).astype(int) for f in (np.ceil(three.min(0)) - 1, np.floor(three.max(0))))
+    t["grid"] = np.full(20, 17)
+    cells = lambda: [(len(row), {(r, *c) for r, c in zip(row.tolist(), cell.T.tolist(), strict=True)}) for row, cell in voxelize._cells_of(t)]
+    whole = cells()
+    monkeypatch.setattr(voxelize, "AT_ONCE", 50)
+    parts = cells()
+    assert len(whole) == 1 and len(parts) > 20 and max(n for n, _ in parts) <= 50
+    assert set().union(*(s for _, s in parts)) == whole[0][1] and sum(n for n, _ in parts) == whole[0][0]
