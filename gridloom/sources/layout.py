@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import voxels
+from gridloom.sources import shared
 
 #: Cells an axis, 21 bits each: positions of the curve are 63 bits.
 AXIS_BITS = 21
@@ -45,7 +46,8 @@ def write_clustered(rows: DataFrame, path: str, size: float = 8.0, rows_per_file
     """
     placed = rows.withColumn("_place", curve_position(size))
     order = ["_place", "x", "y", "z"]
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/data")
+    # a fixed number of ranges would make each larger as the input grows
+    placed.repartitionByRange(shared.tasks_for(rows), *order).sortWithinPartitions(*order).drop("_place").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/data")
     written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/data").withColumn("file", F.col("_metadata.file_name"))
     ids = [c for c in IDS if c in rows.columns]
     if ids:

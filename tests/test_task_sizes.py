@@ -48,3 +48,13 @@ def test_cells_of_a_triangle_come_in_stretches(monkeypatch):
     parts = cells()
     assert len(whole) == 1 and len(parts) > 20 and max(n for n, _ in parts) <= 50
     assert set().union(*(s for _, s in parts)) == whole[0][1] and sum(n for n, _ in parts) == whole[0][0]
+
+
+def test_clustered_files_are_cut_into_ranges_by_the_input(spark, tmp_path, monkeypatch):
+    from gridloom.sources import layout
+
+    monkeypatch.setattr(shared, "tasks_for", lambda rows: 9)
+    rows = spark.range(900).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("z"))
+    layout.write_clustered(rows, f"{tmp_path}/v")
+    held = spark.read.parquet(f"{tmp_path}/v/boxes")
+    assert held.count() > 4 and held.agg(F.sum("rows")).first()[0] == 900
