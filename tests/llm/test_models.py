@@ -267,6 +267,72 @@ def test_threshold():
     assert toxicity.threshold(z, np.zeros(4)) == 0.0
 
 
+def spread(spark, n=900):
+    """Texts of which only ids from 600 on hold the one toxic word that isn't everywhere; one text is very long."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        own, bad = [rng.choice(words) for _ in range(rng.randint(5, 40))], i % 3 == 0
+        if bad:
+            own.insert(rng.randrange(len(own)), "scum" if i < 600 else "moron")
+        rows.append((i, " ".join(own), "en", int(bad)))
+    rows.append((n, "abc " * 120_000 + "blight", "en", 1))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+
+
+def test_every_labelled_text_teaches(spark):
+    """Counts by slot are those of all texts that aren't kept for thresholds, whole ones, whatever the shards; so are the rows of a threshold."""
+    given = spread(spark)
+    repeated = given.unionByName(given.where("doc_id < 30"))
+    rows = toxicity.taught_rows(repeated.repartition(5), given.select("doc_id", "toxic"), 12, 4)
+    assert rows.count() == 901 and rows.select("shard").distinct().count() == 4
+    seen, words = toxicity.count_words(rows, 12)
+    hasher, plain, spoken = toxicity.Hasher(12), [np.zeros((2, 1 << 12)) for _ in range(2)], np.zeros(1 << 12)
+    for r in given.collect():
+        s = hasher.slots(r.text)
+        for column in range(2):
+            plain[column][r.toxic, np.unique(s[:, column])] += 1
+        np.add.at(spoken, s[:, 0], 1)
+    assert all(np.array_equal(a, b) for a, b in zip(seen, plain, strict=True))
+    assert words.keys() == {"en"} and np.array_equal(words["en"], spoken) and spoken.sum() > 120_000
+    model = toxicity.Classifier(12, 4, (1, 2), 3, 1)
+    assert toxicity.judged(rows, model)["n"].sum() == 901
+
+
+def test_fit_takes_all_shards_and_not_the_layout(spark):
+    given = spread(spark)
+    docs, labels = given.select("doc_id", "text", "lang"), given.select("doc_id", "toxic")
+    one, two = (toxicity.fit(d, labels, bits=12, epochs=2, shard_rows=300) for d in (docs.repartition(3), docs.coalesce(1)))
+    assert np.array_equal(one.one, two.one) and np.array_equal(one.two, two.two) and one.thresholds == two.thresholds
+    assert all(np.array_equal(a, b) for a, b in zip(one.kernels, two.kernels, strict=True))
+    hasher = toxicity.Hasher(12)
+    assert all(one.score(hasher.slots(f"abc {w} abc")) > 0.5 > one.score(hasher.slots("abc abcdef abc")) for w in ("scum", "moron"))
+
+
+def test_one_shard_is_a_plain_pass(spark):
+    """A round of one shard ends where the same steps one by one end."""
+    given = spread(spark, 120).where("doc_id < 120")
+    rows = toxicity.taught_rows(given, given.select("doc_id", "toxic"), 8, 1)
+    seen, _ = toxicity.count_words(rows, 8)
+    both = []
+    for _ in range(2):
+        model = toxicity.Classifier(8, 4, (1, 2), 3, 1)
+        both.append(toxicity.Descent(model, toxicity.inform(model, seen), 0.05))
+    toxicity.train_round(rows, both[0])
+    for r in rows.collect():
+        both[1].step(toxicity.unpacked(bytes(r.slots)), float(r.toxic))
+    start = toxicity.Classifier(8, 4, (1, 2), 3, 1)
+    assert np.allclose(both[0].dense(), both[1].dense(), atol=1e-5) and not np.allclose(start.out, both[0].model.out, atol=1e-3)
+    assert np.allclose(both[0].model.one, both[1].model.one, atol=1e-5) and np.allclose(both[0].model.two, both[1].model.two, atol=1e-5)
+
+
+def test_threshold_of_repeated_logits():
+    z, y = np.array([1.0, 1.0, 3.0]), np.array([0, 1, 1])
+    assert toxicity.threshold(z, y, np.array([5, 1, 2])) == 2.0
+    assert toxicity.threshold(z, y, np.array([1, 5, 2])) < 1.0
+
+
 # ---- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
