@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.shared import new_folder
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from gridloom.sources.shared import new_folder, stage  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

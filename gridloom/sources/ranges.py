@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import grids
+from gridloom.sources import shared
 from gridloom.sources.files import base_name, listed
 
 RANGE_BYTES = 8 << 20
+#: Files whose headers one task reads.
+TASK_FILES = 1_000
 #: Leading bytes in which a header is looked for, in turn; one that is longer than the last counts as having no data line.
 HEADER_BYTES = (grids.HEADER_BYTES, 1 << 20, 64 << 20)
 
@@ -39,10 +42,15 @@ def with_bytes(ranges: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):  # a batch a row: one range at a time is in memory
-                row = batch.slice(k, 1)
-                at = [row.column(c)[0].as_py() for c in ("path", "start", "size")]
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([read_range(*at)], pa.binary())], names=[*names, "bytes"])
+            wanted = list(zip(*[batch.column(c).to_pylist() for c in ("path", "start", "size")], strict=True))
+            lo = 0
+            while lo < len(wanted):  # small ranges come together, but no more than a large one is in memory
+                held, hi = wanted[lo][2], lo + 1
+                while hi < len(wanted) and held + wanted[hi][2] <= RANGE_BYTES:
+                    held, hi = held + wanted[hi][2], hi + 1
+                rows = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([read_range(*at) for at in wanted[lo:hi]], pa.binary())], names=[*names, "bytes"])
+                lo = hi
 
     return ranges.select(*names).mapInArrow(read, ", ".join([*[f"`{c}` {t}" for c, t in ranges.select(*names).dtypes], "bytes binary"]))
 
@@ -54,17 +62,24 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.binvox", tiles:
 
 
 def headers_of_files(files: DataFrame) -> DataFrame:
-    """All columns of `files` (path, length, perhaps tile) with file_name and those of grids.headers() but the payload: a header is read from its file's leading bytes alone."""
-    known, left = None, files
+    """All columns of `files` (path, length, perhaps tile) with file_name and those of grids.headers() but the payload: a header is read from its file's leading bytes alone.
+
+    The list and what is found are written to the shared folder, so that a folder is listed and a header read
+    once, however often they are asked for; longer headers are looked for only where there are such files.
+    """
+    known, left = None, shared.stage(files, "listed")
     for k, size in enumerate(HEADER_BYTES):
-        parts = with_bytes(left.withColumns({"start": F.lit(0).cast("long"), "size": F.least(F.lit(size).cast("long"), "length")}))
+        tasks = max(left.sparkSession.sparkContext.defaultParallelism, -(-left.count() // TASK_FILES))
+        parts = with_bytes(left.repartition(tasks, "path").withColumns({"start": F.lit(0).cast("long"), "size": F.least(F.lit(size).cast("long"), "length")}))
         # the path stands for the name, so that equal names of two folders stay apart
         read = grids.headers(parts.select(F.col("path").alias("file_name"), F.col("bytes").alias("content"))).drop("payload").withColumnRenamed("file_name", "path")
-        found = left.join(read, "path")
+        found = shared.stage(left.join(read, "path"), "headers")
         if k + 1 < len(HEADER_BYTES):
             longer = (F.col("status") == "missing_data") & (F.col("length") > size)
             left, found = found.where(longer).select(*files.columns), found.where(~longer)
         known = found if known is None else known.unionByName(found)
+        if left.isEmpty():
+            break
     return known.withColumn("file_name", base_name(F.col("path")))
 
 

@@ -65,3 +65,21 @@ def test_written_files_are_whole_and_replaced(spark, tmp_path):
     found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
     assert found == {"t/a b.bin": b"\x00\x01", "t/deep/c": b"", "é#.x": b"xyz"}
     assert files.write_files(rows.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_headers_are_read_once(spark, folder, monkeypatch):
+    """Short headers ask for one pass over leading bytes, a long one for one more; what follows reads neither them nor the folder's list."""
+    kept, asked = ranges.with_bytes, []
+    monkeypatch.setattr(ranges, "with_bytes", lambda rows: asked.append(1) or kept(rows))
+    for tile, passes in (("s", 1), ("t", 2)):
+        asked.clear()
+        headed = ranges.headers_of_files(ranges.list_files(spark, f"{folder}/{tile}"))
+        plan = headed._jdf.queryExecution().executedPlan().toString()
+        assert len(asked) == passes and "MapInArrow" not in plan and "binaryFile" not in plan
+
+
+def test_small_ranges_come_together(spark, folder):
+    """Ranges that are read in one batch keep their own bytes."""
+    rows = ranges.list_files(spark, folder, tiles=True).withColumns({"start": F.col("length") % 3, "size": F.col("length").cast("long")})
+    got = {(r.path, bytes(r.bytes)) for r in ranges.with_bytes(rows).collect()}
+    assert got == {(r.path, open("/" + r.path.removeprefix("file:").lstrip("/"), "rb").read()[r.start :]) for r in rows.collect()} and len(got) == 17
