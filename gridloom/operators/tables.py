@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources import shared
+
+#: Rows from which on a key is hot: its rows stay where they are and the key comes to them.
+HOT_ROWS = 100_000
+
 
 def last_by_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key in the given order, by partial maxima: a hot key costs a row a task."""
@@ -35,9 +40,24 @@ def object_class_rows(files: DataFrame, dedupe: bool = False, existing: DataFram
     return with_ids(rows, existing)
 
 
+def without_keys(rows: DataFrame, keys: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows whose key isn't among `keys`; those with a null key stay.
+
+    Rows are written to the shared folder. Those of a hot key, or without one, never meet in one task: there are
+    few hot keys, at most one for each `hot_rows` rows, so they are looked up by themselves and go to all tasks.
+    """
+    held = shared.stage(rows, "rows")
+    known = keys.select(key).where(F.col(key).isNotNull())
+    often = shared.stage(held.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows).select(key), "hot")
+    gone = shared.stage(often.join(known, key, "left_semi"), "gone")
+    rare = held.where(F.col(key).isNotNull()).join(F.broadcast(often), key, "left_anti").join(known, key, "left_anti")
+    hot = held.join(F.broadcast(often.join(F.broadcast(gone), key, "left_anti")), key, "left_semi")
+    return rare.unionByName(hot).unionByName(held.where(F.col(key).isNull())).select(*rows.columns)
+
+
 def foreign_key_violations(children: DataFrame, parents: DataFrame, key: str = "gmlid") -> DataFrame:
     """Child rows with a key that no parent has; null keys refer to nothing and are fine."""
-    return children.where(F.col(key).isNotNull()).join(parents.select(key), key, "left_anti").select(*children.columns)
+    return without_keys(children.where(F.col(key).isNotNull()), parents, key)
 
 
 def primary_key_violations(rows: DataFrame, key: str, required: Sequence[str] = ()) -> DataFrame:
@@ -47,4 +67,4 @@ def primary_key_violations(rows: DataFrame, key: str, required: Sequence[str] =
 
 
 def cascade_delete(rows: DataFrame, deleted: DataFrame, key: str = "gmlid") -> DataFrame:
-    return rows.join(deleted.select(key), key, "left_anti").select(*rows.columns)
+    return without_keys(rows, deleted, key)

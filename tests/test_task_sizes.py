@@ -58,3 +58,20 @@ def test_clustered_files_are_cut_into_ranges_by_the_input(spark, tmp_path, monke
     layout.write_clustered(rows, f"{tmp_path}/v")
     held = spark.read.parquet(f"{tmp_path}/v/boxes")
     assert held.count() > 4 and held.agg(F.sum("rows")).first()[0] == 900
+
+
+def test_rows_of_a_hot_key_stay_apart(spark):
+    """Rows of a key that most rows have, and rows without a key, never meet in one task; the result is that of a plain join."""
+    from gridloom.operators import tables
+
+    n = F.col("id")
+    key = F.when(n % 4 < 2, "lost").when(n % 4 == 2, F.concat(F.lit("k"), n % 90)).when(n % 8 == 3, "there")
+    rows = spark.range(4000).select(n, key.alias("gmlid")).repartition(4)
+    keys = spark.createDataFrame([("there",), (None,), *[(f"k{i}",) for i in range(0, 90, 3)]], "gmlid string")
+    plain = {r.id for r in rows.join(keys, "gmlid", "left_anti").collect()}
+    for hot_rows in (1, 400, 10_000):
+        assert sorted(r.id for r in tables.without_keys(rows, keys.unionByName(keys), "gmlid", hot_rows).collect()) == sorted(plain)
+    left = tables.without_keys(rows, keys, "gmlid", 400)
+    places = left.where("gmlid = 'lost' or gmlid is null").groupBy("gmlid", F.spark_partition_id().alias("at")).count().collect()
+    assert {r.gmlid for r in places} == {"lost", None} and all(sum(p.gmlid == g for p in places) == 4 for g in ("lost", None))
+    assert {r.id for r in tables.foreign_key_violations(rows, keys).collect()} == {r.id for r in rows.where("gmlid is not null").join(keys, "gmlid", "left_anti").collect()}
