@@ -10,11 +10,12 @@ from __future__ import annotations
 import copy
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ CHANGE_STEPS = 1 << 24
 class Hasher:
     """Two hashed slots for each word, kept in a bounded table."""
 
-    def __init__(self, bits: int, table_size: int = 300_000):
+    def __init__(self, bits: int, table_size: int = 100_000):
         self.mask, self.size, self.table = (1 << bits) - 1, table_size, {}
 
     def slots(self, text: str | None) -> np.ndarray:
@@ -266,23 +267,50 @@ def taught_rows(docs: DataFrame, labels: DataFrame, bits: int, shards: int) -> D
     id; a file holds one shard, so what is trained doesn't depend on where rows lay. Texts are hashed and
     packed before they move, and move once, whether labels are few or many.
     """
-    marks = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    able = docs.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
+    return stage(dealt_rows(docs, labels, bits, shards), "taught")
 
-    @F.pandas_udf("binary")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = Hasher(bits)
-        for texts in batches:
-            yield pd.Series([packed(hasher.slots(t)) for t in texts.tolist()], dtype=object)
 
+def dealt_rows(docs: DataFrame, labels: DataFrame, bits: int, shards: int) -> DataFrame:
+    """The rows of taught_rows(), a shard in each partition. One sort serves the windows and the order of training, so that a task holds its shard once."""
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    able = docs.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
     kept = F.pmod(F.xxhash64("doc_id", F.lit("kept")), F.lit(5)) == 4
-    texts = able.select("doc_id", "lang", F.xxhash64("text").alias("first"), hashed("text").alias("slots"))
+    texts = able.select("doc_id", "lang", F.xxhash64("text").alias("first"), by_text(Packing(bits), "binary")("text").alias("slots"))
     # labels and texts meet as rows of one id, since a join may deal rows out anew, to other shards
-    dealt, own = texts.unionByName(marks, allowMissingColumns=True).repartition(shards, "doc_id"), W.partitionBy("doc_id")
-    place = F.row_number().over(own.orderBy(F.col("slots").isNull(), "first", "lang"))
-    known = dealt.select("doc_id", "lang", "slots", F.max("toxic").over(own).alias("toxic"), place.alias("place"))
-    ordered = known.where("place = 1 and slots is not null and toxic is not null").sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id")
-    return stage(ordered.select(F.spark_partition_id().alias("shard"), kept.alias("kept"), "toxic", "lang", "slots"), "taught")
+    dealt = texts.unionByName(marks, allowMissingColumns=True).repartition(shards, "doc_id").withColumn("turn", F.xxhash64("doc_id", F.lit("order")))
+    own = W.partitionBy("turn", "doc_id").orderBy(F.col("slots").isNull(), "first", "lang")
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    known = dealt.select("doc_id", "turn", "lang", "slots", F.max("toxic").over(whole).alias("toxic"), F.row_number().over(own).alias("place"))
+    ordered = known.where("place = 1 and slots is not null and toxic is not null").sortWithinPartitions("turn", "doc_id")
+    return ordered.select(F.spark_partition_id().alias("shard"), kept.alias("kept"), "toxic", "lang", "slots")
+
+
+def by_text(of_text: Callable, kind: str) -> Callable:
+    """A function of text columns that reach Python some hundred at a time: Arrow's batches would hold 10,000 whole texts in each task, in Python and beside the heap."""
+    return F.udf(of_text, kind, useArrow=False)
+
+
+class Packing:
+    """Hashed words of a text, packed; the table of words is made in the task."""
+
+    def __init__(self, bits: int):
+        self.bits, self.hasher = bits, None
+
+    def __call__(self, text: str) -> bytes:
+        self.hasher = self.hasher or Hasher(self.bits)
+        return packed(self.hasher.slots(text))
+
+
+class Judging:
+    """Score of a text by a broadcast model; the table of words is made in the task."""
+
+    def __init__(self, shared: Broadcast):
+        self.shared, self.hasher = shared, None
+
+    def __call__(self, text: str | None) -> float:
+        model = self.shared.value
+        self.hasher = self.hasher or Hasher(model.bits)
+        return model.score(self.hasher.slots(text))
 
 
 def packed(slots: np.ndarray) -> bytes:
@@ -430,13 +458,6 @@ def classify(docs: DataFrame, model: Classifier, text: str = "text") -> DataFram
     Null, empty and wordless texts get the score of a text whose only word is unknown. Very long
     texts are read whole, stretch by stretch. Equal texts score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see Classifier
-
-    @F.pandas_udf("double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, hasher = shared.value, Hasher(shared.value.bits)
-        for texts in batches:
-            yield pd.Series([own.score(hasher.slots(t)) for t in texts.tolist()], dtype="float64")
-
+    judge = by_text(Judging(docs.sparkSession.sparkContext.broadcast(model)), "double")  # bounded: see Classifier
     kept = docs.drop("score", "predicted")
     return kept.withColumn("score", judge(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
