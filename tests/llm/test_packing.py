@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridloom.llm.packing import Encoder, assign, pack
+from gridloom.llm.packing import Encoder, assign, encoder, pack
 
 TEXTS = ["", "Hello, don't STOP 42!", "a\x1cb", "naïve <|endoftext|> ok", "²½ x\x85y", "日本 text", "ǅ", "µ ª", "\xa0x\xa0", "'S 'x ''ll", "word " * 3000, "x" * 5000]
 
@@ -64,3 +64,26 @@ def test_pack_covers_every_id_once(spark, path):
         own.sort()
         assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and sum(n for _, n in own) <= 2048
     assert pack(docs.where("false"), path).count() == 0
+
+
+def test_words_met_again_are_not_encoded_again(path):
+    """What a worker's earlier tasks and texts have met goes to the tokenizer no more, frequent words not even when tables change."""
+    e, texts = encoder(path), ["Plenty of wörds, met (again) and again.", "and again of plenty; (of it)"]
+    assert encoder(path) is e
+    small, learnt = Encoder(path, table_size=30), []
+    for known in (e, small):
+        known.texts(texts)
+        learn = known.learn
+        known.learn = lambda words, learn=learn: (learnt.extend(words), learn(words))
+        for k in range(40):
+            assert all(np.array_equal(got, known.whole(t)) for got, t in zip(known.texts([*texts, f"x{'y' * k}"]), [*texts, f"x{'y' * k}"], strict=True))
+        del known.learn
+    assert set(learnt) == {f"x{'y' * k}" for k in range(40)}
+
+
+def test_words_apart_by_any_white_space(path):
+    draw, signs = np.random.default_rng(3), "abzAZ019'sStTrReEvVmMlLdD \t\n\r\x0b\x0c\x1c\x85\xa0\xaa\xb2\xb5\xb9\xbc\xc9\xd7\xdf\xe9\xff.,-_<|>\x00\x7f\xad"
+    e = Encoder(path, table_size=60)
+    for _ in range(2000):
+        text = "".join(draw.choice(list(signs), draw.integers(0, 25)))
+        assert np.array_equal(e.text(text), e.whole(text)), text
